@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm import encoder, forms, terms
+from foliomend.llm import decoding, encoder, forms, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoder.encode_ids(_table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.decoded(spark, _table(spark, d, "documents"), with_text=False).where("garbled").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.decoded(spark, _table(spark, d, "documents"))
+
+
 _TERMS = """
 with files as (select file_id, any_value(text) as text from healthy group by file_id),
 tokens as (select file_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as term from files where text is not null),
@@ -51,7 +59,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_statistics, p6_ids)}
+    return {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
