@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm import decoding, encoder, forms, terms
+from foliomend.llm import consistent, decoding, encoder, forms, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(terms.term_counts(_table(spark, d, "healthy")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consistent.equal_pairs(consistent.consistent_texts(spark, _table(spark, d, "healthy"), with_text=False))
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return consistent.consistent_texts(spark, _table(spark, d, "healthy")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.file_forms(spark, _damaged(spark, d), _table(spark, d, "common_words")).where("form <> 'prose'")
 
@@ -59,7 +67,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
