@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm import consistent, decoding, encoder, forms, terms
+from foliomend.llm import consistent, decoding, encoder, forms, languages, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,22 @@ def _damaged(spark: SparkSession, d: str) -> DataFrame:
     return pick("wordsplit_damaged").unionByName(pick("glued_damaged"))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return languages.file_passages(spark, _table(spark, d, "healthy"), _table(spark, d, "lang_labels"), _table(spark, d, "common_words"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.other_languages(_runs(spark, d))
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.file_languages(_runs(spark, d))
+
+
+def p1_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).drop("meant").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     counts = terms.term_counts(_table(spark, d, "healthy"))
     return terms.marked_terms(counts).where("mark is not null").select("term", "mark")
@@ -67,7 +83,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
