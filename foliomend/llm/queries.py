@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm import consistent, decoding, encoder, forms, languages, terms
+from foliomend.llm import consistent, decoding, encoder, forms, languages, mixing, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +64,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoder.encode_ids(_table(spark, d, "documents"))
 
 
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(spark, _table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_sources(_mixture(spark, d)[1])
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return decoding.decoded(spark, _table(spark, d, "documents"), with_text=False).where("garbled").select("doc_id")
 
@@ -83,7 +99,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
