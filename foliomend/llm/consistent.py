@@ -30,6 +30,7 @@ _LATIN = "A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-ɏḀ-ỿ"
 _GREEK = "Ͱ-ͽͿ-Ͽἀ-῿"
 _CYRILLIC = "Ѐ-ԯᲀ-Ა"
 _MIXED = re.compile(f"[{_LATIN}][{_CYRILLIC}{_GREEK}]|[{_CYRILLIC}][{_LATIN}{_GREEK}]|[{_GREEK}][{_LATIN}{_CYRILLIC}]").search
+_OTHERS = re.compile(f"[{_CYRILLIC}{_GREEK}]").search
 _WORDS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = {"LATIN": re.compile(f"[{_LATIN}]").findall, "CYRILLIC": re.compile(f"[{_CYRILLIC}]").findall, "GREEK": re.compile(f"[{_GREEK}]").findall}
 
@@ -52,9 +53,24 @@ def _simple() -> dict[int, str | None]:
     return table
 
 
+@lru_cache
+def _simple_class() -> re.Pattern:
+    """One class of all characters that _simple replaces."""
+    codes = sorted(_simple())
+    spans, begin = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1]):
+        if b != a + 1:
+            spans.append(f"\\U{begin:08x}-\\U{a:08x}")
+            begin = b
+    return re.compile(f"[{''.join(spans)}]")
+
+
 def plain_form(text: str) -> str:
     """Composed accents, ordinary letters, digits and spaces, no invisible characters; look-alikes are left as they are."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_simple()))
+    if text.isascii():
+        return text
+    text = _simple_class().sub(lambda m: _simple()[ord(m.group())] or "", text)
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def proposals(word: str) -> list[str]:
@@ -75,14 +91,14 @@ def proposals(word: str) -> list[str]:
 
 def mixed_words(plain: str) -> set[str]:
     """The words of a text in plain form that have letters of more than one of the scripts."""
-    if plain.isascii() or not _MIXED(plain):
+    if plain.isascii() or not _OTHERS(plain) or not _MIXED(plain):
         return set()
     return {w for w in _WORDS.findall(plain) if not w.isascii() and _MIXED(w)}
 
 
 def repaired(plain: str, accepted: dict[str, str]) -> str:
     """A text in plain form with its mixed words replaced by the accepted readings."""
-    if plain.isascii() or not _MIXED(plain):
+    if plain.isascii() or not _OTHERS(plain) or not _MIXED(plain):
         return plain
     return _WORDS.sub(lambda m: accepted.get(m.group(), m.group()), plain)
 
