@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm import consistent, decoding, encoder, forms, languages, mixing, terms
+from foliomend.llm import consistent, decoding, encoder, forms, languages, mixing, scans, terms
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +35,19 @@ def p1_passages(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).drop("meant").distinct()
 
 
+def _noise(spark: SparkSession, d: str, work: Callable[..., DataFrame]) -> DataFrame:
+    parts = [_table(spark, d, "wordsplit_damaged"), _table(spark, d, "glued_damaged")]
+    return work(spark, parts, _table(spark, d, "lexicon"), _table(spark, d, "common_words"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d, scans.line_faults)
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d, scans.repaired_texts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     counts = terms.term_counts(_table(spark, d, "healthy"))
     return terms.marked_terms(counts).where("mark is not null").select("term", "mark")
@@ -99,7 +112,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_texts, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
