@@ -31,8 +31,11 @@ PAIR_WEIGHT = 0.5
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("f", "t"), ("+", "t"), ("o", "a"), ("0", "o"), ("O", "0"), ("0", "O"), ("1", "l"), ("l", "1"), ("!", "i"), ("í", "i"), ("l", "I"), ("1", "i"), ("1", "I"),
     ("5", "s"), ("5", "S"), ("6", "b"), ("8", "B"), ("b", "h"), ("q", "g"), ("F", "E"), ("ri", "n"), ("n", "ri"), ("rn", "m"), ("m", "rn"), ("m", "in"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("U", "ll"),
-    ("h", "fi"), ("h", "li"), ("|", "l"), ("I", "l"), ("tl", "ti"), ("u", "n"), ("n", "u"), ("a", "o"), ("9", "g"), ("nn", "m"), ("in", "m"), ("d", "cl"),
+    ("h", "fi"), ("h", "li"), ("|", "l"), ("I", "l"), ("tl", "ti"), ("u", "n"), ("n", "u"), ("a", "o"), ("9", "g"), ("in", "m"), ("d", "cl"),
 )
+#: Spelling that no confusion changes, but those of capitals F and E: i for the slim letters, c, o and g for their likes, and
+#: broad letters as what they are read for.
+_SHAPE = str.maketrans({**dict.fromkeys("ilrtf1!+|íI", "i"), **dict.fromkeys("nuhb68", "ii"), "m": "iii", "e": "c", "d": "ci", "a": "o", "0": "o", "5": "s", "q": "g", "9": "g", "w": "vv"})
 #: Chance of each confusion before the corpus has said, and the weight of that in characters read.
 PRIOR, PRIOR_WEIGHT = 2e-4, 20_000.0
 
@@ -137,6 +140,8 @@ class Channel:
         for read, printed in CONFUSIONS:
             self.by_read.setdefault(read[0], []).append((read, printed))
         self._prefixes: tuple[Counter, Counter] | None = None
+        self.word_memory: dict[str, list[tuple[str, float]]] = {}
+        self.shapes = Counter(w.translate(_SHAPE) for w in self.words.keys() | self.granted)
 
     def __getstate__(self) -> tuple:
         return self.words, self.total, self.granted, self.pairs, self.chance
@@ -161,6 +166,10 @@ class Channel:
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """Known words that word may be a misreading of, with the log chance of their confusions: one, or up to three in words
         with figures or signs inside."""
+        low = word.lower()
+        # without another known word of the same shape there is nothing to be found
+        if "F" not in word and self.shapes[low.translate(_SHAPE)] <= (low in self.words or low in self.granted):
+            return []
         found: dict[str, float] = {}
         odd = not word.isalpha()
         layer = {word: 0.0}
@@ -225,6 +234,14 @@ class Channel:
         return out
 
     def _word(self, word: str) -> list[tuple[str, float]]:
+        out = self.word_memory.get(word)
+        if out is None:
+            if len(self.word_memory) > 300_000:
+                self.word_memory.clear()
+            out = self.word_memory[word] = self._new_word(word)
+        return out
+
+    def _new_word(self, word: str) -> list[tuple[str, float]]:
         low = word.lower()
         if low in self.granted or not any(c.isalpha() for c in word):
             return []
