@@ -1,15 +1,308 @@
-"""The registered queries over the reference's own operators, with their SQL."""
+"""The registered queries over the engine's own operators, with the SQL each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliomend.functions import text as T
+from foliomend.operators import gates, pages, repair, witness
+from foliomend.operators import lexicon as L
+from foliomend.params import Params
+from foliomend.plans import pipelines
+from foliomend.runtime import one_row_per, stored
+from foliomend.sources import synthetic
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+#: These collections' files are shorter than the books that the defaults were made for.
+SHORT = Params(min_chars=2000, split_tokens=300, repair_tokens=300, unglue_tokens=300)
+CORPORA = ("healthy", "wordsplit_damaged", "glued_damaged")
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "rel", "text")
+
+
+def files(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """The files of the corpora, each file_id once."""
+    parts = [one_row_per(table(spark, d, n), "file_id").select("file_id", "rel", "text") for n in names or CORPORA]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# -- gates --------------------------------------------------------------------------------------------------------------
+
+
+def glue_rate(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    low = T.lowered(T.tokens(t))
+    rows = documents(spark, d).where("text is not null").select("doc_id", F.size(low).cast("bigint").alias("tokens"), F.size(F.filter(low, lambda w: F.length(w) >= 18)).cast("bigint").alias("long_tokens"), L.glue_rate(t).alias("glue"), T.is_german(low).alias("german"), T.cjk_share(t).alias("cjk"))
+    red = F.coalesce((F.col("glue") >= 3.0) & ~F.col("german") & (F.col("cjk") <= 0.05), F.lit(False))
+    return rows.withColumn("red", red)
+
+
+def phrase_density(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return documents(spark, d).where("text is not null").select("doc_id", T.occurrences_of_all(t, T.PHRASES).alias("phrases"), T.phrase_density(t, F.size(T.tokens(t))).alias("density"))
+
+
+def accent_misreads(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = T.accents(F.col("text"))
+    rows = documents(spark, d).where("text is not null").select("doc_id", good.alias("good"), bad.alias("bad"))
+    ratio = F.when(F.col("good") + F.col("bad") >= 5, F.col("bad") / F.greatest(F.col("good") + F.col("bad"), F.lit(1)) * 100)
+    return rows.withColumn("ratio", ratio).withColumn("red", F.coalesce(F.col("ratio") > 50, F.lit(False)))
+
+
+def page_anchor_gate(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).where("text is not null").select("doc_id", T.has_pages(F.col("text")).alias("page_ok"))
+
+
+def _health(spark: SparkSession, d: str) -> pipelines.Health:
+    return pipelines.health_check(files(spark, d), "file_id", params=SHORT)
+
+
+def health_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _health(spark, d).rows
+
+
+def health_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return _health(spark, d).verdict.drop("gate3", "not_run")
+
+
+def health_report(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen worst files of gate 5."""
+    return pipelines.report(_health(spark, d).rows, "sp", "gate5", 15, "file_id")
+
+
+def garble_rate(spark: SparkSession, d: str) -> DataFrame:
+    return gates.garble_rows(documents(spark, d), "doc_id")
+
+
+def garble_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return gates.garble_calibration(garble_rate(spark, d))
+
+
+def probe(spark: SparkSession, d: str) -> DataFrame:
+    return gates.probe_rows(documents(spark, d), "doc_id")
+
+
+def pdf_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents as if of ten pages each, half of them with an image."""
+    rows = gates.probe_rows(documents(spark, d), "doc_id").join(documents(spark, d).select("doc_id", (F.length("text") / 10.0).alias("chars_per_page")), "doc_id")
+    rows = rows.withColumns({"producer": F.lit(None).cast("string"), "glyphless": F.lit(False), "image_pages": F.lit(5), "sampled": F.lit(10)})
+    return gates.pdf_risk(rows).select("doc_id", F.array_join(F.transform("findings", lambda x: x.cast("string")), ",").alias("findings"))
+
+
+# -- lexicons -----------------------------------------------------------------------------------------------------------
+
+
+def lexicon_tf(spark: SparkSession, d: str) -> DataFrame:
+    return L.term_frequency(documents(spark, d))
+
+
+def lexicon_top(spark: SparkSession, d: str) -> DataFrame:
+    return L.term_frequency(documents(spark, d)).orderBy(F.desc("tf"), "w").limit(50)
+
+
+def lexicon_tf_df(spark: SparkSession, d: str) -> DataFrame:
+    return L.frequencies(files(spark, d, "healthy"))
+
+
+def lexicon_df_normal(spark: SparkSession, d: str) -> DataFrame:
+    words = T.lowered(T.normal_words(F.col("text")))
+    return L.document_frequency(files(spark, d, "healthy").where("text is not null"), "file_id", words)
+
+
+def split_rate(spark: SparkSession, d: str) -> DataFrame:
+    docs = files(spark, d)
+    return L.split_rates(docs, L.term_frequency(docs), "file_id", params=SHORT)
+
+
+def clean_for_splits(spark: SparkSession, d: str) -> DataFrame:
+    return L.clean_for_splits(files(spark, d), "file_id", params=SHORT).select("file_id")
+
+
+def clean_for_glue(spark: SparkSession, d: str) -> DataFrame:
+    return L.clean_for_glue(files(spark, d)).select("file_id")
+
+
+def hyphen_lexicons(spark: SparkSession, d: str) -> DataFrame:
+    plain, hyphenated = L.dehyphenation_lexicons(files(spark, d))
+    return plain.select(F.lit("plain").alias("kind"), "w", "tf").unionByName(hyphenated.select(F.lit("hyphenated").alias("kind"), F.col("h").alias("w"), "tf"))
+
+
+# -- repairs ------------------------------------------------------------------------------------------------------------
+
+
+def ligatures(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a ligature or the glyph that is dropped, as digests of what they become."""
+    glyphs = "[" + "".join(g for g, _ in T.LIGATURES) + T.DROPPED_GLYPH + "]"
+    rows = documents(spark, d).where(F.col("text").rlike(glyphs)).select("doc_id", T.expand_ligatures(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def joined_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d, "wordsplit_damaged").where("text is not null")
+    return rows.select("file_id", F.length(T.dehyphenate_lines(F.col("text"))).cast("bigint").alias("chars"), F.length(T.dehyphenate_lines(F.col("text"), False)).cast("bigint").alias("chars_by_page"))
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = files(spark, d)
+    plain, hyphenated = L.dehyphenation_lexicons(docs)
+    return docs, repair.judged_sites(repair.hyphen_sites(docs, "file_id"), plain, hyphenated)
+
+
+def hyphen_sites(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)[1].select("file_id", "pos", "a", "b", "plain_tf", "hyphen_tf", "verdict")
+
+
+def hyphen_totals(spark: SparkSession, d: str) -> DataFrame:
+    return repair.hyphen_totals(_judged(spark, d)[1])
+
+
+def dehyphenated(spark: SparkSession, d: str) -> DataFrame:
+    docs, judged = _judged(spark, d)
+    rows = repair.dehyphenated(docs.where("text is not null"), stored(judged), "file_id")
+    return rows.select("file_id", "changed", F.length("text").cast("bigint").alias("chars"))
+
+
+def pair_walk(spark: SparkSession, d: str) -> DataFrame:
+    """One walk over each text that joins every split pair of the lexicon."""
+    docs = files(spark, d, "wordsplit_damaged")
+    pairs = L.split_pairs(L.term_frequency(docs), SHORT)
+    accepted: dict = {}
+
+    def kernel(text: str, facts: list) -> dict:
+        if accepted.get("facts") is not facts:
+            accepted["facts"], accepted["set"] = facts, set(facts)
+        new, joins = repair.walk_pairs(text, lambda a, b: (a.lower(), b.lower()) in accepted["set"])
+        return {"joins": joins, "chars": len(new)}
+
+    candidates = lambda t: ((a.lower(), b.lower()) for w in [repair._TOKEN.findall(t)] for a, b in zip(w, w[1:]))
+    return repair._per_text(docs, "file_id", "text", pairs, candidates, kernel, "joins bigint, chars bigint", repair.BROADCAST_ROWS)
+
+
+def merge_table(spark: SparkSession, d: str) -> DataFrame:
+    clean = L.clean_for_splits(files(spark, d), "file_id", params=SHORT)
+    lexicon = stored(L.frequencies(clean))
+    return repair.merge_table(lexicon, clean.count(), SHORT)
+
+
+def split_targets(spark: SparkSession, d: str) -> DataFrame:
+    return repair.split_targets(files(spark, d), "file_id", params=SHORT)
+
+
+def split_repair(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.split_repair_run(files(spark, d), "file_id", params=SHORT)
+
+
+def piece_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    clean = L.clean_for_glue(files(spark, d))
+    return repair.piece_lexicon(stored(L.frequencies(clean)), clean.count())
+
+
+def unglue_targets(spark: SparkSession, d: str) -> DataFrame:
+    return repair.unglue_targets(files(spark, d), "file_id", excluded=("omnibus",), params=SHORT)
+
+
+def unglued(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.unglue_run(files(spark, d), "file_id", params=SHORT)[0]
+
+
+def reextraction(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder for the split files, the texts of the glued ones standing in for fresh extractions of the same places."""
+    split = files(spark, d, "wordsplit_damaged")
+    fresh = files(spark, d, "glued_damaged").select((F.col("file_id") - 3_000_000).alias("file_id"), "text")
+    return repair.reextracted(split, fresh, "file_id", L.term_frequency(files(spark, d)), params=SHORT).drop("text")
+
+
+# -- pages and witnesses ------------------------------------------------------------------------------------------------
+
+
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages.page_texts(files(spark, d), "file_id", plain=False)
+    return rows.select("file_id", "page", F.length("text").cast("bigint").alias("chars"))
+
+
+def page_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages.words_with_pages(files(spark, d, "healthy"), "file_id")
+    return rows.groupBy("file_id", "page").agg(F.sum(F.size("words")).alias("words"))
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """Healthy texts in stretches of 500 characters, each after a number and a running head."""
+    return files(spark, d, "healthy").where("length(text) >= 5000").select("file_id", F.expr("array_join(transform(sequence(0, cast(length(text) / 500 as int) - 1), i -> concat(cast(i + 1 as string), ' THE RUNNING HEAD ', substring(text, i * 500 + 1, 500), '\n')), '')").alias("text"))
+
+
+def recovered_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return pages.anchor_gates(pages.recovered_anchors(_headed(spark, d), "file_id", ["THE RUNNING HEAD"]), "file_id")
+
+
+def anchored_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _headed(spark, d)
+    kept = stored(pages.recovered_anchors(docs, "file_id", ["THE RUNNING HEAD"]))
+    return pages.anchored(docs, kept, pages.anchor_gates(kept, "file_id"), "file_id")
+
+
+def _compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return witness.compared_pages(table(spark, d, "pages_a"), table(spark, d, "pages_b"), table(spark, d, "lexicon"))
+
+
+def disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return _compared(spark, d)[0]
+
+
+def disagreement_totals(spark: SparkSession, d: str) -> DataFrame:
+    return witness.bucket_totals(*_compared(spark, d))
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Each file against itself with its line-end hyphens decided."""
+    docs, judged = _judged(spark, d)
+    other = repair.dehyphenated(docs, stored(judged), "file_id").where("changed").select("file_id", F.col("text").alias("text_b"))
+    return witness.aligned(docs.select("file_id", F.col("text").alias("text_a")).join(other, "file_id"), "file_id")
+
+
+def non_words(spark: SparkSession, d: str) -> DataFrame:
+    return witness.non_words(files(spark, d, "wordsplit_damaged"), table(spark, d, "lexicon").select("w"), "file_id")
+
+
+def switch_decisions(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "lexicon").select("w")
+    layer = witness.non_words(files(spark, d, "wordsplit_damaged"), words, "file_id")
+    ocr = witness.non_words(files(spark, d, "glued_damaged"), words, "file_id").withColumn("file_id", F.col("file_id") - 3_000_000)
+    return witness.switch_decisions(layer, ocr, "file_id")
+
+
+def damaged_on_purpose(spark: SparkSession, d: str) -> DataFrame:
+    docs = files(spark, d, "healthy").where("text is not null")
+    split, glued = synthetic.split_words(docs, "file_id"), synthetic.glue_spans(docs, "file_id")
+    n = lambda df, name: df.select("file_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias(name))
+    return n(docs, "tokens").join(n(split, "split"), "file_id").join(n(glued, "glued"), "file_id")
+
+
+_QUERIES: tuple[Query, ...] = (
+    glue_rate, phrase_density, accent_misreads, page_anchor_gate, health_rows, health_verdict, health_report, garble_rate, garble_calibration, probe, pdf_risk,
+    lexicon_tf, lexicon_top, lexicon_tf_df, lexicon_df_normal, split_rate, clean_for_splits, clean_for_glue, hyphen_lexicons,
+    ligatures, joined_lines, hyphen_sites, hyphen_totals, dehyphenated, pair_walk, merge_table, split_targets, split_repair, piece_lexicon, unglue_targets, unglued, reextraction,
+    page_texts, page_words, recovered_anchors, anchored_texts, disagreements, disagreement_totals, aligned, non_words, switch_decisions, damaged_on_purpose,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from foliomend.oracle import SQL
+
+    return dict(SQL)
