@@ -246,17 +246,15 @@ def _per_text(docs: DataFrame, key: str, text: str, facts: DataFrame, candidates
 
 
 def _split_kernel(params: Params) -> Callable[[str, list], dict]:
-    memory: dict[int, SplitRepair] = {}
+    memory: dict = {}
 
     def kernel(text: str, facts: list) -> dict:
-        repair = memory.get(id(facts))
-        if repair is None:
+        if memory.get("facts") is not facts:  # the list is held, so that no other can take its place in memory
             merges = {(a, b) for a, b, m, _, _ in facts if m}
             words = {a for a, _, _, w, _ in facts if w} | {b for _, b, _, _, w in facts if w}
-            repair = SplitRepair(merges, words, {a + b for a, b, _, _, _ in facts}, {(a, b) for a, b, _, _, _ in facts}, params)
-            memory.clear()
-            memory[id(facts)] = repair
-        return repair.repair(text)
+            memory["repair"] = SplitRepair(merges, words, {a + b for a, b, _, _, _ in facts}, {(a, b) for a, b, _, _, _ in facts}, params)
+            memory["facts"] = facts
+        return memory["repair"].repair(text)
 
     return kernel
 
