@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.runtime import BROADCAST_ROWS, stored
+from foliomend.runtime import BROADCAST_ROWS, filled, stored
 
 # Letters of the three scripts that look alike, Latin first.
 _LOOK_ALIKE = {
@@ -119,7 +119,7 @@ def accepted_readings(texts: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
             seen = new if len(seen) > 500_000 else seen | new
             yield pd.DataFrame([(w, r, i) for w in sorted(new) for i, r in enumerate(proposals(w))], columns=["word", "reading", "choice"])
 
-    proposed = stored(texts.mapInPandas(propose, "word string, reading string, choice int").distinct())
+    proposed = stored(texts.mapInPandas(filled(propose), "word string, reading string, choice int").distinct())
     wanted = proposed.select("reading").distinct()
     n = proposed.count()
     if n <= limit:
@@ -135,14 +135,14 @@ def accepted_readings(texts: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
                 rest -= hits
                 yield pd.DataFrame({"reading": sorted(hits)}, columns=["reading"])
 
-        known = texts.mapInPandas(found, "reading string").distinct()
+        known = texts.mapInPandas(filled(found), "reading string").distinct()
     else:
 
         def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield pd.DataFrame({"reading": sorted({w for text in batch["text"] if text for w in _WORDS.findall(plain_form(text))})}, columns=["reading"])
 
-        known = wanted.join(texts.mapInPandas(words, "reading string").distinct(), "reading", "left_semi")
+        known = wanted.join(texts.mapInPandas(filled(words), "reading string").distinct(), "reading", "left_semi")
     several = proposed.groupBy("reading").agg(F.count("*").alias("n")).where("n > 1").select("reading")
     vocabulary = known.unionByName(several).distinct()
     return proposed.join(vocabulary, "reading", "left_semi").groupBy("word").agg(F.min_by("reading", "choice").alias("reading"))
@@ -178,7 +178,7 @@ def consistent_texts(spark: SparkSession, df: DataFrame, key: str = "file_id", t
                 out.insert(0, "key", batch["key"].to_numpy())
                 yield out
 
-        result = source.mapInPandas(run, schema)
+        result = source.mapInPandas(filled(run), schema)
     else:
 
         def mixed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +186,7 @@ def consistent_texts(spark: SparkSession, df: DataFrame, key: str = "file_id", t
                 yield pd.DataFrame([(k, w) for k, t in zip(batch["key"], batch["text"]) if t for w in sorted(mixed_words(plain_form(t)))], columns=["key", "word"])
 
         key_type = source.schema["key"].dataType.simpleString()
-        own = source.where("key is not null").mapInPandas(mixed, f"key {key_type}, word string").distinct().join(accepted, "word")
+        own = source.where("key is not null").mapInPandas(filled(mixed), f"key {key_type}, word string").distinct().join(accepted, "word")
         own = own.groupBy("key").agg(F.collect_list(F.struct("word", "reading")).alias("readings"))
 
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,7 @@ def consistent_texts(spark: SparkSession, df: DataFrame, key: str = "file_id", t
                 out.insert(0, "key", batch["key"].to_numpy())
                 yield out
 
-        result = source.join(own, "key", "left").select("key", "text", "readings").mapInPandas(run, schema)
+        result = source.join(own, "key", "left").select("key", "text", "readings").mapInPandas(filled(run), schema)
     return result.withColumnRenamed("key", key)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.runtime import stored
+from foliomend.runtime import filled, stored
 
 #: A pair must make up this share of all pairs to be sent to the workers, so that at most 1 / PAIR_SHARE pairs can be.
 PAIR_SHARE = 1e-6
@@ -73,7 +73,7 @@ def _count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """a, b (code points) and n of every adjacent pair of characters of all texts; null and one-character texts have none."""
-    pairs = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(_count, "pair bigint, n bigint")
+    pairs = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(filled(_count), "pair bigint, n bigint")
     pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.select(F.shiftright("pair", _WIDTH).alias("a"), F.col("pair").bitwiseAND((1 << _WIDTH) - 1).alias("b"), "n")
 
@@ -368,5 +368,5 @@ def decoded(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str =
                 out |= {"text": [t for _, t in rows], "restored": [bool(x and not _LOST(t)) for x, t in rows]}
             yield pd.DataFrame(out)
 
-    return source.mapInPandas(run, schema)
+    return source.mapInPandas(filled(run), schema)
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomend.runtime import filled
+
 #: Words of common_words, a fixed table of a few hundred; a larger one is refused rather than sent to every worker.
 COMMON_WORDS_LIMIT = 50_000
 
@@ -152,7 +154,7 @@ def quality_statistics(spark: SparkSession, files: DataFrame, common_words: Data
             rows = [{"file_id": i} | (statistics(t, words.value) if t is not None else {}) for i, t in zip(batch["file_id"], batch["text"])]
             yield pd.DataFrame(rows, columns=names)
 
-    out = files.select("file_id", "text").mapInPandas(run, STATISTICS)
+    out = files.select("file_id", "text").mapInPandas(filled(run), STATISTICS)
     return out.where("file_id is not null").dropDuplicates(["file_id"]).unionByName(out.where("file_id is null"))
 
 
@@ -164,4 +166,4 @@ def file_forms(spark: SparkSession, files: DataFrame, common_words: DataFrame) -
         for batch in batches:
             yield pd.DataFrame({"file_id": batch["file_id"], "form": [form_of(t, words.value) for t in batch["text"]]})
 
-    return files.select("file_id", "text").mapInPandas(run, "file_id bigint, form string").where("form is not null").distinct()
+    return files.select("file_id", "text").mapInPandas(filled(run), "file_id bigint, form string").where("form is not null").distinct()

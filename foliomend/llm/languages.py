@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliomend.runtime import filled
+
 #: n-grams kept in a language's profile; also the distance of one that isn't in it.
 PROFILE = 800
 #: The labelled sample that profiles are trained on: files for each language, and characters up to which a file is taken.
@@ -285,7 +287,7 @@ def file_passages(spark: SparkSession, files: DataFrame, lang_labels: DataFrame,
                     rows += [(i, m, x.language, x.begin, x.sentences, x.confidence) for x in found]
                 yield pd.DataFrame(rows, columns=names)
 
-    return source.mapInPandas(run, "file_id bigint, meant string, lang string, begin int, sentences int, confidence double")
+    return source.mapInPandas(filled(run), "file_id bigint, meant string, lang string, begin int, sentences int, confidence double")
 
 
 def other_languages(runs: DataFrame, least: int = PASSAGE) -> DataFrame:

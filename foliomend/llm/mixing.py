@@ -98,7 +98,7 @@ def source_plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     rate is the number of copies that gives the target share of total, the sum of the sizes of all sources of targets, at most
     max_repeats; short marks a source that falls short of its target even at max_repeats. A source without documents has size
-    0. Null shares count as 0 and null repeats as 1; a repeated source has its greatest share and repeats; a null source and
+    0; documents without tokens are used max_repeats times. Null shares count as 0 and null repeats as 1; a repeated source has its greatest share and repeats; a null source and
     documents of other sources count nowhere."""
     wanted = targets.where("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("documents"))
@@ -107,7 +107,7 @@ def source_plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     total = plan.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     target = F.col("target_share") * F.lit(total)
     most = F.col("size") * F.col("max_repeats")
-    rate = F.when(F.col("size") > 0, F.least(target / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    rate = F.when(target > 0, F.least(target / F.greatest("size", F.lit(1e-9)), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return plan.withColumn("total", F.lit(total)).withColumn("rate", rate).withColumn("short", most < target)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomend.llm.forms import ANCHOR, common_set, form_of
-from foliomend.runtime import one_row_per, stored
+from foliomend.runtime import filled, one_row_per, stored
 
 #: A word must make up this share of all words, and a pair of words that share of all pairs, to be sent to the workers: at most
 #: 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can be. Words also need LEAST occurrences.
@@ -510,12 +510,12 @@ def channel_of(spark: SparkSession, texts: DataFrame, lexicon: DataFrame) -> Cha
     if lexicon.count() > LEXICON_LIMIT:
         raise ValueError(f"more than {LEXICON_LIMIT} words in the lexicon")
     granted = frozenset(r["w"] for r in lexicon.where((F.col("df") >= LEXICON_FILES) & F.col("w").isNotNull()).select(F.lower("w").alias("w")).distinct().collect())
-    words = stored(texts.mapInPandas(_count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    words = stored(texts.mapInPandas(filled(_count_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 1
     kept = words.where((F.col("n") >= LEAST) & (F.col("n") >= WORD_SHARE * total)).toPandas()
     channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), granted)
     sent = spark.sparkContext.broadcast(channel)
-    pairs = stored(texts.mapInPandas(lambda it: _count_pairs(sent.value, it), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    pairs = stored(texts.mapInPandas(filled(lambda it: _count_pairs(sent.value, it)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     frequent = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") >= PAIR_SHARE * total)).toPandas()
     channel.pairs = dict(zip(zip(frequent["a"], frequent["b"]), frequent["n"].astype(int).tolist()))
     seen = {(r["a"], r["b"]): r["n"] for r in pairs.where("kind = 'confusion'").collect()}
@@ -548,7 +548,7 @@ def line_faults(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame,
             rows = [(i, n, f) for i, t in zip(batch["file_id"], batch["text"]) if form_of(t, words.value) == "prose" for n, f in faults(t, sent.value)]
             yield pd.DataFrame(rows, columns=["file_id", "line_no", "fault"])
 
-    return files.mapInPandas(run, "file_id bigint, line_no int, fault string")
+    return files.mapInPandas(filled(run), "file_id bigint, line_no int, fault string")
 
 
 def repaired_texts(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -561,4 +561,4 @@ def repaired_texts(spark: SparkSession, parts: list[DataFrame], lexicon: DataFra
             rows = [(i, repaired(t, sent.value)) for i, t in zip(batch["file_id"], batch["text"]) if form_of(t, words.value) == "prose"]
             yield pd.DataFrame(rows, columns=["file_id", "text"])
 
-    return files.mapInPandas(run, "file_id bigint, text string")
+    return files.mapInPandas(filled(run), "file_id bigint, text string")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomend.runtime import one_row_per, stored
+from foliomend.runtime import filled, one_row_per, stored
 
 _RUN = re.compile("[A-Za-z]+").findall
 #: Terms a partition holds before it hands on its counters; only memory depends on it, results don't.
@@ -67,7 +67,7 @@ def term_counts(df: DataFrame, key: str = "file_id", text: str = "text", flush:
     records without terms. Records never cross partitions, so the counters of partitions add up exactly, and a term that
     is in every record sends one row a partition through the shuffle. An empty table gives the null row only, or nothing."""
     source = one_row_per(df, key).select(F.col(text).alias("text"))
-    partial = source.mapInPandas(lambda it: _partial(it, flush), "term string, occurrences bigint, files bigint")
+    partial = source.mapInPandas(filled(lambda it: _partial(it, flush)), "term string, occurrences bigint, files bigint")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("files").alias("files"))
 
 
