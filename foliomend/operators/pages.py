@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomend.runtime import filled
+
 from foliomend.functions import text as T
 from foliomend.params import DEFAULTS, Params
 
@@ -95,7 +97,7 @@ def recovered_anchors(docs: DataFrame, key: str, heads: list[str], text: str = "
                 rows += [(k, *body[i], len(raw), start) for i in longest_rise([p for _, p in body])]
             yield pd.DataFrame(rows, columns=[key, "pos", "page", "raw", "dropped"])
 
-    return source.mapInPandas(run, f"`{key}` {key_type}, pos bigint, page int, raw int, dropped int")
+    return source.mapInPandas(filled(run), f"`{key}` {key_type}, pos bigint, page int, raw int, dropped int")
 
 
 def anchor_gates(kept: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:

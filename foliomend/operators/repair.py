@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foliomend.functions import text as T
 from foliomend.operators import lexicon as L
 from foliomend.params import DEFAULTS, Params
-from foliomend.runtime import BROADCAST_ROWS, small_side, stored
+from foliomend.runtime import BROADCAST_ROWS, filled, small_side, stored
 
 _TOKEN = re.compile(r"[A-Za-z]+")
 
@@ -225,13 +225,13 @@ def _per_text(docs: DataFrame, key: str, text: str, facts: DataFrame, candidates
                 rows = [(k, *(r[n] for n in names)) for k, t in zip(batch["__key"], batch["__text"]) for r in [kernel(t, sent.value)]]
                 yield pd.DataFrame(rows, columns=[key, *names])
 
-        return source.mapInPandas(run, out)
+        return source.mapInPandas(filled(run), out)
 
     def own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([(k, a, b) for k, t in zip(batch["__key"], batch["__text"]) for a, b in set(candidates(t))], columns=["__key", "a", "b"])
 
-    asked = source.mapInPandas(own, f"__key {key_type}, a string, b string").join(facts, ["a", "b"])
+    asked = source.mapInPandas(filled(own), f"__key {key_type}, a string, b string").join(facts, ["a", "b"])
     given = asked.groupBy("__key").agg(F.collect_list(F.struct(*columns)).alias("__facts"))
 
     def run_own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +242,7 @@ def _per_text(docs: DataFrame, key: str, text: str, facts: DataFrame, candidates
                 rows.append((k, *(r[n] for n in names)))
             yield pd.DataFrame(rows, columns=[key, *names])
 
-    return source.join(given, "__key", "left").mapInPandas(run_own, out)
+    return source.join(given, "__key", "left").mapInPandas(filled(run_own), out)
 
 
 def _split_kernel(params: Params) -> Callable[[str, list], dict]:
@@ -360,7 +360,7 @@ def segments(words: DataFrame, lexicon: DataFrame, params: Params = DEFAULTS, li
             for batch in batches:
                 yield pd.DataFrame({"w": batch["w"], "parts": [segment(w, log.value, params) for w in batch["w"]]})
 
-        return words.select("w").mapInPandas(run, schema)
+        return words.select("w").mapInPandas(filled(run), schema)
     spans = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i")).select("w", "i", F.explode(F.sequence(F.lit(params.min_piece), F.lit(params.max_piece))).alias("n"))
     subs = spans.where("i + n - 1 <= length(w)").select(F.col("w").alias("whole"), F.lower(F.expr("substring(w, i, n)")).alias("w")).distinct()
     given = subs.join(pieces, "w").groupBy("whole").agg(F.collect_list(F.struct("w", "p")).alias("own"))
@@ -369,7 +369,7 @@ def segments(words: DataFrame, lexicon: DataFrame, params: Params = DEFAULTS, li
         for batch in batches:
             yield pd.DataFrame({"w": batch["w"], "parts": [segment(w, {x["w"]: x["p"] for x in o} if o is not None else {}, params) for w, o in zip(batch["w"], batch["own"])]})
 
-    return words.select("w").join(given.withColumnRenamed("whole", "w"), "w", "left").mapInPandas(run_own, schema)
+    return words.select("w").join(given.withColumnRenamed("whole", "w"), "w", "left").mapInPandas(filled(run_own), schema)
 
 
 def unglue_targets(docs: DataFrame, key: str, text: str = "text", excluded: tuple[str, ...] = (), rel: str = "rel", params: Params = DEFAULTS) -> DataFrame:

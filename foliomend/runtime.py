@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +64,11 @@ def one_row_per(df: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFra
     )
 
 
+def filled(run: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run without the empty frames it gives, whose columns have no types to go by."""
+    return lambda batches: (frame for frame in run(batches) if len(frame))
+
+
 def cached(df: DataFrame) -> DataFrame:
     """df kept by the executors with a copy each on a second one, spilling to disk."""
     return df.persist(StorageLevel.MEMORY_AND_DISK_2)
