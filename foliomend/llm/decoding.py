@@ -28,6 +28,8 @@ ROUNDS = 3
 #: Bits that the pairs of a run must gain on average before a rewriting between single-byte encodings is believed. UTF-8 needs
 #: less, as its sequences hardly arise by chance, the longer ones least.
 GAIN, GAIN_UTF8, GAIN_UTF8_LONG = 3.0, 0.5, -2.5
+#: Bits that a pair with capitals may be rarer than the same in small letters.
+CASE = 4.0
 #: Bits that a maximum-scoring segment must have to be tested at all.
 LEAST_SCORE = 1.0
 
@@ -86,6 +88,13 @@ class PairModel:
         self.log_share = dict(zip(pairs, np.log2(share).tolist()))
         self.improbable = dict(zip(pairs, np.clip(-np.log2(np.maximum(part, 1e-9)) - PROBABLE, -6, 8).tolist()))
         self.floor = float(np.log2(PAIR_SHARE)) - 1
+        # capitals are as probable as their small letters, but CASE bits: titles set in capitals are rare, not improbable
+        for pair in pairs:
+            if pair.islower():
+                for other in {pair.upper(), pair[0].upper() + pair[1]}:
+                    if len(other) == 2 and other != pair:
+                        self.log_share[other] = max(self.log_share.get(other, -99.0), self.log_share[pair] - CASE)
+                        self.improbable[other] = min(self.improbable.get(other, 8.0), self.improbable[pair] + CASE / 2)
 
     def shares(self, text: str) -> list[float]:
         """log2 shares of the pairs of a text that have a character beyond ASCII; of all pairs if there is none."""
@@ -190,7 +199,11 @@ def _utf8_forms(before: str, run: str, after: str, model: PairModel) -> Iterator
         for (begin, end, char), place in zip(hits, places):
             if char < "\U00010000":
                 i, j = place + len(before), begin + len(before)
-                if all(p not in model.log_share for p in (new[max(0, i - 1) : i + 1], new[i : i + 2]) if len(p) > 1):
+                beside = [p for p in (new[max(0, i - 1) : i + 1], new[i : i + 2]) if len(p) > 1]
+                unknown = [p for p in beside if p not in model.log_share]
+                if end - begin == 2 and encoding not in ("cp1252", "latin-1") and any(c.isalpha() for p in unknown for c in p if c != char):
+                    continue
+                if len(unknown) == len(beside):
                     if end - begin == 2:
                         continue
                     mine = [get(a + b, floor) for a, b in pairwise(old[max(0, j - 1) : end + len(before) + 1])]
