@@ -299,9 +299,9 @@ class Decoder:
                 m = sum(new) / len(new)
                 if gain < 0 and m < floor + 1 and max(form) < "\U00010000":
                     gain = GAIN_UTF8  # what no text of the corpus has needs more than a well-formed sequence
-                if m >= mean + gain and (best is None or m > best[0]) and (forms is not _byte_forms or min(new) >= least - 1 and len(new) > 1 and new.count(floor) <= 0.2 * len(new)):
+                if m >= mean + gain and (best is None or m > best[0]) and (forms is not _byte_forms or min(new) >= least - 1 and len(new) > 1 and new.count(floor) <= (0.05 if max(form) > "\u2e7f" else 0.2) * len(new)):
                     best = m, form
-            if best:
+            if best and best[0] > floor + 6:  # well known pairs; else another family may read better still
                 break
         found = best[1] if best else None
         if len(run) <= 24:
