@@ -44,8 +44,8 @@ def files(spark: SparkSession, d: str, *names: str) -> DataFrame:
 
 def glue_rate(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    low = T.lowered(T.tokens(t))
-    rows = documents(spark, d).where("text is not null").select("doc_id", F.size(low).cast("bigint").alias("tokens"), F.size(F.filter(low, lambda w: F.length(w) >= 18)).cast("bigint").alias("long_tokens"), L.glue_rate(t).alias("glue"), T.is_german(low).alias("german"), T.cjk_share(t).alias("cjk"))
+    rows = documents(spark, d).where("text is not null").select("doc_id", "text", T.lowered(T.tokens(t)).alias("__t"))
+    rows = rows.select("doc_id", F.size("__t").cast("bigint").alias("tokens"), F.size(F.filter("__t", lambda w: F.length(w) >= 18)).cast("bigint").alias("long_tokens"), L.glue_rate(t).alias("glue"), T.is_german(F.col("__t")).alias("german"), T.cjk_share(t).alias("cjk"))
     red = F.coalesce((F.col("glue") >= 3.0) & ~F.col("german") & (F.col("cjk") <= 0.05), F.lit(False))
     return rows.withColumn("red", red)
 

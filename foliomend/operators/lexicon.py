@@ -25,10 +25,10 @@ def document_frequency(docs: DataFrame, key: str, words: Column) -> DataFrame:
 def frequencies(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     """w, tf and df over all texts in one pass and one shuffle: a text's words are sorted, so that the first of each counts for
     df, and only partial counts of words leave a task."""
-    array = F.array_sort(T.lowered(T.tokens(F.col(text), least)))
-    before = F.concat(F.array(F.lit("")), array)
-    marked = F.zip_with(array, F.slice(before, F.lit(1), F.size(array)), lambda w, p: F.struct(w.alias("w"), (w != p).cast("bigint").alias("new")))
-    words = docs.where(F.length(text) > 0).select(F.explode(marked).alias("x")).select("x.w", "x.new")
+    # the sorted words stand in a projection of their own, so that they are worked out once for each text
+    texts = docs.where(F.length(text) > 0).select(F.sort_array(T.lowered(T.tokens(F.col(text), least))).alias("s"))
+    marked = F.zip_with("s", F.concat(F.array(F.lit("")), F.col("s")), lambda w, p: F.struct(w.alias("w"), (w != p).cast("bigint").alias("new")))
+    words = texts.select(F.explode(marked).alias("x")).select("x.w", "x.new").where("w is not null")
     return words.groupBy("w").agg(F.count("*").alias("tf"), F.sum("new").alias("df"))
 
 
@@ -51,12 +51,10 @@ def split_counts(docs: DataFrame, pairs: DataFrame, key: str, text: str = "text"
     """key, tokens and pairs (adjacent tokens that are a split pair) of each row of docs with a text. The texts' pairs stream
     past the split pairs, which are broadcast if they are few; else both are shuffled by the pair."""
     pairs = stored(pairs)
-    known = small_side(pairs, pairs.count())
-    array = T.lowered(T.tokens(F.col(text)))
-    pairs_of = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(T.adjacent(array)).alias("p")).select(key, "p.a", "p.b")
-    hits = pairs_of.join(known, ["a", "b"], "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
-    counts = docs.where(F.col(text).isNotNull()).select(F.col(key), F.size(T.tokens(F.col(text))).cast("bigint").alias("tokens"))
-    return counts.join(hits, key, "left").fillna(0, ["hits"]).withColumnRenamed("hits", "pairs")
+    known = small_side(pairs.withColumn("hit", F.lit(1)), pairs.count())
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key), T.lowered(T.tokens(F.col(text))).alias("__t"))
+    pairs_of = texts.select(key, F.size("__t").cast("bigint").alias("tokens"), F.explode_outer(T.adjacent(F.col("__t"))).alias("p"))
+    return pairs_of.select(key, "tokens", "p.a", "p.b").join(known, ["a", "b"], "left").groupBy(key, "tokens").agg(F.count("hit").alias("pairs"))
 
 
 def split_rates(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", floor: int | None = None, params: Params = DEFAULTS) -> DataFrame:
@@ -77,9 +75,8 @@ def clean_for_splits(docs: DataFrame, key: str, text: str = "text", params: Para
 
 def glue_rate(text: Column, params: Params = DEFAULTS) -> Column:
     """Tokens of glue_letters letters or more, per mille; null below glue_tokens tokens."""
-    array = T.tokens(text)
-    long = F.size(F.filter(array, lambda w: F.length(w) >= params.glue_letters))
-    return F.when(F.size(array) >= params.glue_tokens, long / F.size(array) * 1000)
+    n = T.matches(text, T.WORD)
+    return F.when(n >= params.glue_tokens, T.matches(text, f"[A-Za-z]{{{params.glue_letters},}}") / n * 1000)
 
 
 def clean_for_glue(docs: DataFrame, text: str = "text", params: Params = DEFAULTS) -> DataFrame:

@@ -376,8 +376,9 @@ def unglue_targets(docs: DataFrame, key: str, text: str = "text", excluded: tupl
     """key, glue and skip_reason (german, small, excluded, base64, or null for a text to repair) of the rows whose glue rate is
     glue_red or more and that have little Chinese."""
     t = F.col(text)
-    low = T.lowered(T.tokens(t))
     rows = docs.withColumn("glue", L.glue_rate(t, params)).where((F.col("glue") >= params.glue_red) & (T.cjk_share(t) <= params.cjk_limit))
+    rows = rows.withColumn("__t", T.lowered(T.tokens(t)))
+    low = F.col("__t")
     prefix = F.lit(False)
     for x in excluded:
         prefix = prefix | F.startswith(F.replace(F.col(rel), F.lit("\\"), F.lit("/")), F.lit(x))
