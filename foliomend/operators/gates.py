@@ -144,6 +144,7 @@ def probe_rows(docs: DataFrame, key: str, text: str = "text", params: Params = D
     return body.withColumn("lang", lang)
 
 
+# Fixed values.
 OCR_PRODUCERS = ("clearscan", "paper capture", "abbyy", "finereader", "tesseract", "ocrmypdf")
 
 

@@ -4,8 +4,8 @@ from foliomend.functions.text import normalise
 from foliomend.operators import pages as P
 from foliomend.operators import witness as W
 
-LEXICON = {"the": 700, "and": 700, "of": 700, "how": 600, "people": 500, "decision": 504, "making": 480, "decisionmaking": 65, "some": 600, "thing": 400, "something": 500, "democracy": 300, "synchronicity": 40, "s": 3}
-FILLER = "the public was gathered and the memory of the place was kept by the people of the town"
+LEXICON = {"the": 700, "and": 700, "of": 700, "where": 600, "letters": 500, "book": 504, "binding": 480, "bookbinding": 65, "any": 600, "body": 400, "anybody": 500, "arithmetic": 300, "chronology": 40, "c": 3}
+FILLER = "a quiet reader kept every key of the mill and told the miller about it in the cold of the winter"
 
 
 def words_seps(text):
@@ -27,14 +27,14 @@ def compare(a, b):
     return W.Comparison(first, second, lambda w: LEXICON.get(w, 0)).run()
 
 
-PAGES_A = {1: "howpeople " + FILLER, 2: "S ynchronicity " + FILLER, 3: "democracy and something " + FILLER, 4: "decisionmaking " + FILLER, 5: FILLER}
-PAGES_B = {1: "how people " + FILLER, 2: "Synchronicity " + FILLER, 3: "demo-\ncracy and some-\nthing " + FILLER, 4: "decision-\nmaking " + FILLER, 5: FILLER + " the people of the town were not told how the place had been taken from them"}
+PAGES_A = {1: "whereletters " + FILLER, 2: "C hronology " + FILLER, 3: "arithmetic and anybody " + FILLER, 4: "bookbinding " + FILLER, 5: FILLER}
+PAGES_B = {1: "where letters " + FILLER, 2: "Chronology " + FILLER, 3: "arith-\nmetic and any-\nbody " + FILLER, 4: "book-\nbinding " + FILLER, 5: FILLER + " nobody in the town had seen the ferry leave or the boats return from the island"}
 
 
 def test_kinds_of_disagreement():
     done = compare(PAGES_A, PAGES_B)
     by = lambda bucket: {" ".join(r.x).lower() for r in done.rows if r.bucket == bucket}
-    assert {"howpeople", "decisionmaking"} <= by("a_glue") and "s ynchronicity" in by("a_split")
+    assert {"whereletters", "bookbinding"} <= by("a_glue") and "c hronology" in by("a_split")
     assert done.counts["join_ok"] >= 2 and sum(r.bucket == "a_missing" for r in done.rows) == 1
 
 
@@ -47,7 +47,7 @@ def frames(spark, a, b):
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_furniture_is_counted_not_reported(spark, limit):
     lexicon = spark.createDataFrame([*LEXICON.items(), ("the", 3), (None, 1), ("x", None)], "w string, df int")
-    stamp = {p: "Downloaded by a university library on a date " + FILLER for p in range(1, 5)}
+    stamp = {p: "Lent by the county archive on this very day " + FILLER for p in range(1, 5)}
     a, b = frames(spark, stamp, {p: FILLER for p in range(1, 5)})
     empty = spark.createDataFrame([(1, 9, None), (None, 1, ["x"])], "file_id long, page int, words array<string>")
     rows, counters = W.compared_pages(a.unionByName(a).unionByName(empty), b, lexicon, limit=limit)
@@ -63,8 +63,8 @@ def test_wrong_table_is_refused(spark):
 
 def test_alignment(spark):
     body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen " * 2
-    a = f"preface\n== page 139 ==\n12 The Head\n{body}operates e on\nTHE HEAD 13\nthe rest"
-    b = f"junk BEGIN preface The Head\n{body}operates on the rest END junk"
+    a = f"preface\n== page 139 ==\n12 The Head\n{body}sails e on\nTHE HEAD 13\nthe rest"
+    b = f"junk BEGIN preface The Head\n{body}sails on the rest END junk"
     df = spark.createDataFrame([(1, a, b), (2, a, "nothing of it"), (3, a, b * 3), (4, None, None), (5, a, a)], "id long, text_a string, text_b string")
     out = W.aligned(df, "id", heads="the head", b_head="BEGIN", b_tail="END", offset=100).collect()
     one = [r for r in out if r["id"] == 1]

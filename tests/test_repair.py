@@ -8,19 +8,19 @@ from foliomend.operators import lexicon as L
 from foliomend.operators import repair as R
 from foliomend.params import Params
 
-VOCABULARY = {"political", "institution", "institutional"}
+VOCABULARY = {"harbour", "translation", "translational"}
 
 
 def accept(a, b):
     return (a + b).lower() in VOCABULARY
 
 
-DEMO = "the polit ical theory of insti tution al design"
+DEMO = "the harb our master of transla tion al notes"
 
 
 def test_walk_passes_a_refused_token_on():
-    assert R.walk_pairs(DEMO, accept) == ("the political theory of institution al design", 2)
-    assert R.walk_to_fixpoint(DEMO, accept) == ("the political theory of institutional design", 3)
+    assert R.walk_pairs(DEMO, accept) == ("the harbour master of translation al notes", 2)
+    assert R.walk_to_fixpoint(DEMO, accept) == ("the harbour master of translational notes", 3)
 
 
 def test_consuming_substitution_misses_what_the_walk_finds():
@@ -105,9 +105,9 @@ def test_hyphen_decisions(spark):
 
 
 def test_segments_prefer_few_long_pieces():
-    log = {w: p for w, p in {"can": -3.0, "understand": -7.0, "under": -5.0, "stand": -5.0, "completely": -7.0}.items()}
-    assert R.segment("Canunderstandcompletely", log) == ["Can", "understand", "completely"]
-    assert R.segment("understand", log) is None or R.segment("understand", log) == ["under", "stand"]
+    log = {w: p for w, p in {"may": -3.0, "warehouse": -7.0, "ware": -5.0, "house": -5.0, "carefully": -7.0}.items()}
+    assert R.segment("Maywarehousecarefully", log) == ["May", "warehouse", "carefully"]
+    assert R.segment("warehouse", log) is None
     assert R.segment("xyz", log) is None
 
 
