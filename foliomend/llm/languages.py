@@ -112,7 +112,7 @@ class Profiles:
 
     def table(self) -> np.ndarray:
         if self._table is None:
-            self._table = np.full((1 << _BITS, len(self.languages)), PROFILE + 1_000, np.int16)
+            self._table = np.full((1 << _BITS, len(self.languages)), 4 * PROFILE, np.int16)
             for i, order in enumerate(self.ranked):
                 self._table[order, i] = np.arange(len(order))
         return self._table
@@ -126,12 +126,14 @@ class Profiles:
         count = np.minimum(g.count, 31)
         times = np.bincount(g.segment * 32 + count, minlength=n * 32).reshape(n, 32)
         above = times[:, ::-1].cumsum(1)[:, ::-1] - times
-        rank = (above + (times - 1) / 2)[g.segment, count]
-        away = np.abs(self.table()[g.gram] - rank[:, None].astype(np.float32))
+        rank = np.minimum(above + (times - 1) // 2, PROFILE + 500).astype(np.int16)[g.segment, count]
+        away = self.table()[g.gram]
+        away -= rank[:, None]
+        np.abs(away, out=away)
         np.minimum(away, PROFILE, out=away)
         start = np.concatenate([[0], np.nonzero(np.diff(g.segment))[0] + 1])
         out = np.zeros((n, len(self.languages)))
-        out[g.segment[start]] = np.add.reduceat(away, start, axis=0) / PROFILE
+        out[g.segment[start]] = np.add.reduceat(away, start, axis=0, dtype=np.int32) / PROFILE
         return out, np.bincount(g.segment, minlength=n).astype(float)
 
 
@@ -193,7 +195,7 @@ def _path(cost: np.ndarray) -> np.ndarray:
 
 
 #: Characters whose n-grams are in memory at once.
-BLOCK = 300_000
+BLOCK = 100_000
 
 
 def _scored(segments: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
