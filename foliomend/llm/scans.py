@@ -329,13 +329,15 @@ class Channel:
         single = max(self.count(word), 0.01) / self.total
         return math.log(PAIR_WEIGHT * pair + (1 - PAIR_WEIGHT) * single) - math.log(single)
 
-    def decode(self, chunks: list[str]) -> list[str]:
-        """The most probable reading of a line: Viterbi over the candidate readings of its pieces."""
+    def decode(self, chunks: list[str], left: list[str] | None = None, right: list[str] | None = None) -> list[str]:
+        """The most probable reading of a line: Viterbi over the candidate readings of its pieces. left and right are what stands
+        before and after it."""
+        wide, shift = [*(left or []), *chunks, *(right or [])], len(left or [])
         options = [[(c, 0.0)] + ([] if c in self.fine else self.readings(c)) for c in chunks]
         states: list[tuple[float, list[str]]] = [(0.0, [])]
         for i, option in enumerate(options):
             # fragments of a split word aren't misread
-            if len(option) > 1 and self._split(chunks, i):
+            if len(option) > 1 and self._split(wide, i + shift):
                 option = option[:1]
             new = []
             for reading, gain in option:
@@ -347,11 +349,16 @@ class Channel:
         return max(states, key=lambda s: s[0])[1]
 
     def _split(self, chunks: list[str], i: int) -> bool:
-        word = _core(chunks[i]).lower()
-        before = _core(chunks[i - 1]).lower() if i else ""
-        after = _core(chunks[i + 1]).lower() if i + 1 < len(chunks) else ""
-        known = lambda w: w in self.words or w in self.granted
-        return bool(word.isalpha() and (before and not known(before) and known(before + word) or after and (not known(after) or not known(word)) and known(word + after)))
+        """Whether a piece is a part of a word that was split in two to four, by what stands around it."""
+        near = [_core(c).lower() for c in chunks[max(0, i - 3) : i + 4]]
+        at = min(i, 3)
+        if not near[at].isalpha():
+            return False
+        for a in range(max(0, at - 3), at + 1):
+            for b in range(at + 1, min(a + 4, len(near)) + 1):
+                if b - a > 1 and (word := "".join(near[a:b])) and len(word) > 4 and (word in self.words or word in self.granted):
+                    return True
+        return False
 
 
 _INSIDE = re.compile(r"[^\W\d_]+[0156!+][^\W\d_]+|[^\W\d_]{3,}[!+]|[015][^\W\d_]{3,}").fullmatch
@@ -364,6 +371,7 @@ def faults(text: str, channel: Channel) -> Iterator[tuple[int, str]]:
     lines = layout(text)
     bodies = [i for i, x in enumerate(lines) if x.kind == "text"]
     after = dict(zip(bodies, bodies[1:]))
+    place = {i: n for n, i in enumerate(bodies)}
     carried: str | None = None  # the part that a cut word had in the line before
     for i, line in enumerate(lines):
         if line.kind in ("head", "folio"):
@@ -385,7 +393,9 @@ def faults(text: str, channel: Channel) -> Iterator[tuple[int, str]]:
                     carried = m[1]
                     chunks = chunks[:-1]
         if not misread and chunks and not channel.fine.issuperset(chunks) and any(channel.readings(c) for c in chunks if c not in channel.fine):
-            misread = channel.decode(chunks) != chunks
+            left = lines[bodies[place[i] - 1]].text.split()[-3:] if place[i] else []
+            right = lines[after[i]].text.split()[:3] if i in after else []
+            misread = channel.decode(chunks, left, right) != chunks
         if misread:
             yield i + 1, "misread"
 
