@@ -6,8 +6,8 @@ within a limit; beyond it each text gets its own share by a join, with the same
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -148,10 +148,11 @@ class SplitRepair:
         least = self.params.display_run - 1
         return re.sub(rf"(?<![A-Za-z])[A-Za-z](?: [A-Za-z](?![A-Za-z])){{{least},}}", put, text), n
 
-    def once(self, text: str) -> tuple[str, int, int]:
-        """One walk: the text, how many pairs were joined and how many attested ones were left alone."""
+    def once(self, text: str, examples: Counter, left: Counter) -> tuple[str, int]:
+        """One walk: the text and how many pairs were joined. examples and left get the pairs that were joined, and the attested
+        ones that were left alone."""
         spans = [m.span() for m in _TOKEN.finditer(text)]
-        keep, last, merged, skipped, i = [], 0, 0, 0, 0
+        keep, last, merged, i = [], 0, 0, 0
         while i + 1 < len(spans):
             (b0, e0), (b1, e1) = spans[i], spans[i + 1]
             i += 1
@@ -165,9 +166,10 @@ class SplitRepair:
                 last = b1
                 merged += 1
                 i += 1
+                examples[f"{a}[{sep.replace(chr(10), '<NL>')}]{b} -> {''.join(pair)}"] += 1
             elif pair in self.attested:
-                skipped += 1
-        return "".join(keep) + text[last:], merged, skipped
+                left[f"{a}|{b}"] += 1
+        return "".join(keep) + text[last:], merged
 
     def _guarded(self, a: str, b: str) -> bool:
         """A single letter beside a word is an initial or an article; two single letters are what a display word left."""
@@ -177,14 +179,15 @@ class SplitRepair:
 
     def repair(self, text: str) -> dict:
         new, runs = self.collapse(text)
-        merged = skipped = 0
+        merged, examples, left = 0, Counter(), Counter()
         for _ in range(self.params.repair_passes):
-            new, n, s = self.once(new)
+            new, n = self.once(new, examples, left)
             merged += n
-            skipped += s
             if not n:
                 break
-        return {"text": new, "merged": merged, "runs": runs, "skipped": skipped, "hyph": 0, "changed": new != text, "would_write": merged > 0}
+        # the commonest first, of equal ones what came first; the counts beside them are whole
+        tops = {"examples": [k for k, _ in examples.most_common(5)], "left": [k for k, _ in left.most_common(4)]}
+        return tops | {"text": new, "merged": merged, "runs": runs, "skipped": sum(left.values()), "hyph": 0, "changed": new != text, "would_write": merged > 0}
 
 
 def is_word(tf_word: Column, df: Column, sources: Column, params: Params = DEFAULTS) -> Column:
@@ -206,7 +209,7 @@ def merge_table(clean: DataFrame, sources: int, params: Params = DEFAULTS) -> Da
     return both.select("a", "b", (~(F.col("a_word") & F.col("b_word")) | over).alias("mergeable"), "a_word", "b_word")
 
 
-_REPAIRED = "text string, merged bigint, runs bigint, skipped bigint, hyph bigint, changed boolean, would_write boolean"
+_REPAIRED = "text string, merged bigint, runs bigint, skipped bigint, hyph bigint, changed boolean, would_write boolean, examples array<string>, left array<string>"
 
 
 def _per_text(docs: DataFrame, key: str, text: str, facts: DataFrame, candidates: Callable[[str], Iterable[tuple[str, str]]], kernel: Callable[[str, list], dict], schema: str, limit: int) -> DataFrame:
@@ -283,7 +286,8 @@ def _split_candidates(text: str) -> Iterator[tuple[str, str]]:
 
 
 def repair_splits(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS, targets: DataFrame | None = None, limit: int = 4 * BROADCAST_ROWS) -> DataFrame:
-    """key, text, merged, runs, skipped, hyph, changed and would_write of the texts to repair, all of docs or those whose key
+    """key, text, merged, runs, skipped, hyph, changed, would_write, and the commonest joined (examples) and untouched (left) pairs
+    of the texts to repair, all of docs or those whose key
     is in targets. The lexicon is learned from the clean rows of docs alone.
 
     hyph is always 0: the lexicon holds no hyphenated forms, so that branch can't fire. would_write is false for a text in which

@@ -60,7 +60,8 @@ def test_display_words_collapse_whole_or_not_at_all():
 
 def test_skipped_pairs_are_counted_not_merged():
     fix = repairer({"in", "to"}, [], [("in", "to")])
-    assert fix.repair("in to it") == {"text": "in to it", "merged": 0, "runs": 0, "skipped": 1, "hyph": 0, "changed": False, "would_write": False}
+    assert fix.repair("in to it") == {"text": "in to it", "merged": 0, "runs": 0, "skipped": 1, "hyph": 0, "changed": False, "would_write": False, "examples": [], "left": ["in|to"]}
+    assert repairer(set(), [("sci", "ence")]).repair("Sci\nence")["examples"] == ["Sci[<NL>]ence -> science"]
 
 
 @pytest.fixture
