@@ -20,7 +20,7 @@ from foliomend.runtime import filled, one_row_per, stored
 #: A word must make up this share of all words, and a pair of words that share of all pairs, to be sent to the workers: at most
 #: 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can be. Words also need LEAST occurrences.
 WORD_SHARE, PAIR_SHARE, LEAST = 5e-7, 2e-6, 3
-#: Files of the older collection from which on a word of the lexicon is taken for granted, and the size the table may have.
+#: Files of the older collection from which on a word of the lexicon counts as known, and the size the table may have.
 LEXICON_FILES, LEXICON_LIMIT = 3, 200_000
 #: Chance that a word's place is taken by a word never met: in small letters, as a name, and with signs or figures inside.
 NEW_WORD, NEW_NAME, NEW_SIGNS = 2e-9, 2e-7, 1e-13
@@ -132,8 +132,14 @@ class Channel:
     granted: frozenset[str]
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     chance: dict[tuple[str, str], float] = field(default_factory=dict)
+    lexicon: dict[str, int] = field(default_factory=dict)  # files of the older collection that hold each word of granted
 
     def __post_init__(self) -> None:
+        # the parts of a compound are known as often as it is
+        self.attested: dict[str, int] = {}
+        for word in self.granted:
+            for part in {word, *word.split("-")}:
+                self.attested[part] = max(self.attested.get(part, 0), self.lexicon.get(word, LEXICON_FILES))
         self.fine: set[str] = set()
         self.memory: dict[str, list[tuple[str, float]]] = {}
         self.by_read: dict[str, list[tuple[str, str]]] = {}
@@ -144,10 +150,10 @@ class Channel:
         self.shapes = Counter(w.translate(_SHAPE) for w in self.words.keys() | self.granted)
 
     def __getstate__(self) -> tuple:
-        return self.words, self.total, self.granted, self.pairs, self.chance
+        return self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.total, self.granted, self.pairs, self.chance = state
+        self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon = state
         self.__post_init__()
 
     def count(self, word: str) -> float:
@@ -222,7 +228,7 @@ class Channel:
             start, core = start - 1, "!" + core
         if start + len(core) < len(chunk) and chunk[start + len(core)] in "|" and len(core) > 2:
             core += chunk[start + len(core)]
-        if len(core) < 2 or len(core) > 40 or core.isdigit() or core.lower() in self.granted:
+        if len(core) < 2 or len(core) > 40 or core.isdigit():
             return []
         out = []
         at = start
@@ -243,9 +249,9 @@ class Channel:
 
     def _new_word(self, word: str) -> list[tuple[str, float]]:
         low = word.lower()
-        if low in self.granted or not any(c.isalpha() for c in word):
+        if not any(c.isalpha() for c in word):
             return []
-        n = self.words.get(low, 0)
+        n, files = self.words.get(low, 0), self.attested.get(low, 0)
         if not word.isalpha():
             letters = sum(c.isalpha() for c in word)
             figures = sum(c.isdigit() for c in word)
@@ -253,17 +259,16 @@ class Channel:
                 return [(word.translate(_AS_FIGURES), 5.0)]  # a number read with letters
             if figures > 1 and letters <= figures or any(c not in "0156890!+|" and not c.isalpha() for c in word):
                 return []
-        own = math.log(n / self.total) if n else self.unknown(word)
         out = []
         for form, log in self.candidates(word):
             other = self.count(form.lower())
-            # a word that is known itself is a misreading only if the confusion explains how often it stands there
-            if n and n > 3 * other * math.exp(log) + 2:
-                continue
-            gain = math.log(other / self.total) + log - (own if not n else self.unknown(word))
-            if gain > -4.0:
+            # a word that is known itself is a misreading only if the confusion explains how often it stands there, in this
+            # collection and the older one; else the pairs must outweigh its own frequency
+            explained = n + files <= 3 * (other + self.attested.get(form.lower(), 0)) * math.exp(log) + 2 * (bool(n) + bool(files))
+            gain = math.log(other / self.total) + log - (self.unknown(word) if explained else math.log(max(n, files) / self.total))
+            if gain > (-4.0 if explained else -8.0):
                 out.append((form, gain))
-        if not out and not n:
+        if not out and not n and not (files and word.isalpha()):
             out = self._derived(word)
         return out
 
@@ -519,11 +524,11 @@ def channel_of(spark: SparkSession, texts: DataFrame, lexicon: DataFrame) -> Cha
     """The channel of a corpus (text) and of an older lexicon (w, df), a fixed table whose size is checked."""
     if lexicon.count() > LEXICON_LIMIT:
         raise ValueError(f"more than {LEXICON_LIMIT} words in the lexicon")
-    granted = frozenset(r["w"] for r in lexicon.where((F.col("df") >= LEXICON_FILES) & F.col("w").isNotNull()).select(F.lower("w").alias("w")).distinct().collect())
+    known = {r["w"]: r["df"] for r in lexicon.where((F.col("df") >= LEXICON_FILES) & F.col("w").isNotNull()).groupBy(F.lower("w").alias("w")).agg(F.max("df").alias("df")).collect()}
     words = stored(texts.mapInPandas(filled(_count_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 1
     kept = words.where((F.col("n") >= LEAST) & (F.col("n") >= WORD_SHARE * total)).toPandas()
-    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), granted)
+    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), frozenset(known), lexicon=known)
     sent = spark.sparkContext.broadcast(channel)
     pairs = stored(texts.mapInPandas(filled(lambda it: _count_pairs(sent.value, it)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     frequent = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") >= PAIR_SHARE * total)).toPandas()

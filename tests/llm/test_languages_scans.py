@@ -117,3 +117,13 @@ def test_line_faults_of_tables(spark):
     texts = {r["file_id"]: r["text"] for r in S.repaired_texts(spark, [files], lexicon, common).collect()}
     assert set(texts) == {1, None} and texts[1].endswith("The archive of the town is not the same.")
     assert S.line_faults(spark, [files.limit(0)], lexicon, common).count() == 0
+
+
+def test_lexicon_words_are_misread_where_a_confusion_explains_them():
+    counts = dict(channel().words) | {"editor": 2800, "abstract": 1500, "came": 3900, "abstroct": 2}
+    lexicon = {"ed!tor": 3, "abstroct": 3, "come": 140, "self-evident": 9}
+    c = S.Channel(counts, 2e6, frozenset(lexicon), {("never", "came"): 40}, {("a", "o"): 2e-4, ("o", "a"): 3e-4, ("!", "i"): 5e-4}, lexicon)
+    assert c.decode("the ed!tor had abstroct".split()) == "the editor had abstract".split()
+    # attested often in the older collection: right by itself, misread where the pairs say so
+    assert c.decode("asked come self-evident".split()) == "asked come self-evident".split()
+    assert c.decode("was never come".split()) == "was never came".split()
