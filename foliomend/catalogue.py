@@ -239,8 +239,8 @@ def page_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _headed(spark: SparkSession, d: str) -> DataFrame:
-    """Healthy texts in stretches of 500 characters, each after a number and a running head."""
-    return files(spark, d, "healthy").where("length(text) >= 5000").select("file_id", F.expr("array_join(transform(sequence(0, cast(length(text) / 500 as int) - 1), i -> concat(cast(i + 1 as string), ' THE RUNNING HEAD ', substring(text, i * 500 + 1, 500), '\n')), '')").alias("text"))
+    """Healthy texts, whole, in stretches of up to 500 characters, each after a number and a running head."""
+    return files(spark, d, "healthy").where("length(text) > 0").select("file_id", F.expr("array_join(transform(sequence(0, cast(ceil(length(text) / 500) as int) - 1), i -> concat(cast(i + 1 as string), ' THE RUNNING HEAD ', substring(text, i * 500 + 1, 500), '\n')), '')").alias("text"))
 
 
 def recovered_anchors(spark: SparkSession, d: str) -> DataFrame:

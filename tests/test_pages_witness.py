@@ -112,3 +112,17 @@ def test_anchors_are_written_only_through_the_gates(spark):
     out = P.anchored(docs, kept, gates, "id").collect()
     assert len(out) == 1 and out[0]["text"].count("===== page ") == gates.where("id = 1").first()["kept"]
     assert "\n===== page 5 =====\n5 HEAD" in out[0]["text"]
+
+
+def test_headed_texts_are_whole(spark, tmp_path):
+    from foliomend import catalogue
+
+    rows = [(1, "abcde" * 901 + "the end"), (2, "short"), (3, ""), (4, None), (5, "x" * 500)]
+    spark.createDataFrame([(i, "r", t) for i, t in rows], "file_id long, rel string, text string").write.parquet(f"{tmp_path}/healthy.parquet")
+    got = {r["file_id"]: r["text"] for r in catalogue._headed(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 5} and got[1].count("THE RUNNING HEAD") == 10
+    assert got[2] == "1 THE RUNNING HEAD short\n" and got[5] == "1 THE RUNNING HEAD " + "x" * 500 + "\n"
+    assert "".join(line.split(" HEAD ")[1] for line in got[1].splitlines()) == rows[0][1]
+    gates = {r["file_id"]: r["passed"] for r in catalogue.recovered_anchors(spark, str(tmp_path)).collect()}
+    assert gates == {1: True, 2: False, 5: False}
+    assert [(r["file_id"], "the end" in r["text"]) for r in catalogue.anchored_texts(spark, str(tmp_path)).collect()] == [(1, True)]
