@@ -409,24 +409,37 @@ def repaired(text: str, channel: Channel) -> str:
     """Continuous paragraphs of a prose text: without heads, page numbers and anchors, cut words whole, misread ones put right.
     A paragraph goes on over a page's end if it stops without an end mark there."""
     lines = layout(text)
+    bodies = [line.text.split() for line in lines if line.kind == "text"]
     paragraphs: list[list[str]] = [[]]
     furniture = blank = False
+    at = -1
     for line in lines:
         if line.kind != "text":
             furniture |= line.kind != "blank"
             blank |= line.kind == "blank"
             continue
-        words = line.text.split()
+        at += 1
+        words = bodies[at]
+        left, right = bodies[at - 1][-3:] if at else [], bodies[at + 1][:3] if at + 1 < len(bodies) else []
         last = paragraphs[-1]
         open_ = bool(last) and last[-1][-1] not in ".!?…:”»\"’)"
         if last and (blank or furniture) and not (furniture and open_) and (blank or not open_):
             paragraphs.append([])
             last = paragraphs[-1]
         furniture = blank = False
+        compound = ""
         if last and last[-1].endswith("-") and words and (m := _LAST(last[-1])) and (n := _FIRST(words[0])):
-            cut = last.pop()
-            words[0] = (cut[:-1] if channel.joined(m[1], n[1]) == "hyphen" else cut) + words[0]
-        last += channel.decode(words) if not channel.fine.issuperset(words) else words
+            if channel.joined(m[1], n[1]) == "hyphen":
+                whole = last.pop()[:-1] + words[0]
+                last.append(next((r for r, gain in sorted(channel.readings(whole), key=lambda x: -x[1])[:1] if gain > 0), whole))
+                words = words[1:]
+            else:
+                compound = last.pop()
+        # the first part of a cut word is read with the rest of it
+        held = words[-1:] if words and right and (m := _LAST(words[-1])) and (n := _FIRST(right[0])) and channel.joined(m[1], n[1]) == "hyphen" else []
+        words = words[: len(words) - len(held)]
+        words = [*(channel.decode(words, left, right) if not channel.fine.issuperset(words) else words), *held]
+        last += [compound + words[0], *words[1:]] if compound else words
     return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 

@@ -127,3 +127,13 @@ def test_lexicon_words_are_misread_where_a_confusion_explains_them():
     # attested often in the older collection: right by itself, misread where the pairs say so
     assert c.decode("asked come self-evident".split()) == "asked come self-evident".split()
     assert c.decode("was never come".split()) == "was never came".split()
+
+
+def test_repaired_lines_are_read_as_their_faults_are():
+    c = channel(["chants", "merchonts"])
+    # mer and chonts are a known word in two pieces; chonts by itself could be chants misread
+    text = "It was read before any mer\nchonts had asked. The rnargin was testi-\nmony of the arch!-\nve and a well-\nthumbed catalogue."
+    pieces = S.repaired(text, c).split()
+    misread = {n for n, f in S.faults(text, c) if f == "misread"}
+    assert 1 not in misread and "mer chonts had asked. The margin" in " ".join(pieces)
+    assert S.repaired(text, c).endswith("testimony of the archive and a well-thumbed catalogue.")
