@@ -3,23 +3,32 @@ noisy channel puts right: confusions of characters times n-grams of words, decod
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomend.llm.forms import ANCHOR, common_set, form_of
 from foliomend.runtime import filled, one_row_per, stored
 
-#: A word must make up this share of all words, and a pair of words that share of all pairs, to be sent to the workers: at most
-#: 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can be. Words also need LEAST occurrences.
+#: A word must make up this share of all words, and a pair of words that share of all pairs, to be kept in the workers' memory:
+#: at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can be. The rest with LEAST occurrences is looked up in a file.
 WORD_SHARE, PAIR_SHARE, LEAST = 5e-7, 2e-6, 3
+#: Rows of such a file that the driver takes at once.
+REST_ROWS = 1_000_000
+#: Bits of a key's digest by which a worker's memory tells most keys that aren't in the file.
+FIRST_BITS = 22
 #: Files of the older collection from which on a word of the lexicon counts as known, and the size the table may have.
 LEXICON_FILES, LEXICON_LIMIT = 3, 200_000
 #: Chance that a word's place is taken by a word never met: in small letters, as a name, and with signs or figures inside.
@@ -123,6 +132,73 @@ def _core(chunk: str) -> str:
     return chunk.strip(_EDGE)
 
 
+class Rest:
+    """Numbers by key in a file that every worker has on its disk, for what is too much for memory. Keys are known by 128 bits;
+    their first 64 are sorted. Only the pages of the file that are asked for are read."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.columns: list[np.ndarray] | None = None
+
+    def __getstate__(self) -> str:
+        return self.name
+
+    def __setstate__(self, name: str) -> None:
+        self.__init__(name)
+
+    def __call__(self, key: str) -> int:
+        if self.columns is None:
+            table = np.load(SparkFiles.get(self.name), mmap_mode="r")
+            self.columns = [np.asarray(column) for column in table]
+            # most keys asked for are none of the file's, as their first bits tell
+            bits = np.zeros(1 << FIRST_BITS, np.uint8)
+            for at in range(0, table.shape[1], REST_ROWS):
+                bits[self.columns[0][at : at + REST_ROWS] >> np.uint64(64 - FIRST_BITS)] = 1
+            self.bits = bits.tobytes()
+        raw = hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest()
+        first = int.from_bytes(raw[:8], "little")
+        if not self.bits[first >> 64 - FIRST_BITS]:
+            return 0
+        firsts, seconds, n = self.columns
+        i = int(firsts.searchsorted(np.uint64(first)))
+        while i < len(firsts) and firsts[i] == first:
+            if seconds[i] == int.from_bytes(raw[8:], "little"):
+                return int(n[i])
+            i += 1
+        return 0
+
+    @classmethod
+    def of(cls, spark: SparkSession, facts: DataFrame) -> Rest | None:
+        """The file of facts (key, n), none of which has to fit into memory but by 24 bytes a key, in parts."""
+        facts = stored(facts.mapInPandas(filled(_digests), "d bigint, e bigint, n bigint"))
+        rows = facts.count()
+        if not rows:
+            return None
+        name = f"rest-{uuid.uuid4().hex}.npy"
+        path = os.path.join(tempfile.mkdtemp(prefix="foliomend-"), name)
+        table = np.lib.format.open_memmap(path, "w+", np.uint64, (3, rows))
+        parts, at = -(-rows // REST_ROWS), 0
+        for k in range(parts):  # by the first bits, so that part after part is in order
+            begin, end = (k << 32) // parts, (k + 1 << 32) // parts
+            part = facts.where(F.shiftrightunsigned("d", 32).between(begin, end - 1)).toPandas()
+            d = part["d"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(d)
+            for row, column in enumerate((d, part["e"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64).view(np.uint64))):
+                table[row, at : at + len(d)] = column[order]
+            at += len(d)
+        table.flush()
+        del table
+        spark.sparkContext.addFile(path)
+        return cls(name)
+
+
+def _digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        raw = b"".join(hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=16).digest() for k in batch["key"])
+        both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+        yield pd.DataFrame({"d": both[:, 0], "e": both[:, 1], "n": batch["n"].to_numpy()})
+
+
 @dataclass
 class Channel:
     """Words and pairs of the corpus, and how often characters are confused."""
@@ -133,6 +209,9 @@ class Channel:
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     chance: dict[tuple[str, str], float] = field(default_factory=dict)
     lexicon: dict[str, int] = field(default_factory=dict)  # files of the older collection that hold each word of granted
+    kept: float = 0.0  # occurrences from which on words are in words
+    rest: Rest | None = None  # the other words "w", their shapes "s" and parts "l", "r" and "c"
+    rest_pairs: Rest | None = None  # the other pairs "p"
 
     def __post_init__(self) -> None:
         # the parts of a compound are known as often as it is
@@ -147,17 +226,36 @@ class Channel:
             self.by_read.setdefault(read[0], []).append((read, printed))
         self._prefixes: tuple[Counter, Counter] | None = None
         self.word_memory: dict[str, list[tuple[str, float]]] = {}
+        self.rest_memory: dict[str, int] = {}
         self.shapes = Counter(w.translate(_SHAPE) for w in self.words.keys() | self.granted)
 
     def __getstate__(self) -> tuple:
-        return self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon
+        return self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon, self.kept, self.rest, self.rest_pairs
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon = state
+        self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon, self.kept, self.rest, self.rest_pairs = state
         self.__post_init__()
 
+    def looked_up(self, key: str) -> int:
+        """The number of a key that isn't in memory."""
+        rest = self.rest_pairs if key[0] == "p" else self.rest
+        if rest is None:
+            return 0
+        n = self.rest_memory.get(key)
+        if n is None:
+            if len(self.rest_memory) > 500_000:
+                self.rest_memory.clear()
+            n = self.rest_memory[key] = rest(key)
+        return n
+
+    def occurrences(self, word: str) -> int:
+        return self.words.get(word) or self.looked_up("w" + word)
+
+    def known(self, word: str) -> bool:
+        return word in self.words or word in self.granted or self.looked_up("w" + word) > 0
+
     def count(self, word: str) -> float:
-        return self.words.get(word, 0) or (1.0 if word in self.granted else 0.0)
+        return self.occurrences(word) or (1.0 if word in self.granted else 0.0)
 
     def log(self, read: str, printed: str) -> float:
         return math.log(self.chance.get((read, printed), PRIOR))
@@ -174,7 +272,8 @@ class Channel:
         with figures or signs inside."""
         low = word.lower()
         # without another known word of the same shape there is nothing to be found
-        if "F" not in word and self.shapes[low.translate(_SHAPE)] <= (low in self.words or low in self.granted):
+        shape = low.translate(_SHAPE)
+        if "F" not in word and self.shapes[shape] + self.looked_up("s" + shape) <= self.known(low):
             return []
         found: dict[str, float] = {}
         odd = not word.isalpha()
@@ -202,7 +301,7 @@ class Channel:
 
     def own(self, word: str) -> float:
         """Log chance of a word by itself; only its occurrences that confusions don't explain count."""
-        n = self.words.get(word.lower(), 0)
+        n = self.occurrences(word.lower())
         if n:
             return math.log(n / self.total)
         return math.log(1.0 / self.total) if word.lower() in self.granted else self.unknown(word)
@@ -251,7 +350,7 @@ class Channel:
         low = word.lower()
         if not any(c.isalpha() for c in word):
             return []
-        n, files = self.words.get(low, 0), self.attested.get(low, 0)
+        n, files = self.occurrences(low), self.attested.get(low, 0)
         if not word.isalpha():
             letters = sum(c.isalpha() for c in word)
             figures = sum(c.isdigit() for c in word)
@@ -281,7 +380,7 @@ class Channel:
             return []
         low = word.lower()
         for i in range(2, min(8, len(low) - 4)):
-            if self.prefixes()[0][low[:i]] >= 5 and low[i:] not in self.words and low[i:] not in self.granted:
+            if self.prefixes()[0][low[:i]] + self.looked_up("l" + low[:i]) >= 5 and not self.known(low[i:]):
                 best = [(f, log) for f, log in self.candidates(low[i:]) if self.count(f) > 20]
                 if best:
                     form, log = max(best, key=lambda x: x[1])
@@ -289,7 +388,7 @@ class Channel:
         return []
 
     def prefixes(self) -> tuple[Counter, Counter]:
-        """How many known words begin (or, with a - before it, end) with a part, the rest being a word too; and how many
+        """Of the words in memory: how many known words begin (or, with a - before it, end) with a part, the rest being a word too; and how many
         known compounds have it before (or after) their hyphen."""
         if self._prefixes is None:
             whole, cut = Counter(), Counter()
@@ -316,7 +415,8 @@ class Channel:
         if not (self.count(a) and self.count(b)) or min(len(a), len(b)) < 3:
             return "hyphen"
         whole, cut = self.prefixes()
-        return "compound" if cut[a] + cut["-" + b] > whole[a] + whole["-" + b] else "hyphen"
+        of_cut = cut[a] + cut["-" + b] + self.looked_up("c" + a) + self.looked_up("c-" + b)
+        return "compound" if of_cut > whole[a] + whole["-" + b] + self.looked_up("l" + a) + self.looked_up("r" + b) else "hyphen"
 
     def cut_misread(self, a: str, b: str, second: bool) -> bool:
         """Whether a word cut at a line's end is misread in its first part, or in its second."""
@@ -329,8 +429,8 @@ class Channel:
         return False
 
     def transition(self, before: str, word: str) -> float:
-        n = self.words.get(before, 0)
-        pair = self.pairs.get((before, word), 0) / n if n else 0.0
+        n = self.occurrences(before) if before else 0
+        pair = (self.pairs.get((before, word)) or self.looked_up(f"p{before} {word}")) / n if n else 0.0
         single = max(self.count(word), 0.01) / self.total
         return math.log(PAIR_WEIGHT * pair + (1 - PAIR_WEIGHT) * single) - math.log(single)
 
@@ -361,7 +461,7 @@ class Channel:
             return False
         for a in range(max(0, at - 3), at + 1):
             for b in range(at + 1, min(a + 4, len(near)) + 1):
-                if b - a > 1 and (word := "".join(near[a:b])) and len(word) > 4 and (word in self.words or word in self.granted):
+                if b - a > 1 and (word := "".join(near[a:b])) and len(word) > 4 and self.known(word):
                     return True
         return False
 
@@ -483,24 +583,41 @@ def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_pairs(channel: Channel, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of known words, and confusions in unknown words with one candidate: kind, a, b, n."""
-    known = {w: i for i, w in enumerate(channel.words)}
-    ids: dict[str, int] = {}
+    """Pairs of known words, and confusions in words with one candidate: kind, a, b, n."""
     names = list(channel.words)
+    known = {w: i for i, w in enumerate(names)}
+    ids: dict[str, int] = {}
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     odd: Counter = Counter()
     printed: Counter = Counter()
+    doubtful: set[str] = set()  # known words that may be frequent misreadings of far more frequent ones
+
+    def of(core: str) -> int:
+        i = known.get(core, -1)
+        if i < 0 and channel.looked_up("w" + core):
+            i = known[core] = len(names)
+            names.append(core)
+        return i
+
+    def counted() -> pd.DataFrame:
+        keys, back = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([c for _, c in pairs])).astype(np.int64)
+        return pd.DataFrame([("pair", names[k >> 32], names[k & 0xFFFFFFFF], c) for k, c in zip(keys.tolist(), n.tolist())], columns=["kind", "a", "b", "n"])
+
     for batch in batches:
         codes: list[int] = []
         for text in batch["text"]:
             for chunk in _words_of(text) if text else ():
                 i = ids.get(chunk)
                 if i is None:
-                    i = known.get(_core(chunk).lower(), -1)
+                    i = of(_core(chunk).lower())
                     if len(ids) > 500_000:
                         ids.clear()
+                        doubtful.clear()
                     ids[chunk] = i
-                if i < 0:
+                    if i >= 0 and _confusions(channel, {chunk: 1}):
+                        doubtful.add(chunk)
+                if i < 0 or chunk in doubtful:
                     odd[chunk] += 1
                 codes.append(i)
             codes.append(-1)
@@ -510,29 +627,58 @@ def _count_pairs(channel: Channel, batches: Iterable[pd.DataFrame]) -> Iterator[
         if len(odd) > 500_000:
             printed.update(_confusions(channel, odd))
             odd.clear()
+        if len(names) > len(channel.words) + 500_000:
+            yield counted()
+            names, pairs = list(channel.words), []
+            known = {w: i for i, w in enumerate(names)}
+            ids.clear()
+            doubtful.clear()
     printed.update(_confusions(channel, odd))
-    rows = [("confusion", a, b, n) for (a, b), n in printed.items()]
+    yield pd.DataFrame([("confusion", a, b, n) for (a, b), n in printed.items()], columns=["kind", "a", "b", "n"])
     if pairs:
-        keys, back = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([c for _, c in pairs])).astype(np.int64)
-        rows += [("pair", names[k >> 32], names[k & 0xFFFFFFFF], c) for k, c in zip(keys.tolist(), n.tolist())]
-    yield pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+        yield counted()
 
 
-def _confusions(channel: Channel, odd: Counter) -> Counter:
+def _confusions(channel: Channel, odd: dict[str, int]) -> Counter:
+    """How often each confusion explains the pieces of odd: those with one reading that is far more frequent, and that the older
+    collection doesn't know. However often a misreading comes, it counts, so that larger collections give the same chances."""
     out: Counter = Counter()
     for chunk, n in odd.items():
         core = _core(chunk)
-        if 3 < len(core) <= 40 and (core.islower() or not core.isalpha()):
+        if 3 < len(core) <= 40 and (core.islower() or not core.isalpha()) and core not in channel.granted:
+            times = max(n, channel.occurrences(core.lower()))
             found: dict[str, tuple[str, str]] = {}
             for v, how in channel.variants(core):
-                if v.isalpha() and channel.count(v.lower()) > 50 * n:
+                # words that are looked up can't be frequent enough unless the bound is
+                if v.isalpha() and (channel.count(v.lower()) if channel.kept > 50 * times else channel.words.get(v.lower(), 0)) > 50 * times:
                     found.setdefault(v.lower(), how)
             if len(found) == 1:
                 out[next(iter(found.values()))] += n
     return out
 
 
+def _word_facts(words: DataFrame, bound: float) -> DataFrame:
+    """key and n of the words (w, n) under the bound, and what they add to the counts by shape and by part: "w" word, "s" shape,
+    and of Channel.prefixes "l" and "r" the two parts of words, "c" those of compounds."""
+    words = words.withColumn("rare", F.col("n") < bound)
+    rare = words.where("rare")
+
+    def shapes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": ["s" + w.translate(_SHAPE) for w in batch["w"]]})
+
+    parts = words.where("not contains(w, '-') and length(w) > 4").select("rare", "w", F.explode(F.sequence(F.lit(2), F.length("w") - 3)).alias("i"))
+    parts = parts.select("rare", "i", F.expr("substring(w, 1, i)").alias("head"), F.expr("substring(w, i + 1)").alias("tail"))
+    parts = parts.join(words.select(F.col("w").alias("tail"), F.col("rare").alias("rare_tail")), "tail")
+    parts = parts.join(words.select(F.col("w").alias("head"), F.col("rare").alias("rare_head")), "head", "left")
+    left = parts.where("rare or rare_tail").select(F.concat(F.lit("l"), "head").alias("key"))
+    right = parts.where("i > 2 and rare_head is not null and (rare or rare_tail or rare_head)").select(F.concat(F.lit("r"), "tail").alias("key"))
+    cut = rare.where("contains(w, '-')").select(F.expr("substring(w, 1, instr(w, '-') - 1)").alias("head"), F.expr("substring(w, instr(w, '-') + 1)").alias("tail")).where("tail <> ''")
+    cut = cut.select(F.explode(F.array(F.concat(F.lit("c"), "head"), F.concat(F.lit("c-"), "tail"))).alias("key"))
+    keys = rare.select("w").mapInPandas(filled(shapes), "key string").unionByName(left).unionByName(right).unionByName(cut)
+    return rare.select(F.concat(F.lit("w"), "w").alias("key"), "n").unionByName(keys.groupBy("key").agg(F.count("*").alias("n")))
+
+
 def channel_of(spark: SparkSession, texts: DataFrame, lexicon: DataFrame) -> Channel:
     """The channel of a corpus (text) and of an older lexicon (w, df), a fixed table whose size is checked."""
     if lexicon.count() > LEXICON_LIMIT:
@@ -541,16 +687,25 @@ def channel_of(spark: SparkSession, texts: DataFrame, lexicon: DataFrame) -> Cha
     words = stored(texts.mapInPandas(filled(_count_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 1
     kept = words.where((F.col("n") >= LEAST) & (F.col("n") >= WORD_SHARE * total)).toPandas()
-    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), frozenset(known), lexicon=known)
+    others = words.where((F.col("n") >= LEAST) & (F.col("n") < WORD_SHARE * total))
+    rest = Rest.of(spark, _word_facts(words.where(F.col("n") >= LEAST), WORD_SHARE * total)) if WORD_SHARE * total > LEAST else None
+    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), frozenset(known), lexicon=known, kept=WORD_SHARE * total, rest=rest)
     sent = spark.sparkContext.broadcast(channel)
     pairs = stored(texts.mapInPandas(filled(lambda it: _count_pairs(sent.value, it)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     frequent = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") >= PAIR_SHARE * total)).toPandas()
     channel.pairs = dict(zip(zip(frequent["a"], frequent["b"]), frequent["n"].astype(int).tolist()))
+    if PAIR_SHARE * total > LEAST:
+        other_pairs = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") < PAIR_SHARE * total))
+        channel.rest_pairs = Rest.of(spark, other_pairs.select(F.concat(F.lit("p"), "a", F.lit(" "), "b").alias("key"), "n"))
     seen = {(r["a"], r["b"]): r["n"] for r in pairs.where("kind = 'confusion'").collect()}
     letters: Counter = Counter()
     for w, n in channel.words.items():
         for printed in {p for _, p in CONFUSIONS}:
             letters[printed] += n * w.count(printed.lower())
+    if rest is not None:
+        signs = sorted({p for _, p in CONFUSIONS})
+        times = [F.sum(F.col("n") * (F.length("w") - F.length(F.replace("w", F.lit(p.lower())))) / len(p)) for p in signs]
+        letters.update({p: n or 0 for p, n in zip(signs, others.agg(*times).first())})
     channel.chance = {(r, p): (seen.get((r, p), 0) + PRIOR * PRIOR_WEIGHT) / (letters[p] + PRIOR_WEIGHT) for r, p in CONFUSIONS}
     return channel
 

@@ -137,3 +137,34 @@ def test_repaired_lines_are_read_as_their_faults_are():
     misread = {n for n, f in S.faults(text, c) if f == "misread"}
     assert 1 not in misread and "mer chonts had asked. The margin" in " ".join(pieces)
     assert S.repaired(text, c).endswith("testimony of the archive and a well-thumbed catalogue.")
+
+
+def test_words_and_pairs_beyond_the_bounds_are_looked_up(spark, monkeypatch):
+    rare = "The quarry of the well-worn overinstrument was sealed by Orvane, and the instrument is not in the town.\n" * 6
+    misread = "The quorry of the town was sealed by the arch!ve and the over-\ninstrument is not read in the well-\nworn quar ry.\n"
+    texts = [BODY * 3] * 30 + [rare] + [BODY + misread]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    lexicon = spark.createDataFrame([("the", 300)], "w string, df int")
+    common = spark.createDataFrame([("en", w) for w in "the of and was is".split()], "lang string, w string")
+
+    def run():
+        _, channel = S._channel(spark, [files], lexicon)
+        faults = sorted(tuple(r) for r in S.line_faults(spark, [files], lexicon, common).collect())
+        return channel, faults, sorted(tuple(r) for r in S.repaired_texts(spark, [files], lexicon, common).collect())
+
+    whole, *want = run()
+    assert (31, 5, "misread") in want[0] and whole.rest is None
+    monkeypatch.setattr(S, "WORD_SHARE", 20 / whole.total)
+    monkeypatch.setattr(S, "PAIR_SHARE", 1000 / whole.total)
+    monkeypatch.setattr(S, "REST_ROWS", 7)
+    bounded, *got = run()
+    assert "quarry" in whole.words and "quarry" not in bounded.words and not bounded.pairs and got == want
+    for w in {*whole.words, "quorry"}:
+        assert bounded.count(w) == whole.count(w)
+    for pair, n in whole.pairs.items():
+        assert bounded.looked_up("p" + " ".join(pair)) == n
+    assert bounded.chance == pytest.approx(whole.chance)
+    for key, n in whole.prefixes()[0].items():
+        assert bounded.prefixes()[0][key] + bounded.looked_up("r" + key[1:] if key[0] == "-" else "l" + key) == n
+    for key, n in whole.prefixes()[1].items():
+        assert bounded.prefixes()[1][key] + bounded.looked_up("c" + key) == n
