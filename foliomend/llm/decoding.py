@@ -4,7 +4,8 @@ corpus, improbable runs are isolated as maximum-scoring segments, and inverse ma
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -34,6 +35,7 @@ CASE = 4.0
 LEAST_SCORE = 1.0
 
 _WIDTH = 21
+_BEYOND = re.compile(r"[^\x00-\x7f]{2,}").sub
 _SPAN = re.compile(r"(?s).?[^\x00-\x7f](?:[\x00-\x7f]{0,3}[^\x00-\x7f])*.?").finditer
 _LOST = re.compile("[\x80-\x9f�]").search
 #: Characters above this one are in none of the single-byte encodings.
@@ -73,9 +75,31 @@ def _count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"pair": keys[real], "n": n[real]})
 
 
-def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """a, b (code points) and n of every adjacent pair of characters of all texts; null and one-character texts have none."""
-    pairs = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(filled(_count), "pair bigint, n bigint")
+def without_garbling(text: str) -> str:
+    """text with U+0000 for each sequence beyond ASCII that is well-formed UTF-8 taken for one of the encodings, and that isn't
+    of cased letters only, as words are."""
+    return text if text.isascii() else _BEYOND(lambda m: _masked(m.group()), text)
+
+
+@lru_cache(100_000)
+def _masked(run: str) -> str:
+    out = list(run)
+    for encoding in TAKEN_FOR:
+        for hit in _UTF8.finditer(run.translate(_table(encoding))):
+            if any(unicodedata.category(c) not in ("Lu", "Ll") for c in run[hit.start() : hit.end()]):
+                out[hit.start() : hit.end()] = "\0" * (hit.end() - hit.start())
+    return "".join(out)
+
+
+def pair_counts(df: DataFrame, text: str = "text", read: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """a, b (code points) and n of every adjacent pair of characters of all texts; null and one-character texts have none. read:
+    gives each worker what texts are passed through first."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = read() if read else None
+        return _count(pd.DataFrame({"text": [first(t) for t in b["text"]]}) for b in batches) if first else _count(batches)
+
+    pairs = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(filled(run), "pair bigint, n bigint")
     pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.select(F.shiftright("pair", _WIDTH).alias("a"), F.col("pair").bitwiseAND((1 << _WIDTH) - 1).alias("b"), "n")
 
@@ -367,9 +391,16 @@ def decoded(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str =
     encoding), and with_text the text as far as it could be restored, and restored (whether no lost characters are left).
 
     Null texts give garbled false and a null text; empty and ASCII texts come back as they are. Repeated keys and equal texts
-    each keep their row. The pair statistics cover all texts of df."""
+    each keep their row. The pair statistics cover all texts of df, as far as they can be restored."""
     source = df.select(F.col(key), F.col(text).alias("text"))
-    model = spark.sparkContext.broadcast(pair_model(pair_counts(source)))
+    # garbling must not count for itself: once without what looks like it, then with the texts as these counts restore them
+    rough = spark.sparkContext.broadcast(pair_model(pair_counts(source, read=lambda: without_garbling)))
+
+    def restorer() -> Callable[[str], str]:
+        decoder = Decoder(rough.value)
+        return lambda text: decoder.read(text)[1]
+
+    model = spark.sparkContext.broadcast(pair_model(pair_counts(source, read=restorer)))
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, garbled boolean" + (", text string, restored boolean" if with_text else "")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -117,3 +117,15 @@ def test_maximal_segments_against_brute_force():
 def test_pair_counts_leave_out_what_stands_between_texts(spark):
     df = spark.createDataFrame([("abé",), ("éa",), (None,), ("",), ("x",)], "text string")
     assert {(r["a"], r["b"]): r["n"] for r in D.pair_counts(df.coalesce(1)).collect()} == {(97, 98): 1, (98, 233): 1, (233, 97): 1}
+
+
+def test_prevalent_garbling_is_still_found(spark):
+    right = "Der Käufer hört die Größe der Bücher im schönen Gemäuer und prüft für später. Le château était à côté de l’évêque. "
+    bad = right.encode().decode("cp1252", "ignore")
+    rows = [(i, right if i % 3 else bad) for i in range(90)] + [(100, "Er hört Käufer"), (101, "Er hÃ¶rt nur den KÃ¤ufer"), (102, "«Spaß» daß“ été…»")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    back = {r["doc_id"]: r for r in D.decoded(spark, df).collect()}
+    assert all(back[i]["garbled"] == (i % 3 == 0) for i in range(90))
+    assert back[101]["garbled"] and back[101]["text"] == "Er hört nur den Käufer"
+    assert not back[100]["garbled"] and not back[102]["garbled"]
+    assert D.without_garbling("rÃ¥v, naïve été Рёбра") == "r\0\0v, naïve été Рёбра"
