@@ -28,6 +28,7 @@ SWITCH = 6.0
 
 _SIZES = (1, 2, 3, 4)
 _BITS = 20
+_DIGIT = re.compile(r"\d").search
 _ANCHOR = re.compile(r"(?m)^[ \t\r]*(?:={2,}[^\n]*={2,}|[-–\[(]?[ \t]*(?:p\.[ \t]*)?\d{1,4}[ \t]*[-–\])]?)[ \t\r]*$|\f")
 _ENDS = re.compile(r"(?<=[.!?…])[\"”»’')\]“]*\s+|(?<=[Ͱ-Ͽ];)[\"”»’')\]]*\s+|(?<=[。！？])[」』”）]*\s*|\n[ \t\r]*\n\s*")
 
@@ -48,7 +49,7 @@ def sentences(text: str) -> list[str]:
     """Stretches of a text between sentence ends or blank lines, without page anchors and bare page numbers, composed."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    if "=" in text or "\f" in text or any(c.isdigit() for c in text[:200]):
+    if "=" in text or "\f" in text or _DIGIT(text):
         text = _ANCHOR.sub(" ", text)
     return [s for s in _ENDS.split(text) if s and not s.isspace()]
 

@@ -168,3 +168,9 @@ def test_words_and_pairs_beyond_the_bounds_are_looked_up(spark, monkeypatch):
         assert bounded.prefixes()[0][key] + bounded.looked_up("r" + key[1:] if key[0] == "-" else "l" + key) == n
     for key, n in whole.prefixes()[1].items():
         assert bounded.prefixes()[1][key] + bounded.looked_up("c" + key) == n
+
+
+def test_page_numbers_are_taken_out_however_late_the_first_comes():
+    late = SAMPLES["en"] * 3 + "\n\n17\n\n" + SAMPLES["en"]
+    assert len(late.split("17")[0]) > 200
+    assert not any("17" in s for s in L.sentences(late)) and L.sentences(late) == L.sentences("1\n\n" + late)
