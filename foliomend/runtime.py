@@ -2,40 +2,71 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows up to which a narrow frame (a key and a few numbers, under 200 bytes a row) is broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir, which all executors see. Where none is set, a temporary one in local mode, whose
+    only machine is this one; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="foliomend-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_RELEASED_AT_EXIT: set[str] = set()
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliomend-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder: later stages read the files, so a lost executor costs nothing."""
+    """df, computed once and written to the shared folder: later stages read the files, so a lost executor costs nothing. The
+    files go with the application, or earlier by release."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    folder = _tables(spark)
+    if folder not in _RELEASED_AT_EXIT:
+        _RELEASED_AT_EXIT.add(folder)
+        atexit.register(_quietly_released, spark)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application stored. What was built on them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _quietly_released(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # a session that was stopped has no file system any more
+        release(spark)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint only if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df
@@ -69,6 +100,20 @@ def filled(run: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]) -> C
     return lambda batches: (frame for frame in run(batches) if len(frame))
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """df kept by the executors with a copy each on a second one, spilling to disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK_2)
+def map_columns(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, Sequence]]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches as lists by column name, in and out, so that integers beside nulls stay integers."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def arrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
+        for columns in run(lists):
+            if len(columns[out.names[0]]):
+                yield pa.record_batch([pa.array(columns[f.name], f.type, from_pandas=True) for f in out], schema=out)
+
+    return df.mapInArrow(arrow, schema)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable[list[tuple]]], schema: str) -> DataFrame:
+    """map_columns for a run that gives lists of rows."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    return map_columns(df, lambda batches: (dict(zip(names, zip(*rows))) for rows in run(batches) if rows), schema)
