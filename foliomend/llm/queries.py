@@ -14,9 +14,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _damaged(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda name: _table(spark, d, name).select("file_id", "text")
-    return pick("wordsplit_damaged").unionByName(pick("glued_damaged"))
+def _damaged(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [_table(spark, d, "wordsplit_damaged"), _table(spark, d, "glued_damaged")]
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +35,7 @@ def p1_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _noise(spark: SparkSession, d: str, work: Callable[..., DataFrame]) -> DataFrame:
-    parts = [_table(spark, d, "wordsplit_damaged"), _table(spark, d, "glued_damaged")]
-    return work(spark, parts, _table(spark, d, "lexicon"), _table(spark, d, "common_words"))
+    return work(spark, _damaged(spark, d), _table(spark, d, "lexicon"), _table(spark, d, "common_words"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +59,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent.equal_pairs(consistent.consistent_texts(spark, _table(spark, d, "healthy"), with_text=False))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The form of each file with its class's representative, membership in place of pairs."""
+    return consistent.equal_classes(consistent.consistent_texts(spark, _table(spark, d, "healthy"), with_text=False))
+
+
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
     return consistent.consistent_texts(spark, _table(spark, d, "healthy")).distinct()
 
@@ -112,7 +115,7 @@ from counts, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_texts, p3_found, p3_terms, p4_found, p4_texts, p5_found, p5_statistics, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p1_passages, p2_found, p2_texts, p3_found, p3_terms, p4_found, p4_classes, p4_texts, p5_found, p5_statistics, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,36 +3,41 @@ noisy channel puts right: confusions of characters times n-grams of words, decod
 
 from __future__ import annotations
 
-import hashlib
 import math
-import os
 import re
-import tempfile
-import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.llm.forms import ANCHOR, common_set, form_of
-from foliomend.runtime import filled, one_row_per, stored
-
-#: A word must make up this share of all words, and a pair of words that share of all pairs, to be kept in the workers' memory:
-#: at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can be. The rest with LEAST occurrences is looked up in a file.
-WORD_SHARE, PAIR_SHARE, LEAST = 5e-7, 2e-6, 3
-#: Rows of such a file that the driver takes at once.
-REST_ROWS = 1_000_000
-#: Bits of a key's digest by which a worker's memory tells most keys that aren't in the file.
-FIRST_BITS = 22
-#: Files of the older collection from which on a word of the lexicon counts as known, and the size the table may have.
-LEXICON_FILES, LEXICON_LIMIT = 3, 200_000
+from foliomend.llm.forms import ANCHOR, common_set, form_of, once_each
+from foliomend.llm.lookup import Rest, RestText
+from foliomend.runtime import filled, map_rows, small_side, stored
+
+#: Occurrences from which on a word or a pair of words is known.
+LEAST = 3
+#: Words, pairs and n-grams of characters that a worker holds in memory; the rest is looked up in a file, with the same result.
+WORDS_IN_MEMORY, PAIRS_IN_MEMORY = 400_000, 4_000_000
+#: n-grams of characters in the model of words never met: those of a share of at least one in so many.
+GRAMS = 1_000_000
+#: Files of the older collection from which on a word of the lexicon counts as known.
+LEXICON_FILES = 3
+#: Different words that must show a confusion that isn't listed, and how much more frequent than the misread ones the right ones are.
+LEARNED_WORDS, LEARNED_RATIO = 20, 50
 #: Chance that a word's place is taken by a word never met: in small letters, as a name, and with signs or figures inside.
 NEW_WORD, NEW_NAME, NEW_SIGNS = 2e-9, 2e-7, 1e-13
+#: Chance that a word's place is taken by any word never met.
+NEW = 0.02
+#: Chance of one certain number.
+NEW_NUMBER = 1e-6
+#: Advantage in log chance that a reading the corpus doesn't know must have over what stands there.
+UNHEARD = 1.5
 #: Weight of the pair in a word's probability; the rest is the word's own.
 PAIR_WEIGHT = 0.5
 
@@ -69,13 +74,22 @@ def rough(head: str) -> str:
     return s.translate(_CLASSES)
 
 
+_STOPS = re.compile(r"[.,;:?!\t=]").search
+_LEFT_NUMBER = re.compile(r"[-–—(\[]?\s*[\dlIOoSBi|!ivxlcdmIVXLCDM]{1,8}(?:\s*[-–—)\]])?\s*[|·•—–\s]").match
+_RIGHT_NUMBER = re.compile(r"[|·•—–\s][-–—(\[]?\s*[\dlIOoSBi|!ivxlcdmIVXLCDM]{1,8}(?:\s*[-–—)\]])?\Z").search
+_WIDE_GAP = re.compile(r"\s*[|·•—–]\s*\d|\d\s*[|·•—–]|\d\s{2,}|\s{2,}\d").search
+
+
 def _title(head: str) -> bool:
     """Whether a line is set like a title: all its words but small ones begin with a capital, or with what is read for one."""
-    if any(c in ".,;:?!\t=" for c in head[:-1].replace("!", "i", 1)) or head[-1] in ".,;:":
-        return False
     words = head.split()
-    capital = lambda w: w[0].isupper() or w[0] in "0158“«’'" and not w.isdigit() or w[0] in "li|" and w[1:2].isupper()
-    return bool(words) and len(words) <= 12 and capital(words[0]) and all(capital(w) or w.lower().split("’")[0] in _SMALL or len(w) < 3 or "’" in w for w in words)
+    if not words or not _capital(words[0]) or _STOPS(head[:-1].replace("!", "i", 1)) or head[-1] in ".,;:":
+        return False
+    return all(_capital(w) or w.lower().split("’")[0] in _SMALL or len(w) < 3 or "’" in w for w in words)
+
+
+def _capital(w: str) -> bool:
+    return w[0].isupper() or w[0] in "0158“«’'" and not w.isdigit() or w[0] in "li|" and w[1:2].isupper()
 
 
 @dataclass
@@ -88,8 +102,9 @@ class Line:
 
 def layout(text: str) -> list[Line]:
     """The lines of a text with their kinds. A head comes at least twice in the text, with or without page numbers, or once
-    with one; a title that comes once without one is text."""
-    lines, folios, heads = [], [], []
+    with one; a title that comes once without one is text. Heads that aren't set like titles must also stand at a page's edge,
+    and come with a page number somewhere, or end before the line is full wherever they come."""
+    lines, folios, heads, plain = [], [], [], []
     for raw in text.split("\n"):
         s = raw.strip(" \t\r\f")
         if not s:
@@ -97,106 +112,118 @@ def layout(text: str) -> list[Line]:
             continue
         line = Line(raw)
         lines.append(line)
-        if len(s) > 90:
+        first, last = s[0], s[-1]
+        if (first == "=" or "\f" in raw or first in "-[") and ANCHOR(s):
+            line.kind = "anchor"
             continue
-        if s[0] == "=" or "\f" in raw or s[0] in "-[" and ANCHOR(s):
-            if ANCHOR(s):
-                line.kind = "anchor"
-                continue
-        if len(s) <= 14 and _FOLIO(s):
+        if (len(s) <= 14 or len(s) - s.count(" ") <= 14) and _FOLIO(s):
             folios.append(line)
             continue
-        last = s[-1]
-        if last in ".,;-" and last != "-" or last == "-" and s[-2:-1] != " ":
+        if last in ".,;" or last == "-" and s[-2:-1] != " ":
             continue
-        m = _HEAD_LEFT(s) if s[0].isdigit() or s[0] in "ivxlcdmIVXLCDM[(-–—lOoSB|!" else None
+        m = _HEAD_LEFT(s) if not first.isalpha() or first in "ivxlcdmIVXLCDlOoSB" and _LEFT_NUMBER(s) else None
         if m is None or not _title(m["h"]) or m["h"][:1].islower():
-            m = _HEAD_RIGHT(s) if last.isdigit() or last in "ivxlcdmIVXLCDM])-–—lOoSB|!" else None
-        if m is not None and _title(m["h"]) and len(m["h"]) > 3 and len(m["h"].split()) > 1 and not any(c.isdigit() and c not in "0158" for c in m["h"]):
-            heads.append((line, rough(m["h"]), True, s))
-            heads.append((line, rough(s), False, s))
-        elif not s[0].islower() and _title(s):
-            heads.append((line, rough(s), False, s))
+            right = _HEAD_RIGHT(s) if not last.isalpha() or last in "ivxlcdmIVXLCDMlOoSB" and _RIGHT_NUMBER(s) else None
+            m = right if right is not None or m is None or not m["h"][:1].isupper() else m
+        if m is not None and len(m["h"]) > 3 and len(m["h"].split()) > 1 and not any(c.isdigit() and c not in "0158" for c in m["h"]):
+            h = m["h"]
+            if _title(h):
+                heads += [(line, rough(h), True), (line, rough(s), False)]
+                continue
+            if h[0].isupper() and not _STOPS(h):
+                plain.append((len(lines) - 1, rough(h), True, s))
+                continue
+        if first.isupper() or not first.isalpha():
+            if _title(s):
+                heads.append((line, rough(s), False))
+            elif first.isupper() and not _STOPS(s):
+                plain.append((len(lines) - 1, "", False, s))
     times: Counter = Counter()
-    for key, _ in {(key, id(line)) for line, key, _, _ in heads}:
+    for key, _ in {(key, id(line)) for line, key, _ in heads}:
         times[key] += 1
-    for line, key, numbered, s in heads:
-        if line.kind == "text" and len(key) > 3 and (times[key] > 1 or numbered):
+    for line, key, numbered in heads:
+        if len(key) > 3 and (times[key] > 1 or numbered):
             line.kind = "head"
     for line in folios:
         line.kind = "folio"
+    if plain:
+        _plain_heads(lines, plain)
     return lines
 
 
+def _plain_heads(lines: list[Line], plain: list[tuple[int, str, bool, str]]) -> None:
+    """Marks the heads among lines that begin with a capital and have no stops: place, key, whether with a number, and the line."""
+    kinds = [x.kind for x in lines]
+    edge = lambda i: i == 0 or i == len(kinds) - 1 or kinds[i - 1] != "text" or kinds[i + 1] != "text"
+    plain = [(i, key or rough(s), numbered, s) for i, key, numbered, s in plain if edge(i)]
+    times = Counter(key for _, key, _, _ in plain)
+    numbered_keys = {key for _, key, numbered, _ in plain if numbered and times[key] > 1}
+    width = 0
+    for i, key, numbered, s in plain:
+        if times[key] < 2:
+            if numbered and _WIDE_GAP(s):
+                lines[i].kind = "head"
+            continue
+        if key not in numbered_keys:
+            if not width:
+                width = max((len(x.text.strip()) for x in lines if x.kind == "text"), default=0)
+            after = next((x.text.split() for x in lines[i + 1 :] if x.kind == "text"), None)
+            if after is None or len(s.split()) < 2 or len(s) + 1 + len(after[0]) > 0.8 * width:
+                continue
+        lines[i].kind = "head"
+
+
 def _core(chunk: str) -> str:
     return chunk.strip(_EDGE)
 
 
-class Rest:
-    """Numbers by key in a file that every worker has on its disk, for what is too much for memory. Keys are known by 128 bits;
-    their first 64 are sorted. Only the pages of the file that are asked for are read."""
-
-    def __init__(self, name: str) -> None:
-        self.name = name
-        self.columns: list[np.ndarray] | None = None
-
-    def __getstate__(self) -> str:
-        return self.name
-
-    def __setstate__(self, name: str) -> None:
-        self.__init__(name)
-
-    def __call__(self, key: str) -> int:
-        if self.columns is None:
-            table = np.load(SparkFiles.get(self.name), mmap_mode="r")
-            self.columns = [np.asarray(column) for column in table]
-            # most keys asked for are none of the file's, as their first bits tell
-            bits = np.zeros(1 << FIRST_BITS, np.uint8)
-            for at in range(0, table.shape[1], REST_ROWS):
-                bits[self.columns[0][at : at + REST_ROWS] >> np.uint64(64 - FIRST_BITS)] = 1
-            self.bits = bits.tobytes()
-        raw = hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest()
-        first = int.from_bytes(raw[:8], "little")
-        if not self.bits[first >> 64 - FIRST_BITS]:
-            return 0
-        firsts, seconds, n = self.columns
-        i = int(firsts.searchsorted(np.uint64(first)))
-        while i < len(firsts) and firsts[i] == first:
-            if seconds[i] == int.from_bytes(raw[8:], "little"):
-                return int(n[i])
-            i += 1
-        return 0
-
-    @classmethod
-    def of(cls, spark: SparkSession, facts: DataFrame) -> Rest | None:
-        """The file of facts (key, n), none of which has to fit into memory but by 24 bytes a key, in parts."""
-        facts = stored(facts.mapInPandas(filled(_digests), "d bigint, e bigint, n bigint"))
-        rows = facts.count()
-        if not rows:
-            return None
-        name = f"rest-{uuid.uuid4().hex}.npy"
-        path = os.path.join(tempfile.mkdtemp(prefix="foliomend-"), name)
-        table = np.lib.format.open_memmap(path, "w+", np.uint64, (3, rows))
-        parts, at = -(-rows // REST_ROWS), 0
-        for k in range(parts):  # by the first bits, so that part after part is in order
-            begin, end = (k << 32) // parts, (k + 1 << 32) // parts
-            part = facts.where(F.shiftrightunsigned("d", 32).between(begin, end - 1)).toPandas()
-            d = part["d"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(d)
-            for row, column in enumerate((d, part["e"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64).view(np.uint64))):
-                table[row, at : at + len(d)] = column[order]
-            at += len(d)
-        table.flush()
-        del table
-        spark.sparkContext.addFile(path)
-        return cls(name)
-
-
-def _digests(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        raw = b"".join(hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=16).digest() for k in batch["key"])
-        both = np.frombuffer(raw, "<i8").reshape(-1, 2)
-        yield pd.DataFrame({"d": both[:, 0], "e": both[:, 1], "n": batch["n"].to_numpy()})
+class Grams:
+    """Log chances of the characters of words, by their last three: n-grams of the corpus's different words."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.counts = counts
+        self.total = sum(n for g, n in counts.items() if len(g) == 1) or 1
+        self.memory: dict[str, float] = {}
+
+    def __getstate__(self) -> dict[str, int]:
+        return self.counts
+
+    def __setstate__(self, counts: dict[str, int]) -> None:
+        self.__init__(counts)
+
+    def chance(self, gram: str) -> float:
+        """Chance of a gram's last character after the others, each order leaning on the shorter one."""
+        if len(gram) == 1:
+            return (self.counts.get(gram, 0) + 0.01) / (self.total + 10)
+        n = self.counts.get(gram[:-1], 0)
+        return (self.counts.get(gram, 0) + 2.0 * self.chance(gram[1:])) / (n + 2.0)
+
+    def logs(self, word: str) -> list[float]:
+        """Log chance of each character of a folded word between marks, the end mark's being the last."""
+        s, memory, out = f"\2{word}\3", self.memory, []
+        for i in range(2, len(s) + 1):
+            gram = s[max(0, i - 4) : i]
+            log = memory.get(gram)
+            if log is None:
+                if len(memory) > 500_000:
+                    memory.clear()
+                log = memory[gram] = math.log(self.chance(gram))
+            out.append(log)
+        return out
+
+    @staticmethod
+    def folded(word: str) -> str:
+        """word in small letters, but for capitals inside, which no word has."""
+        return word.lower() if word.isupper() else word[:1].lower() + word[1:]
+
+    @staticmethod
+    def of(words: Iterable[str]) -> Counter:
+        """How often words have each gram of one to four characters. Marks at the ends count only as a word's beginning."""
+        out: Counter = Counter()
+        for w in words:
+            s = f"\2{w}\3"
+            out.update(s[i : i + n] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1))
+        return out
 
 
 @dataclass
@@ -205,35 +232,46 @@ class Channel:
 
     words: dict[str, int]
     total: float
-    granted: frozenset[str]
-    pairs: dict[tuple[str, str], int] = field(default_factory=dict)
+    granted: dict[str, int]  # files of the older collection that hold a word of its lexicon
+    pairs: tuple[np.ndarray, np.ndarray] | dict[tuple[str, str], int] = field(default_factory=dict)
     chance: dict[tuple[str, str], float] = field(default_factory=dict)
-    lexicon: dict[str, int] = field(default_factory=dict)  # files of the older collection that hold each word of granted
+    grams: dict[str, int] = field(default_factory=dict)
     kept: float = 0.0  # occurrences from which on words are in words
-    rest: Rest | None = None  # the other words "w", their shapes "s" and parts "l", "r" and "c"
+    rest: Rest | None = None  # the other words "w", the parts of words "l", "r" and "c", the lexicon's words "g" and their parts "a"
     rest_pairs: Rest | None = None  # the other pairs "p"
+    rest_shapes: RestText | None = None  # the other words by their shape
 
     def __post_init__(self) -> None:
-        # the parts of a compound are known as often as it is
-        self.attested: dict[str, int] = {}
-        for word in self.granted:
+        self.attested: dict[str, int] = {}  # the parts of a compound are known as often as it is
+        for word, files in self.granted.items():
             for part in {word, *word.split("-")}:
-                self.attested[part] = max(self.attested.get(part, 0), self.lexicon.get(word, LEXICON_FILES))
+                self.attested[part] = max(self.attested.get(part, 0), files)
         self.fine: set[str] = set()
         self.memory: dict[str, list[tuple[str, float]]] = {}
-        self.by_read: dict[str, list[tuple[str, str]]] = {}
-        for read, printed in CONFUSIONS:
-            self.by_read.setdefault(read[0], []).append((read, printed))
-        self._prefixes: tuple[Counter, Counter] | None = None
         self.word_memory: dict[str, list[tuple[str, float]]] = {}
         self.rest_memory: dict[str, int] = {}
-        self.shapes = Counter(w.translate(_SHAPE) for w in self.words.keys() | self.granted)
+        self._prefixes: tuple[Counter, Counter] | None = None
+        self.model = Grams(self.grams)
+        self.confusions = list(self.chance) or list(CONFUSIONS)
+        self.by_read: dict[str, list[tuple[str, str]]] = {}
+        for read, printed in self.confusions:
+            self.by_read.setdefault(read[0], []).append((read, printed))
+        # confusions that change the shape are tried one by one before words are looked up by it
+        self.loose = [(r, p) for r, p in self.confusions if r.lower().translate(_SHAPE) != p.lower().translate(_SHAPE)]
+        self.shapes: dict[str, list[str]] = {}
+        for w in self.words.keys() | self.granted.keys():
+            self.shapes.setdefault(w.translate(_SHAPE), []).append(w)
+        if isinstance(self.pairs, dict):
+            self.ids, self.codes, self.times = {}, None, None
+        else:
+            self.ids = {w: i for i, w in enumerate(self.words)}
+            self.codes, self.times = self.pairs
 
     def __getstate__(self) -> tuple:
-        return self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon, self.kept, self.rest, self.rest_pairs
+        return self.words, self.total, self.granted, self.pairs, self.chance, self.grams, self.kept, self.rest, self.rest_pairs, self.rest_shapes
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.total, self.granted, self.pairs, self.chance, self.lexicon, self.kept, self.rest, self.rest_pairs = state
+        self.words, self.total, self.granted, self.pairs, self.chance, self.grams, self.kept, self.rest, self.rest_pairs, self.rest_shapes = state
         self.__post_init__()
 
     def looked_up(self, key: str) -> int:
@@ -248,63 +286,96 @@ class Channel:
             n = self.rest_memory[key] = rest(key)
         return n
 
+    def pair(self, before: str, word: str) -> int:
+        if self.codes is None:
+            n = self.pairs.get((before, word), 0)
+        else:
+            a, b, n = self.ids.get(before, -1), self.ids.get(word, -1), 0
+            if a >= 0 and b >= 0:
+                code = a << 32 | b
+                i = int(self.codes.searchsorted(code))
+                n = int(self.times[i]) if i < len(self.codes) and self.codes[i] == code else 0
+        return n or (self.looked_up(f"p{before} {word}") if self.rest_pairs else 0)
+
     def occurrences(self, word: str) -> int:
-        return self.words.get(word) or self.looked_up("w" + word)
+        return self.words.get(word) or (self.looked_up("w" + word) if self.rest else 0)
+
+    def is_granted(self, word: str) -> bool:
+        return word in self.granted or bool(self.rest and self.looked_up("g" + word))
+
+    def files(self, word: str) -> int:
+        """Files of the older collection that hold a word or a compound of it."""
+        return self.attested.get(word) or (self.looked_up("a" + word) if self.rest else 0)
 
     def known(self, word: str) -> bool:
-        return word in self.words or word in self.granted or self.looked_up("w" + word) > 0
+        return word in self.words or word in self.granted or bool(self.rest and (self.looked_up("w" + word) or self.looked_up("g" + word)))
 
     def count(self, word: str) -> float:
-        return self.occurrences(word) or (1.0 if word in self.granted else 0.0)
+        return self.occurrences(word) or (1.0 if self.is_granted(word) else 0.0)
 
     def log(self, read: str, printed: str) -> float:
         return math.log(self.chance.get((read, printed), PRIOR))
 
-    def variants(self, word: str) -> Iterator[tuple[str, tuple[str, str]]]:
-        """What may have been printed where word is read, one confusion back."""
-        for i, c in enumerate(word):
-            for read, printed in self.by_read.get(c, ()):
-                if word.startswith(read, i):
-                    yield word[:i] + printed + word[i + len(read) :], (read, printed)
+    def alike(self, low: str) -> list[str]:
+        """The known words of a word's shape."""
+        shape = low.translate(_SHAPE)
+        out = self.shapes.get(shape, [])
+        if self.rest_shapes is not None and (more := self.rest_shapes.text(shape)):
+            out = list({*out, *more.split(" ")})
+        return out
+
+    def explained(self, read: str, word: str) -> tuple[float, str, list[tuple[str, str]]] | None:
+        """The best way by which word (in small letters) may be read as read, in any number of confusions: its log chance, the
+        word with the capitals that stand there, and the confusions. None if there is none."""
+        n, m = len(read), len(word)
+        best: dict[tuple[int, int], tuple[float, str, list]] = {(0, 0): (0.0, "", [])}
+        heap = [(0, 0)]
+        while heap:
+            at = heappop(heap)
+            i, j = at
+            log, form, how = best.pop(at)
+            if i == n:
+                if j == m:
+                    return log, form, how
+                continue
+            steps = []
+            if j < m and read[i].lower() == word[j]:
+                steps.append((i + 1, j + 1, log, form + read[i], how))
+            for r, p in self.by_read.get(read[i], ()):
+                if read.startswith(r, i) and word.startswith(p.lower(), j):
+                    steps.append((i + len(r), j + len(p), log + self.log(r, p), form + p, [*how, (r, p)]))
+            for x, y, *state in steps:
+                if m - y > 2 * (n - x) or n - x > 2 * (m - y):
+                    continue
+                old = best.get((x, y))
+                if old is None:
+                    heappush(heap, (x, y))
+                if old is None or state[0] > old[0]:
+                    best[x, y] = tuple(state)
+        return None
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
-        """Known words that word may be a misreading of, with the log chance of their confusions: one, or up to three in words
-        with figures or signs inside."""
+        """Known words that word may be a misreading of, with the log chance of their confusions, however many."""
         low = word.lower()
-        # without another known word of the same shape there is nothing to be found
-        shape = low.translate(_SHAPE)
-        if "F" not in word and self.shapes[shape] + self.looked_up("s" + shape) <= self.known(low):
-            return []
         found: dict[str, float] = {}
-        odd = not word.isalpha()
-        layer = {word: 0.0}
-        for _ in range(3 if odd else 2 if len(word) > 8 else 1):
-            new: dict[str, float] = {}
-            for form, log in layer.items():
-                for v, (read, printed) in self.variants(form):
-                    chance = log + self.log(read, printed)
-                    if chance > new.get(v, -99.0):
-                        new[v] = chance
-            for v, chance in new.items():
-                if v.isalpha() and v != word and self.count(v.lower()) and chance > found.get(v, -99.0):
-                    found[v] = chance
-            if found or len(new) > 400:
-                break
-            layer = new
+        wanted = [v for v in self.alike(low) if v != low]
+        for read, printed in self.loose:
+            at = word.find(read)
+            while at >= 0:
+                wanted += [v for v in self.alike((word[:at] + printed + word[at + len(read) :]).lower()) if v != low]
+                at = word.find(read, at + 1)
+        for v in wanted:
+            if v.isalpha() and (hit := self.explained(word, v)) and hit[1] != word:
+                found[hit[1]] = max(hit[0], found.get(hit[1], -99.0))
         return list(found.items())
 
     def unknown(self, word: str) -> float:
         """Log chance of a word that the corpus doesn't know."""
         if not word.replace("’", "").replace("-", "").isalpha():
             return math.log(NEW_SIGNS)
-        return math.log(NEW_NAME if word[0].isupper() and not word.isupper() else NEW_WORD)
-
-    def own(self, word: str) -> float:
-        """Log chance of a word by itself; only its occurrences that confusions don't explain count."""
-        n = self.occurrences(word.lower())
-        if n:
-            return math.log(n / self.total)
-        return math.log(1.0 / self.total) if word.lower() in self.granted else self.unknown(word)
+        log = math.log(NEW_NAME if word[0].isupper() and not word.isupper() else NEW_WORD)
+        # a long word, or one unlike the language's, is the less probable for being a certain one among all new ones
+        return min(log, math.log(NEW) + sum(self.model.logs(self.model.folded(word)))) if self.grams else log
 
     def readings(self, chunk: str) -> list[tuple[str, float]]:
         """Readings of a piece between spaces that are better than, or near, the one that stands there: the reading and its
@@ -323,11 +394,13 @@ class Channel:
     def _readings(self, chunk: str) -> list[tuple[str, float]]:
         core = chunk.strip(_EDGE)
         start = chunk.find(core)
-        if start > 0 and chunk[start - 1] == "!" and len(core) > 2:
+        if start > 0 and chunk[start - 1] == "!" and len(core) > 1:
             start, core = start - 1, "!" + core
+        if start > 0 and chunk[start - 1] == "|" and len(core) > 1:
+            start, core = start - 1, "|" + core
         if start + len(core) < len(chunk) and chunk[start + len(core)] in "|" and len(core) > 2:
             core += chunk[start + len(core)]
-        if len(core) < 2 or len(core) > 40 or core.isdigit():
+        if len(core) < 2 or core.isdigit():
             return []
         out = []
         at = start
@@ -350,42 +423,53 @@ class Channel:
         low = word.lower()
         if not any(c.isalpha() for c in word):
             return []
-        n, files = self.occurrences(low), self.attested.get(low, 0)
+        n, files = self.occurrences(low), self.files(low)
+        out = []
         if not word.isalpha():
             letters = sum(c.isalpha() for c in word)
             figures = sum(c.isdigit() for c in word)
-            if figures and len(word) > 2 and word.translate(_AS_FIGURES).isdigit():
-                return [(word.translate(_AS_FIGURES), 5.0)]  # a number read with letters
+            if figures and len(word) > 2 and (number := word.translate(_AS_FIGURES)).isdigit():
+                gain = math.log(NEW_NUMBER) + sum(self.log(a, b) for a, b in zip(word, number) if a != b) - self.unknown(word)
+                return [(number, gain)] if gain > -4.0 else []
             if figures > 1 and letters <= figures or any(c not in "0156890!+|" and not c.isalpha() for c in word):
                 return []
-        out = []
         for form, log in self.candidates(word):
             other = self.count(form.lower())
             # a word that is known itself is a misreading only if the confusion explains how often it stands there, in this
             # collection and the older one; else the pairs must outweigh its own frequency
-            explained = n + files <= 3 * (other + self.attested.get(form.lower(), 0)) * math.exp(log) + 2 * (bool(n) + bool(files))
+            explained = n + files <= 3 * (other + self.files(form.lower())) * math.exp(log) + 2 * (bool(n) + bool(files))
             gain = math.log(other / self.total) + log - (self.unknown(word) if explained else math.log(max(n, files) / self.total))
             if gain > (-4.0 if explained else -8.0):
                 out.append((form, gain))
-        if not out and not n and not (files and word.isalpha()):
-            out = self._derived(word)
+        if not n and not files and (not out or max(gain for _, gain in out) < 0):
+            out += self._unheard(word)
         return out
 
-    def _derived(self, word: str) -> list[tuple[str, float]]:
-        """Readings of words whose printed form is unknown too: a sign or figure between letters can be no part of a word, and
-        what follows a productive beginning of words may be misread by itself."""
-        if not word.isalpha():
-            if len(word) > 3 and _INSIDE(word) and (form := word.translate(_AS_LETTERS)).isalpha():
-                return [(form, 5.0)]
+    def _unheard(self, word: str) -> list[tuple[str, float]]:
+        """The reading of a word that the corpus doesn't know whose printed form is unknown too, if there is a better one: the
+        same channel, with n-grams of characters in place of the word's frequency."""
+        if not self.grams or len(word) < 4:
             return []
-        low = word.lower()
-        for i in range(2, min(8, len(low) - 4)):
-            if self.prefixes()[0][low[:i]] + self.looked_up("l" + low[:i]) >= 5 and not self.known(low[i:]):
-                best = [(f, log) for f, log in self.candidates(low[i:]) if self.count(f) > 20]
-                if best:
-                    form, log = max(best, key=lambda x: x[1])
-                    return [(word[:i] + form, math.log(self.count(form) / self.total) - 4.0 + log - self.unknown(word))]
-        return []
+        form, total = word, 0.0
+        fold = self.model.folded
+        while True:
+            logs = self.model.logs(fold(form))
+            own = sum(logs)
+            best: tuple[float, str] | None = None
+            for i, c in enumerate(form):
+                for read, printed in self.by_read.get(c, ()):
+                    # what the change can gain is at most what its surroundings cost
+                    log = self.log(read, printed)
+                    if not form.startswith(read, i) or -sum(logs[i : i + len(read) + 3]) + log < UNHEARD:
+                        continue
+                    new = form[:i] + printed + form[i + len(read) :]
+                    gain = sum(self.model.logs(fold(new))) - own + log
+                    if gain > UNHEARD and (best is None or gain > best[0]):
+                        best = gain, new
+            if best is None:
+                break
+            total, form = total + best[0], best[1]
+        return [(form, total)] if form != word and form.isalpha() else []
 
     def prefixes(self) -> tuple[Counter, Counter]:
         """Of the words in memory: how many known words begin (or, with a - before it, end) with a part, the rest being a word too; and how many
@@ -418,19 +502,9 @@ class Channel:
         of_cut = cut[a] + cut["-" + b] + self.looked_up("c" + a) + self.looked_up("c-" + b)
         return "compound" if of_cut > whole[a] + whole["-" + b] + self.looked_up("l" + a) + self.looked_up("r" + b) else "hyphen"
 
-    def cut_misread(self, a: str, b: str, second: bool) -> bool:
-        """Whether a word cut at a line's end is misread in its first part, or in its second."""
-        for reading, gain in sorted(self.readings(a + b), key=lambda x: -x[1])[:1]:
-            if gain > 0:
-                same = 0
-                while same < min(len(reading), len(a + b)) and reading[same] == (a + b)[same]:
-                    same += 1
-                return (same >= len(a)) == second
-        return False
-
     def transition(self, before: str, word: str) -> float:
         n = self.occurrences(before) if before else 0
-        pair = (self.pairs.get((before, word)) or self.looked_up(f"p{before} {word}")) / n if n else 0.0
+        pair = self.pair(before, word) / n if n else 0.0
         single = max(self.count(word), 0.01) / self.total
         return math.log(PAIR_WEIGHT * pair + (1 - PAIR_WEIGHT) * single) - math.log(single)
 
@@ -438,20 +512,27 @@ class Channel:
         """The most probable reading of a line: Viterbi over the candidate readings of its pieces. left and right are what stands
         before and after it."""
         wide, shift = [*(left or []), *chunks, *(right or [])], len(left or [])
-        options = [[(c, 0.0)] + ([] if c in self.fine else self.readings(c)) for c in chunks]
-        states: list[tuple[float, list[str]]] = [(0.0, [])]
-        for i, option in enumerate(options):
-            # fragments of a split word aren't misread
-            if len(option) > 1 and self._split(wide, i + shift):
-                option = option[:1]
-            new = []
-            for reading, gain in option:
-                word = _core(reading).lower()
-                best = max(states, key=lambda s: s[0] + (self.transition(_core(s[1][-1]).lower(), word) if s[1] and (len(states) > 1 or len(option) > 1) else 0.0))
-                step = self.transition(_core(best[1][-1]).lower(), word) if best[1] and (len(states) > 1 or len(option) > 1) else 0.0
-                new.append((best[0] + step + gain, [*best[1], reading]))
-            states = new
-        return max(states, key=lambda s: s[0])[1]
+        fine, out, i = self.fine, list(chunks), 0
+        # fragments of a split word aren't misread
+        options = {k: more for k, c in enumerate(chunks) if c not in fine and (more := self.readings(c)) and not self._split(wide, k + shift)}
+        while i < len(chunks):
+            if i not in options:
+                i += 1
+                continue
+            # pieces with readings in a row, between two that are as they are
+            states, begin = [(0.0, [_core(chunks[i - 1]).lower()] if i else [""], [])], i
+            while i < len(chunks):
+                new = []
+                for reading, gain in [(chunks[i], 0.0), *options.get(i, ())]:
+                    word = _core(reading).lower()
+                    new.append(max(((log + gain + (self.transition(words[-1], word) if words[-1] else 0.0), [*words, word], [*taken, reading]) for log, words, taken in states), key=lambda s: s[0]))
+                states = new
+                i += 1
+                if i - 1 not in options:
+                    break
+            best = max(states, key=lambda s: s[0])[2]
+            out[begin : begin + len(best)] = best
+        return out
 
     def _split(self, chunks: list[str], i: int) -> bool:
         """Whether a piece is a part of a word that was split in two to four, by what stands around it."""
@@ -466,97 +547,113 @@ class Channel:
         return False
 
 
-_INSIDE = re.compile(r"[^\W\d_]+[0156!+][^\W\d_]+|[^\W\d_]{3,}[!+]|[015][^\W\d_]{3,}").fullmatch
-_AS_LETTERS = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "!": "i", "+": "t"})
 _AS_FIGURES = str.maketrans({"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "b": "6", "i": "1", "!": "1", "|": "1", "q": "9", "Z": "2"})
 
 
+@dataclass
+class Reading:
+    """A line of text: its place among the lines, its pieces as they stand and as they are read. A word cut at the line's end is
+    its last piece as a whole, cut after so many characters; what stood of it in the next line isn't among that one's pieces."""
+
+    place: int
+    pieces: list[str]
+    read: list[str]
+    cut: int = 0
+    following: int = -1  # place of the line that the rest of the cut word stands in
+    compound: bool = False  # the last piece is cut after a hyphen of its own
+
+
+def read_lines(lines: list[Line], channel: Channel) -> Iterator[Reading]:
+    """The lines of a layout's text as the channel reads them, each by Viterbi with its neighbours beside it."""
+    bodies = [(i, line.text.split()) for i, line in enumerate(lines) if line.kind == "text"]
+    carried = False
+    fine = channel.fine
+    for k, (i, pieces) in enumerate(bodies):
+        after = bodies[k + 1][1] if k + 1 < len(bodies) else []
+        if carried:
+            pieces = pieces[1:]
+        out = Reading(i, pieces, pieces)
+        carried = False
+        if pieces and after and pieces[-1][-1] == "-" and (m := _LAST(pieces[-1])) and (n := _FIRST(after[0])):
+            if channel.joined(m[1], n[1]) == "hyphen":
+                out.cut, out.following, carried = len(pieces[-1]) - 1, bodies[k + 1][0], True
+                out.pieces = out.read = pieces = [*pieces[:-1], pieces[-1][:-1] + after[0]]
+            else:
+                out.compound = True
+        if pieces and not fine.issuperset(pieces) and any(channel.readings(c) for c in pieces if c not in fine):
+            out.read = channel.decode(pieces, bodies[k - 1][1][-3:] if k else [], after[carried : carried + 3])
+        yield out
+
+
 def faults(text: str, channel: Channel) -> Iterator[tuple[int, str]]:
     """Line numbers from 1 and faults of a prose text."""
     lines = layout(text)
-    bodies = [i for i, x in enumerate(lines) if x.kind == "text"]
-    after = dict(zip(bodies, bodies[1:]))
-    place = {i: n for n, i in enumerate(bodies)}
-    carried: str | None = None  # the part that a cut word had in the line before
     for i, line in enumerate(lines):
         if line.kind in ("head", "folio"):
             yield i + 1, line.kind
-        if line.kind != "text":
+    misread: set[int] = set()
+    for r in read_lines(lines, channel):
+        if r.cut:
+            yield r.place + 1, "hyphen"
+        if r.read is r.pieces or r.read == r.pieces:
             continue
-        chunks = line.text.split()
-        misread = False
-        if carried is not None:
-            if chunks and (m := _FIRST(chunks[0])):
-                misread = channel.cut_misread(carried, m[1], second=True)
-            chunks, carried = chunks[1:], None
-        if chunks and chunks[-1][-1] == "-" and (m := _LAST(chunks[-1])) and i in after:
-            rest = lines[after[i]].text.split()
-            if rest and (n := _FIRST(rest[0])):
-                if channel.joined(m[1], n[1]) == "hyphen":
-                    yield i + 1, "hyphen"
-                    misread |= channel.cut_misread(m[1], n[1], second=False)
-                    carried = m[1]
-                    chunks = chunks[:-1]
-        if not misread and chunks and not channel.fine.issuperset(chunks) and any(channel.readings(c) for c in chunks if c not in channel.fine):
-            left = lines[bodies[place[i] - 1]].text.split()[-3:] if place[i] else []
-            right = lines[after[i]].text.split()[:3] if i in after else []
-            misread = channel.decode(chunks, left, right) != chunks
-        if misread:
-            yield i + 1, "misread"
+        wrong = [a != b for a, b in zip(r.pieces, r.read)]
+        if r.cut and wrong.pop():
+            piece, new = r.pieces[-1], r.read[-1]
+            same = next((i for i, (a, b) in enumerate(zip(piece, new)) if a != b), min(len(piece), len(new)))
+            end = next((i for i, (a, b) in enumerate(zip(piece[::-1], new[::-1])) if a != b), 0)
+            if same < r.cut:
+                misread.add(r.place)
+            if len(piece) - end > r.cut:
+                misread.add(r.following)
+        if any(wrong):
+            misread.add(r.place)
+    yield from ((i + 1, "misread") for i in sorted(misread))
 
 
 def repaired(text: str, channel: Channel) -> str:
     """Continuous paragraphs of a prose text: without heads, page numbers and anchors, cut words whole, misread ones put right.
     A paragraph goes on over a page's end if it stops without an end mark there."""
     lines = layout(text)
-    bodies = [line.text.split() for line in lines if line.kind == "text"]
+    read = {r.place: r for r in read_lines(lines, channel)}
     paragraphs: list[list[str]] = [[]]
-    furniture = blank = False
-    at = -1
-    for line in lines:
+    furniture = blank = compound = False
+    for i, line in enumerate(lines):
         if line.kind != "text":
             furniture |= line.kind != "blank"
             blank |= line.kind == "blank"
             continue
-        at += 1
-        words = bodies[at]
-        left, right = bodies[at - 1][-3:] if at else [], bodies[at + 1][:3] if at + 1 < len(bodies) else []
-        last = paragraphs[-1]
-        open_ = bool(last) and last[-1][-1] not in ".!?…:”»\"’)"
-        if last and (blank or furniture) and not (furniture and open_) and (blank or not open_):
-            paragraphs.append([])
-            last = paragraphs[-1]
+        words, last = list(read[i].read), paragraphs[-1]
+        open_ = bool(last) and (compound or last[-1][-1] not in ".!?…:”»\"’)")
+        if last and words and (blank or furniture) and not (furniture and open_) and (blank or not open_) and not compound:
+            last = []
+            paragraphs.append(last)
         furniture = blank = False
-        compound = ""
-        if last and last[-1].endswith("-") and words and (m := _LAST(last[-1])) and (n := _FIRST(words[0])):
-            if channel.joined(m[1], n[1]) == "hyphen":
-                whole = last.pop()[:-1] + words[0]
-                last.append(next((r for r, gain in sorted(channel.readings(whole), key=lambda x: -x[1])[:1] if gain > 0), whole))
-                words = words[1:]
-            else:
-                compound = last.pop()
-        # the first part of a cut word is read with the rest of it
-        held = words[-1:] if words and right and (m := _LAST(words[-1])) and (n := _FIRST(right[0])) and channel.joined(m[1], n[1]) == "hyphen" else []
-        words = words[: len(words) - len(held)]
-        words = [*(channel.decode(words, left, right) if not channel.fine.issuperset(words) else words), *held]
-        last += [compound + words[0], *words[1:]] if compound else words
+        if compound and words:
+            words[0] = last.pop() + words[0]
+        compound = read[i].compound
+        last += words
     return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
 # -- the corpus ---------------------------------------------------------------------------------------------------------
 
 
-def _words_of(text: str) -> Iterator[str]:
-    """Words of a text for counting, in small letters; pieces cut at a line's end are left out with what follows them."""
+def _words_of(text: str) -> list[str]:
+    """Words of a text for counting; pieces cut at a line's end are left out with what follows them."""
+    out: list[str] = []
     skip = False
     for line in text.split("\n"):
         chunks = line.split()
         if not chunks:
             continue
         if skip:
-            chunks = chunks[1:]
-        skip = bool(chunks) and chunks[-1].endswith("-") and len(chunks[-1]) > 1
-        yield from chunks[:-1] if skip else chunks
+            del chunks[0]
+        skip = bool(chunks) and chunks[-1][-1] == "-" and len(chunks[-1]) > 1
+        if skip:
+            del chunks[-1]
+        out += chunks
+    return out
 
 
 def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -566,7 +663,7 @@ def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean: Counter = Counter()
         for chunk, n in raw.items():
             core = _core(chunk).lower()
-            if 0 < len(core) <= 40:
+            if core:
                 for part in {core, *core.split("’"), *(core.split("-") if core.count("-") == 1 else ())}:
                     if part and part.replace("-", "a").replace("’", "a").isalpha():
                         clean[part] += n
@@ -576,67 +673,86 @@ def _count_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             if text:
                 raw.update(_words_of(text))
-        if len(raw) > 1_000_000:
-            yield out()
-            raw.clear()
+            if len(raw) > 1_000_000:
+                yield out()
+                raw.clear()
     yield out()
 
 
-def _count_pairs(channel: Channel, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of known words, and confusions in words with one candidate: kind, a, b, n."""
-    names = list(channel.words)
-    known = {w: i for i, w in enumerate(names)}
-    ids: dict[str, int] = {}
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    odd: Counter = Counter()
-    printed: Counter = Counter()
-    doubtful: set[str] = set()  # known words that may be frequent misreadings of far more frequent ones
-
-    def of(core: str) -> int:
-        i = known.get(core, -1)
-        if i < 0 and channel.looked_up("w" + core):
-            i = known[core] = len(names)
-            names.append(core)
-        return i
-
-    def counted() -> pd.DataFrame:
-        keys, back = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([c for _, c in pairs])).astype(np.int64)
-        return pd.DataFrame([("pair", names[k >> 32], names[k & 0xFFFFFFFF], c) for k, c in zip(keys.tolist(), n.tolist())], columns=["kind", "a", "b", "n"])
+#: Words whose pairs are made up at once.
+BLOCK = 1_000_000
+
+
+class _PairCounter:
+    """Pairs of known words, and confusions in words with one reading: kind, a, b, n."""
 
+    def __init__(self, channel: Channel) -> None:
+        self.channel = channel
+        self.names = list(channel.words)
+        self.known = {w: i for i, w in enumerate(self.names)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of pieces; piece 0 is the end of a text."""
+        self.ids: dict[str, int] = {"": 0}
+        self.word, self.odd = [-1], [False]
+        self.codes: list[int] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.names = self.names[: len(self.channel.words)]
+        self.known = {w: i for w, i in self.known.items() if i < len(self.names)}
+
+    def add(self, text: str) -> None:
+        chunks = _words_of(text)
+        for chunk in set(chunks).difference(self.ids):
+            core = _core(chunk).lower()
+            i = self.known.get(core, -1)
+            if i < 0 and self.channel.rest and self.channel.looked_up("w" + core):
+                i = self.known[core] = len(self.names)
+                self.names.append(core)
+            self.ids[chunk] = len(self.word)
+            self.word.append(i)
+            # known words may be frequent misreadings of far more frequent ones
+            self.odd.append(i < 0 or bool(_confusions(self.channel, {chunk: 1})))
+        self.codes += map(self.ids.__getitem__, chunks)
+        self.codes.append(0)
+
+    def flush(self, printed: Counter) -> None:
+        """Counts the pairs and confusions of what was added."""
+        code = np.array(self.codes, np.int64)
+        self.codes = []
+        times = np.bincount(code, minlength=len(self.word))
+        chunks = list(self.ids)
+        printed.update(_confusions(self.channel, {chunks[i]: int(times[i]) for i in np.nonzero(np.array(self.odd) & (times > 0))[0]}))
+        word = np.array(self.word, np.int64)[code]
+        both = (word[:-1] >= 0) & (word[1:] >= 0)
+        self.pairs.append(np.unique(word[:-1][both] << 32 | word[1:][both], return_counts=True))
+        if len(self.pairs) >= 16:
+            self.pairs = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([k for k, _ in self.pairs]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([c for _, c in self.pairs]), len(keys)).astype(np.int64)
+
+    def frame(self) -> pd.DataFrame:
+        keys, n = self.merged()
+        names = np.array(self.names, object)
+        return pd.DataFrame({"kind": "pair", "a": names[keys >> 32], "b": names[keys & 0xFFFFFFFF], "n": n})
+
+
+def _count_pairs(channel: Channel, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counter, printed = _PairCounter(channel), Counter()
     for batch in batches:
-        codes: list[int] = []
         for text in batch["text"]:
-            for chunk in _words_of(text) if text else ():
-                i = ids.get(chunk)
-                if i is None:
-                    i = of(_core(chunk).lower())
-                    if len(ids) > 500_000:
-                        ids.clear()
-                        doubtful.clear()
-                    ids[chunk] = i
-                    if i >= 0 and _confusions(channel, {chunk: 1}):
-                        doubtful.add(chunk)
-                if i < 0 or chunk in doubtful:
-                    odd[chunk] += 1
-                codes.append(i)
-            codes.append(-1)
-        code = np.array(codes, np.int64)
-        both = (code[:-1] >= 0) & (code[1:] >= 0)
-        pairs.append(np.unique(code[:-1][both] << 32 | code[1:][both], return_counts=True))
-        if len(odd) > 500_000:
-            printed.update(_confusions(channel, odd))
-            odd.clear()
-        if len(names) > len(channel.words) + 500_000:
-            yield counted()
-            names, pairs = list(channel.words), []
-            known = {w: i for i, w in enumerate(names)}
-            ids.clear()
-            doubtful.clear()
-    printed.update(_confusions(channel, odd))
+            if text:
+                counter.add(text)
+            if len(counter.codes) > BLOCK:
+                counter.flush(printed)
+                if len(counter.ids) > 500_000:
+                    yield counter.frame()
+                    counter.forget()
+    counter.flush(printed)
+    yield counter.frame()
     yield pd.DataFrame([("confusion", a, b, n) for (a, b), n in printed.items()], columns=["kind", "a", "b", "n"])
-    if pairs:
-        yield counted()
 
 
 def _confusions(channel: Channel, odd: dict[str, int]) -> Counter:
@@ -645,28 +761,32 @@ def _confusions(channel: Channel, odd: dict[str, int]) -> Counter:
     out: Counter = Counter()
     for chunk, n in odd.items():
         core = _core(chunk)
-        if 3 < len(core) <= 40 and (core.islower() or not core.isalpha()) and core not in channel.granted:
-            times = max(n, channel.occurrences(core.lower()))
-            found: dict[str, tuple[str, str]] = {}
-            for v, how in channel.variants(core):
-                # words that are looked up can't be frequent enough unless the bound is
-                if v.isalpha() and (channel.count(v.lower()) if channel.kept > 50 * times else channel.words.get(v.lower(), 0)) > 50 * times:
-                    found.setdefault(v.lower(), how)
-            if len(found) == 1:
-                out[next(iter(found.values()))] += n
+        if len(core) < 4 or not (core.islower() or not core.isalpha()):
+            continue
+        low = core.lower()
+        alike = channel.alike(low)
+        if len(alike) < 2 and (not alike or alike[0] == low) or channel.is_granted(core):
+            continue
+        times = max(n, channel.occurrences(low))
+        found: dict[str, tuple[str, str]] = {}
+        for v in alike:
+            if v != low and v.isalpha() and channel.count(v) > 50 * times and (hit := channel.explained(core, v)) and len(hit[2]) == 1:
+                found.setdefault(v, hit[2][0])
+        if len(found) == 1:
+            out[next(iter(found.values()))] += n
     return out
 
 
+def _shaped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"key": [w.translate(_SHAPE) for w in batch["w"]], "w": batch["w"]})
+
+
 def _word_facts(words: DataFrame, bound: float) -> DataFrame:
-    """key and n of the words (w, n) under the bound, and what they add to the counts by shape and by part: "w" word, "s" shape,
-    and of Channel.prefixes "l" and "r" the two parts of words, "c" those of compounds."""
+    """key and n of the words (w, n) under the bound, "w", and what they add to the counts by part of Channel.prefixes: "l" and
+    "r" the two parts of words, "c" those of compounds."""
     words = words.withColumn("rare", F.col("n") < bound)
     rare = words.where("rare")
-
-    def shapes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": ["s" + w.translate(_SHAPE) for w in batch["w"]]})
-
     parts = words.where("not contains(w, '-') and length(w) > 4").select("rare", "w", F.explode(F.sequence(F.lit(2), F.length("w") - 3)).alias("i"))
     parts = parts.select("rare", "i", F.expr("substring(w, 1, i)").alias("head"), F.expr("substring(w, i + 1)").alias("tail"))
     parts = parts.join(words.select(F.col("w").alias("tail"), F.col("rare").alias("rare_tail")), "tail")
@@ -675,73 +795,110 @@ def _word_facts(words: DataFrame, bound: float) -> DataFrame:
     right = parts.where("i > 2 and rare_head is not null and (rare or rare_tail or rare_head)").select(F.concat(F.lit("r"), "tail").alias("key"))
     cut = rare.where("contains(w, '-')").select(F.expr("substring(w, 1, instr(w, '-') - 1)").alias("head"), F.expr("substring(w, instr(w, '-') + 1)").alias("tail")).where("tail <> ''")
     cut = cut.select(F.explode(F.array(F.concat(F.lit("c"), "head"), F.concat(F.lit("c-"), "tail"))).alias("key"))
-    keys = rare.select("w").mapInPandas(filled(shapes), "key string").unionByName(left).unionByName(right).unionByName(cut)
+    keys = left.unionByName(right).unionByName(cut)
     return rare.select(F.concat(F.lit("w"), "w").alias("key"), "n").unionByName(keys.groupBy("key").agg(F.count("*").alias("n")))
 
 
+def learned_confusions(words: DataFrame, granted: DataFrame) -> list[tuple[str, str]]:
+    """Confusions that the words (w, n) show and the list doesn't have: what stands in place of what in rare words that are, but
+    for that place inside them, the most frequent word of their frame, in LEARNED_WORDS different words or more. Words of granted
+    (w) are right as they are. At most as many as there are pairs of two letters; a handful in practice."""
+    plain = words.where("length(w) > 4 and not contains(w, '-') and not contains(w, '’')")
+
+    def framed(df: DataFrame) -> DataFrame:
+        spans = df.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i")).select("w", "n", "i", F.explode(F.array(F.lit(1), F.lit(2))).alias("l")).where("i + l < length(w)")
+        return spans.select("w", "n", F.expr("concat(substring(w, 1, i), '\\u0001', substring(w, i + l + 1))").alias("frame"), F.expr("substring(w, i + 1, l)").alias("sub"))
+
+    frequent = framed(plain.where(F.col("n") >= LEARNED_RATIO)).groupBy("frame").agg(F.max_by(F.struct("w", "sub", "n"), F.struct("n", "w")).alias("best"))
+    frequent = stored(frequent)
+    rare = framed(plain.join(granted.select("w"), "w", "left_anti"))
+    hits = rare.join(small_side(frequent, frequent.count()), "frame").where(F.col("best.n") >= F.col("n") * LEARNED_RATIO).select("w", F.col("sub").alias("read"), F.col("best.sub").alias("printed"))
+    edges = "left(read, 1) <> left(printed, 1) and right(read, 1) <> right(printed, 1)"
+    found = hits.where(edges).groupBy("read", "printed").agg(F.countDistinct("w").alias("n")).where(F.col("n") >= LEARNED_WORDS).orderBy("read", "printed").collect()
+    return [(r["read"], r["printed"]) for r in found if (r["read"], r["printed"]) not in CONFUSIONS]
+
+
+def _grams(words: DataFrame) -> dict[str, int]:
+    """The n-grams of one to four characters of the different words (w), those of a share of one in GRAMS or more."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            counts.update(Grams.of(p for w in batch["w"] for p in re.split("[-’]", w) if p))
+        yield pd.DataFrame({"g": list(counts), "n": list(counts.values())})
+
+    grams = stored(words.select("w").mapInPandas(filled(run), "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")))
+    total = grams.where("length(g) = 1").agg(F.sum("n").alias("n")).first()["n"] or 0
+    kept = grams.where(F.col("n") >= total / GRAMS).toPandas()
+    return dict(zip(kept["g"], kept["n"].astype(int).tolist()))
+
+
 def channel_of(spark: SparkSession, texts: DataFrame, lexicon: DataFrame) -> Channel:
-    """The channel of a corpus (text) and of an older lexicon (w, df), a fixed table whose size is checked."""
-    if lexicon.count() > LEXICON_LIMIT:
-        raise ValueError(f"more than {LEXICON_LIMIT} words in the lexicon")
-    known = {r["w"]: r["df"] for r in lexicon.where((F.col("df") >= LEXICON_FILES) & F.col("w").isNotNull()).groupBy(F.lower("w").alias("w")).agg(F.max("df").alias("df")).collect()}
+    """The channel of a corpus (text) and of an older lexicon (w, df)."""
+    older = stored(lexicon.where((F.col("df") >= LEXICON_FILES) & F.col("w").isNotNull()).groupBy(F.lower("w").alias("w")).agg(F.max("df").cast("bigint").alias("n")))
     words = stored(texts.mapInPandas(filled(_count_words), "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 1
-    kept = words.where((F.col("n") >= LEAST) & (F.col("n") >= WORD_SHARE * total)).toPandas()
-    others = words.where((F.col("n") >= LEAST) & (F.col("n") < WORD_SHARE * total))
-    rest = Rest.of(spark, _word_facts(words.where(F.col("n") >= LEAST), WORD_SHARE * total)) if WORD_SHARE * total > LEAST else None
-    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), frozenset(known), lexicon=known, kept=WORD_SHARE * total, rest=rest)
+    known = words.where(F.col("n") >= LEAST)
+    sizes = words.agg(F.sum("n").alias("total"), F.count_if(F.col("n") >= LEAST).alias("known")).first()
+    total = sizes["total"] or 1
+    bound = float(LEAST) if sizes["known"] <= WORDS_IN_MEMORY else max(LEAST, total / WORDS_IN_MEMORY)
+    few = older.count() <= WORDS_IN_MEMORY
+    kept = known.where(F.col("n") >= bound).toPandas()
+    granted = {r["w"]: r["n"] for r in older.collect()} if few else {}
+    facts, shapes = [], []
+    if bound > LEAST:
+        facts.append(_word_facts(known, bound))
+        shapes.append(known.where(F.col("n") < bound).select("w"))
+    if not few:
+        parts = older.select("n", F.explode(F.array_distinct(F.concat(F.array("w"), F.split("w", "-")))).alias("w")).groupBy("w").agg(F.max("n").alias("n"))
+        facts += [older.select(F.concat(F.lit("g"), "w").alias("key"), "n"), parts.select(F.concat(F.lit("a"), "w").alias("key"), "n")]
+        shapes.append(older.select("w"))
+    rest = Rest.of(spark, reduce(DataFrame.unionByName, facts)) if facts else None
+    by_shape = RestText.of(spark, reduce(DataFrame.unionByName, shapes).distinct().mapInPandas(filled(_shaped), "key string, w string").groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("w")), " ").alias("value"))) if shapes else None
+    confusions = [*CONFUSIONS, *learned_confusions(words, older)]
+    channel = Channel(dict(zip(kept["w"], kept["n"].astype(int).tolist())), float(total), granted, {}, dict.fromkeys(confusions, PRIOR), _grams(words), bound, rest, None, by_shape)
     sent = spark.sparkContext.broadcast(channel)
-    pairs = stored(texts.mapInPandas(filled(lambda it: _count_pairs(sent.value, it)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    frequent = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") >= PAIR_SHARE * total)).toPandas()
-    channel.pairs = dict(zip(zip(frequent["a"], frequent["b"]), frequent["n"].astype(int).tolist()))
-    if PAIR_SHARE * total > LEAST:
-        other_pairs = pairs.where((F.col("kind") == "pair") & (F.col("n") >= LEAST) & (F.col("n") < PAIR_SHARE * total))
-        channel.rest_pairs = Rest.of(spark, other_pairs.select(F.concat(F.lit("p"), "a", F.lit(" "), "b").alias("key"), "n"))
+    pairs = stored(texts.mapInPandas(filled(lambda it: _count_pairs(sent.value, it)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where(f"kind = 'confusion' or n >= {LEAST}"))
+    both = pairs.where("kind = 'pair'")
+    many = both.count()
+    least = max(bound, LEAST if many <= PAIRS_IN_MEMORY else total / PAIRS_IN_MEMORY)
+    frequent = both.where(F.col("n") >= least).select("a", "b", "n").toPandas()
+    ids = {w: i for i, w in enumerate(channel.words)}
+    codes = frequent["a"].map(ids).to_numpy(np.int64) << 32 | frequent["b"].map(ids).to_numpy(np.int64)
+    order = np.argsort(codes)
+    rest_pairs = Rest.of(spark, both.where(F.col("n") < least).select(F.concat(F.lit("p"), "a", F.lit(" "), "b").alias("key"), "n")) if len(frequent) < many else None
     seen = {(r["a"], r["b"]): r["n"] for r in pairs.where("kind = 'confusion'").collect()}
-    letters: Counter = Counter()
-    for w, n in channel.words.items():
-        for printed in {p for _, p in CONFUSIONS}:
-            letters[printed] += n * w.count(printed.lower())
-    if rest is not None:
-        signs = sorted({p for _, p in CONFUSIONS})
-        times = [F.sum(F.col("n") * (F.length("w") - F.length(F.replace("w", F.lit(p.lower())))) / len(p)) for p in signs]
-        letters.update({p: n or 0 for p, n in zip(signs, others.agg(*times).first())})
-    channel.chance = {(r, p): (seen.get((r, p), 0) + PRIOR * PRIOR_WEIGHT) / (letters[p] + PRIOR_WEIGHT) for r, p in CONFUSIONS}
-    return channel
+    signs = sorted({p for _, p in confusions})
+    times = [F.coalesce(F.sum(F.col("n") * (F.length("w") - F.length(F.replace("w", F.lit(p.lower())))) / len(p)), F.lit(0.0)) for p in signs]
+    letters = dict(zip(signs, known.agg(*times).first()))
+    chance = {(r, p): (seen.get((r, p), 0) + PRIOR * PRIOR_WEIGHT) / (letters[p] + PRIOR_WEIGHT) for r, p in confusions}
+    return replace(channel, pairs=(codes[order], frequent["n"].to_numpy(np.int64)[order]), chance=chance, rest_pairs=rest_pairs)
 
 
 def _channel(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame) -> tuple[DataFrame, Channel]:
-    once = [one_row_per(p, "file_id").select("file_id", "text") for p in parts]
-    files = once[0]
-    for p in once[1:]:
-        files = files.unionByName(p)
+    files = once_each(parts)
     return files, channel_of(spark, files.select("text"), lexicon)
 
 
-def line_faults(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame) -> DataFrame:
-    """file_id, line_no and fault of each line of the prose files of all parts (file_id, text).
-
-    Null, empty and blank texts and files that are no prose have none. A repeated file counts once; rows with a null file_id
-    each count. Counts of words, pairs and confusions cover all files."""
+def _of_prose(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame, work: Callable[[str, Channel], Iterable[tuple]], schema: str) -> DataFrame:
+    """file_id and what work gives of each prose file."""
     files, channel = _channel(spark, parts, lexicon)
     sent, words = spark.sparkContext.broadcast(channel), spark.sparkContext.broadcast(common_set(common_words))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            rows = [(i, n, f) for i, t in zip(batch["file_id"], batch["text"]) if form_of(t, words.value) == "prose" for n, f in faults(t, sent.value)]
-            yield pd.DataFrame(rows, columns=["file_id", "line_no", "fault"])
+            yield [(i, *row) for i, t in zip(batch["file_id"], batch["text"]) if form_of(t, words.value) == "prose" for row in work(t, sent.value)]
 
-    return files.mapInPandas(filled(run), "file_id bigint, line_no int, fault string")
+    return map_rows(files, run, schema)
 
 
-def repaired_texts(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame) -> DataFrame:
-    """file_id and text of the prose files of all parts as continuous paragraphs; the rows are those of line_faults."""
-    files, channel = _channel(spark, parts, lexicon)
-    sent, words = spark.sparkContext.broadcast(channel), spark.sparkContext.broadcast(common_set(common_words))
+def line_faults(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame) -> DataFrame:
+    """file_id, line_no and fault of each line of the prose files of all parts (file_id, text).
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, repaired(t, sent.value)) for i, t in zip(batch["file_id"], batch["text"]) if form_of(t, words.value) == "prose"]
-            yield pd.DataFrame(rows, columns=["file_id", "text"])
+    Null, empty and blank texts and files that are no prose have none. A repeated file counts once; rows with a null file_id
+    each count. Counts of words, pairs and confusions cover all files."""
+    return _of_prose(spark, parts, lexicon, common_words, faults, "file_id bigint, line_no int, fault string")
 
-    return files.mapInPandas(filled(run), "file_id bigint, text string")
+
+def repaired_texts(spark: SparkSession, parts: list[DataFrame], lexicon: DataFrame, common_words: DataFrame) -> DataFrame:
+    """file_id and text of the prose files of all parts as continuous paragraphs; the rows are those of line_faults."""
+    return _of_prose(spark, parts, lexicon, common_words, lambda text, channel: [(repaired(text, channel),)], "file_id bigint, text string")
