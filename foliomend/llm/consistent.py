@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.runtime import BROADCAST_ROWS, filled, stored
+from foliomend.runtime import BROADCAST_ROWS, filled, map_rows, stored
+
+#: Parts that the texts of one form are split into before they are paired, at most one for so many texts.
+CLASS_PART = 1_000
 
 # Letters of the three scripts that look alike, Latin first.
 _LOOK_ALIKE = {
@@ -153,64 +156,65 @@ def consistent_texts(spark: SparkSession, df: DataFrame, key: str = "file_id", t
     with_text the consistent text itself.
 
     Null texts give nulls. Blank and empty texts have forms like others, with blank true. Case, accents, punctuation,
-    quotation marks and line breaks are kept. limit: readings up to which they are sent to every worker; beyond it each file
-    gets its own by a join, with the same result. Rows with a null key are kept if the readings are sent, else left out of
-    repair of look-alikes."""
+    quotation marks and line breaks are kept. limit: readings up to which they are sent to every worker; beyond it each row
+    gets its own by a join on a number that it is given once, with the same result. Rows with a null key are rows like others."""
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     accepted = stored(accepted_readings(source.select("text"), limit))
-    schema = "key " + source.schema["key"].dataType.simpleString() + ", form string, stored string, blank boolean" + (", text string" if with_text else "")
+    key_type = source.schema["key"].dataType.simpleString()
+    schema = f"key {key_type}, form string, stored string, blank boolean" + (", text string" if with_text else "")
 
-    def row(text: str | None, readings: dict[str, str]) -> tuple:
+    def row(key: object, text: str | None, readings: dict[str, str]) -> tuple:
         if text is None:
-            return (None,) * (3 + with_text)
+            return (key, *(None,) * (3 + with_text))
         new = repaired(plain_form(text), readings)
         own = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
         form = own if new == text else hashlib.blake2b(new.encode("utf-8", "replace"), digest_size=16).hexdigest()
-        return (form, own, not new.strip(), *([new] if with_text else []))
+        return (key, form, own, not new.strip(), *([new] if with_text else []))
 
-    names = ["form", "stored", "blank", *(["text"] if with_text else [])]
     if accepted.count() <= limit:
         sent = spark.sparkContext.broadcast({r["word"]: r["reading"] for r in accepted.collect()})
 
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
             for batch in batches:
-                out = pd.DataFrame([row(t, sent.value) for t in batch["text"]], columns=names)
-                out.insert(0, "key", batch["key"].to_numpy())
-                yield out
+                yield [row(k, t, sent.value) for k, t in zip(batch["key"], batch["text"])]
 
-        result = source.mapInPandas(filled(run), schema)
-    else:
+        return map_rows(source, run, schema).withColumnRenamed("key", key)
+    source = stored(source.withColumn("__id", F.monotonically_increasing_id()))
 
-        def mixed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame([(k, w) for k, t in zip(batch["key"], batch["text"]) if t for w in sorted(mixed_words(plain_form(t)))], columns=["key", "word"])
+    def mixed(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            yield [(i, w) for i, t in zip(batch["__id"], batch["text"]) if t for w in mixed_words(plain_form(t))]
 
-        key_type = source.schema["key"].dataType.simpleString()
-        own = source.where("key is not null").mapInPandas(filled(mixed), f"key {key_type}, word string").distinct().join(accepted, "word")
-        own = own.groupBy("key").agg(F.collect_list(F.struct("word", "reading")).alias("readings"))
+    own = map_rows(source.select("__id", "text"), mixed, "__id bigint, word string").join(accepted, "word")
+    own = own.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("readings"))
 
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                maps = [{x["word"]: x["reading"] for x in r} if r is not None else {} for r in batch["readings"]]
-                out = pd.DataFrame([row(t, r) for t, r in zip(batch["text"], maps)], columns=names)
-                out.insert(0, "key", batch["key"].to_numpy())
-                yield out
-
-        result = source.join(own, "key", "left").select("key", "text", "readings").mapInPandas(filled(run), schema)
-    return result.withColumnRenamed("key", key)
-
-
-def equal_pairs(forms: DataFrame, key: str = "file_id") -> DataFrame:
-    """file_a < file_b of the files whose texts aren't blank, have the same form and differ as stored.
-
-    Stored texts are paired first, once each however many files hold them, and their files are put in only where two differ,
-    so that no work is spent within groups of exact copies. Repeated rows of a file count once."""
-    files = stored(forms.where("not blank and form is not null").select(F.col(key).alias("file"), "form", "stored").distinct())
-    texts = files.select("form", "stored").distinct()
-    two = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    texts = texts.join(two, "form", "left_semi")
-    pairs = texts.select("form", F.col("stored").alias("one")).join(texts.select("form", F.col("stored").alias("other")), "form").where("one < other")
-    a = files.select(F.col("file").alias("a"), "form", F.col("stored").alias("one"))
-    b = files.select(F.col("file").alias("b"), "form", F.col("stored").alias("other"))
-    both = pairs.join(a, ["form", "one"]).join(b, ["form", "other"])
-    return both.where("a <> b").select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b")).distinct()
+    def run_own(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            yield [row(k, t, dict(r or ())) for k, t, r in zip(batch["key"], batch["text"], batch["readings"])]
+
+    return map_rows(source.join(own, "__id", "left").select("key", "text", "readings"), run_own, schema).withColumnRenamed("key", key)
+
+
+def equal_classes(forms: DataFrame, key: str = "file_id") -> DataFrame:
+    """One row for each file whose text isn't blank: key, form (the class), stored, representative (the least key of the class
+    with the same text as stored) and texts (how many different stored texts the class has). Linear in the files, whatever the
+    size of a class; the links are those between rows of one form and different stored."""
+    files = stored(forms.where("not blank and form is not null").select(key, "form", "stored").distinct())
+    texts = files.groupBy("form", "stored").agg(F.min(key).alias("representative"))
+    classes = texts.groupBy("form").agg(F.count("*").alias("texts"))
+    return files.join(texts, ["form", "stored"]).join(classes, "form").select(key, "form", "stored", "representative", "texts")
+
+
+def equal_pairs(forms: DataFrame, key: str = "file_id", part: int = CLASS_PART) -> DataFrame:
+    """file_a < file_b of the files whose texts aren't blank, have the same form and differ as stored, that is all links of
+    equal_classes; only this result is as long as it has to be.
+
+    Each file of a class of more than one text goes to one of the class's parts on the one side and to all of them on the other,
+    so that a large class is spread over as many tasks. Files with the same stored text are never paired. Repeated rows of a
+    file count once."""
+    files = stored(equal_classes(forms, key).where("texts > 1").select(F.col(key).alias("file"), "form", "stored"))
+    sizes = files.groupBy("form").agg((F.floor(F.count("*") / part) + 1).cast("int").alias("parts"))
+    files = files.join(sizes, "form")
+    one = files.withColumn("p", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int")).select("form", "p", F.col("file").alias("file_a"), F.col("stored").alias("one"))
+    other = files.select("form", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("file").alias("file_b"), F.col("stored").alias("other"))
+    return one.join(other, ["form", "p"]).where("file_a < file_b and one <> other").select("file_a", "file_b")

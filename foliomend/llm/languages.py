@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomend.runtime import filled
+from foliomend.runtime import map_rows
 
 #: n-grams kept in a language's profile; also the distance of one that isn't in it.
 PROFILE = 800
 #: The labelled sample that profiles are trained on: files for each language, and characters up to which a file is taken.
 TRAINING_FILES, TRAINING_CHARS = 60, 20_000
+#: Common words of each language that profiles are trained on, those whose hashes come first if there are more.
+TRAINING_WORDS = 5_000
 #: Sentences in a row that make a passage.
 PASSAGE = 2
 #: Letters that a stretch between two sentence ends must have to count as a sentence; one Chinese character counts as three.
@@ -124,10 +125,12 @@ class Profiles:
         n = len(g.letters)
         if not len(g.segment):
             return np.zeros((n, len(self.languages))), np.zeros(n)
-        count = np.minimum(g.count, 31)
-        times = np.bincount(g.segment * 32 + count, minlength=n * 32).reshape(n, 32)
+        # the different counts, numbered; beyond twice the profile's length a rank is as far away as one found nowhere
+        number = np.cumsum(np.bincount(g.count) > 0) - 1
+        count, k = number[g.count], int(number[-1]) + 1
+        times = np.bincount(g.segment * k + count, minlength=n * k).reshape(n, k)
         above = times[:, ::-1].cumsum(1)[:, ::-1] - times
-        rank = np.minimum(above + (times - 1) // 2, PROFILE + 500).astype(np.int16)[g.segment, count]
+        rank = np.minimum(above + (times - 1) // 2, 2 * PROFILE).astype(np.int16)[g.segment, count]
         away = self.table()[g.gram]
         away -= rank[:, None]
         np.abs(away, out=away)
@@ -259,14 +262,15 @@ def labelled(df: DataFrame, lang_labels: DataFrame, label: str = "lang") -> Data
 
 def trained_profiles(files: DataFrame, common_words: DataFrame, per_language: int = TRAINING_FILES, chars: int = TRAINING_CHARS) -> Profiles:
     """Profiles from a bounded sample of the labelled files (file_id, text, meant): of each language the per_language files of
-    up to `chars` characters whose hashed ids come first, and from the fixed table of common words. Languages without
-    labelled files have profiles of their common words alone."""
+    up to `chars` characters whose hashed ids come first, and from up to TRAINING_WORDS common words of each. Languages
+    without labelled files have profiles of their common words alone."""
     fit = files.where(F.col("meant").isNotNull() & F.col("file_id").isNotNull() & F.length("text").between(1, chars))
     order = Window.partitionBy("meant").orderBy(F.xxhash64("file_id"), "file_id")
     chosen = fit.select("file_id", "meant").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     rows = fit.join(F.broadcast(chosen.select("file_id", "meant")), ["file_id", "meant"]).dropDuplicates(["file_id"]).orderBy("file_id").select("meant", "text").collect()
     common: dict[str, list[str]] = {}
-    for r in common_words.where("w is not null and lang is not null").orderBy("lang", "w").collect():
+    words = common_words.where("w is not null and lang is not null").select("lang", "w").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("w"), "w")))
+    for r in words.where(F.col("n") <= TRAINING_WORDS).orderBy("lang", "w").collect():
         common.setdefault(r["lang"], []).append(r["w"])
     return train([(r["meant"], r["text"]) for r in rows], common)
 
@@ -279,18 +283,18 @@ def file_passages(spark: SparkSession, files: DataFrame, lang_labels: DataFrame,
     with a null file_id keep theirs. Confidence is how much further the next language is, between 0 and 1."""
     source = labelled(files.select("file_id", "text", "lang"), lang_labels).select("file_id", "text", "meant")
     profiles = spark.sparkContext.broadcast(trained_profiles(source, common_words))
-    names = ["file_id", "meant", "lang", "begin", "sentences", "confidence"]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            sizes = batch["text"].str.len().fillna(0).cumsum() // BLOCK
-            for _, part in batch.groupby(sizes, sort=False):
-                rows = []
-                for i, m, found in zip(part["file_id"], part["meant"], passages([t or "" for t in part["text"]], profiles.value)):
-                    rows += [(i, m, x.language, x.begin, x.sentences, x.confidence) for x in found]
-                yield pd.DataFrame(rows, columns=names)
-
-    return source.mapInPandas(filled(run), "file_id bigint, meant string, lang string, begin int, sentences int, confidence double")
+            texts, begin, size = [t or "" for t in batch["text"]], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= BLOCK or i == len(texts) - 1:
+                    found = zip(batch["file_id"][begin : i + 1], batch["meant"][begin : i + 1], passages(texts[begin : i + 1], profiles.value))
+                    yield [(k, m, x.language, x.begin, x.sentences, x.confidence) for k, m, runs in found for x in runs]
+                    begin, size = i + 1, 0
+
+    return map_rows(source, run, "file_id bigint, meant string, lang string, begin int, sentences int, confidence double")
 
 
 def other_languages(runs: DataFrame, least: int = PASSAGE) -> DataFrame:
