@@ -11,6 +11,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,16 +138,17 @@ class BytePairEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> BytePairEncoder:
-    """The encoder of a .tiktoken rank file; one for each Python worker."""
-    with open(f"{directory}/{name}.tiktoken", "rb") as lines:
+def encoder(name: str = "byte_bpe_50k", directory: str | None = TOKENIZER_DIR) -> BytePairEncoder:
+    """The encoder of a .tiktoken rank file; one for each Python worker. Without a directory, of the file that Spark handed out."""
+    file = f"{name}.tiktoken"
+    with open(SparkFiles.get(file) if directory is None else f"{directory}/{file}", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return BytePairEncoder(ranks)
 
 
-def _mapper(name: str, directory: str, count: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _mapper(name: str, count: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name, directory).encode
+        encode = encoder(name, None).encode
         for batch in batches:
             columns = batch.columns
             text = columns[-1].to_pylist()
@@ -163,10 +165,12 @@ def _mapper(name: str, directory: str, count: bool) -> Callable[[Iterable[pa.Rec
 
 
 def _encoded(df: DataFrame, text: str, keep: list[str], name: str, directory: str, count: bool) -> DataFrame:
+    # only the driver needs to see the folder; executors get the file from it
+    df.sparkSession.sparkContext.addFile(f"{directory}/{name}.tiktoken")
     source = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     out = "tokens bigint" if count else "ids array<int>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), out])
-    return source.mapInArrow(_mapper(name, directory, count), schema)
+    return source.mapInArrow(_mapper(name, count), schema)
 
 
 def encode_ids(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> DataFrame:

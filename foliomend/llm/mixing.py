@@ -6,7 +6,7 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +48,13 @@ def pivotal(units: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
     return np.array(values), held
 
 
-def _rounded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _rounded(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One bucket of one source: neighbours in size exchange mass, so that the tokens come close to their target too."""
-    pdf = pdf.sort_values(["tokens", "doc_id"], kind="stable")
-    units, _ = pivotal(pdf["unit"].to_numpy(), zlib.crc32(repr((str(key[0]), int(key[1]), int(pdf["level"].iloc[0]))).encode()))
-    return pdf.assign(unit=units)
+    table = table.sort_by([("tokens", "ascending"), ("doc_id", "ascending"), ("salt", "ascending")])
+    source, bucket = (k.as_py() for k in key)
+    seed = zlib.crc32(repr((str(source), int(bucket), table["level"][0].as_py())).encode())
+    units, _ = pivotal(table["unit"].to_numpy(), seed)
+    return table.set_column(table.schema.get_field_index("unit"), "unit", pa.array(units))
 
 
 def copies(spark: SparkSession, docs: DataFrame, plan: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -60,24 +62,25 @@ def copies(spark: SparkSession, docs: DataFrame, plan: DataFrame, bucket: int =
 
     Every row gets the whole part of its source's rate, and its fraction is rounded by a reduction tree: buckets of a source
     leave one residual unit each, these are rounded in the next level, and the last one of a source by its own probability.
-    The order of rows, partitions and lost executors don't change the result. Rows with a null doc_id are rows like others."""
+    The order of rows, partitions and lost executors don't change the result. Rows with a null doc_id are rows like others, told
+    apart by a number that is written down with them, so that they spread over the buckets too."""
     ways = plan.select("source", "rate", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("unit"))
     sources = ways.count()
     rows = docs.join(small_side(ways, sources), "source").withColumn("base", F.when(F.col("unit") > 1 - 1e-12, F.col("base") + 1).otherwise(F.col("base")))
     rows = rows.withColumn("unit", F.when(F.col("unit").between(1e-12, 1 - 1e-12), F.col("unit")).otherwise(0.0))
     counts = rows.where("unit > 0").groupBy("source").agg(F.count("*").alias("n"))
-    rows = stored(rows.join(small_side(counts, sources), "source", "left").withColumn("buckets", F.ceil(F.coalesce("n", F.lit(1)) / bucket)).select("doc_id", "source", "tokens", "base", "unit", "buckets"))
+    rows = stored(rows.join(small_side(counts, sources), "source", "left").withColumn("buckets", F.ceil(F.coalesce("n", F.lit(1)) / bucket)).select("doc_id", "source", "tokens", "base", "unit", "buckets", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("salt")))
     whole = rows.where("unit = 0").select("doc_id", "source", "tokens", F.col("base").alias("copies"))
     open_ = rows.where("unit > 0")
     most = open_.agg(F.max("buckets").alias("m")).first()["m"]
     done = [whole]
     if most:
-        schema = "doc_id bigint, source string, tokens bigint, base int, unit double, buckets bigint, level int, bucket bigint"
+        schema = "doc_id bigint, source string, tokens bigint, base int, unit double, buckets bigint, salt bigint, level int, bucket bigint"
         level = 0
         while True:
-            slot = F.pmod(F.xxhash64("doc_id", "tokens", F.lit(level)), F.col("buckets")).alias("bucket")
-            level_rows = open_.select("doc_id", "source", "tokens", "base", "unit", "buckets", F.lit(level).alias("level"), slot)
-            rounded = stored(level_rows.groupBy("source", "bucket").applyInPandas(_rounded, schema))
+            slot = F.pmod(F.xxhash64("doc_id", "tokens", "salt", F.lit(level)), F.col("buckets")).alias("bucket")
+            level_rows = open_.select("doc_id", "source", "tokens", "base", "unit", "buckets", "salt", F.lit(level).alias("level"), slot)
+            rounded = stored(level_rows.groupBy("source", "bucket").applyInArrow(_rounded, schema))
             decided = (F.col("unit") == 0) | (F.col("unit") == 1)
             done.append(rounded.where(decided).select("doc_id", "source", "tokens", (F.col("base") + F.col("unit").cast("int")).alias("copies")))
             open_ = rounded.where(~decided).withColumn("buckets", F.ceil(F.col("buckets") / bucket))
