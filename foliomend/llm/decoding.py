@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomend.runtime import filled, stored
+from foliomend.runtime import filled, map_rows, stored
 
 #: A pair must make up this share of all pairs to be sent to the workers, so that at most 1 / PAIR_SHARE pairs can be.
 PAIR_SHARE = 1e-6
@@ -29,6 +29,8 @@ ROUNDS = 3
 #: Bits that the pairs of a run must gain on average before a rewriting between single-byte encodings is believed. UTF-8 needs
 #: less, as its sequences hardly arise by chance, the longer ones least.
 GAIN, GAIN_UTF8, GAIN_UTF8_LONG = 3.0, 0.5, -2.5
+#: Share of a run's bytes that may be none of an East Asian encoding's, or of its characters none of UTF-8's.
+DROPPED = 0.15
 #: Bits that a pair with capitals may be rarer than the same in small letters.
 CASE = 4.0
 #: Bits that a maximum-scoring segment must have to be tested at all.
@@ -78,13 +80,18 @@ def _count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def without_garbling(text: str) -> str:
     """text with U+0000 for each sequence beyond ASCII that is well-formed UTF-8 taken for one of the encodings, and that isn't
     of cased letters only, as words are."""
-    return text if text.isascii() else _BEYOND(lambda m: _masked(m.group()), text)
+    if text.isascii():
+        return text
+    out = _BEYOND(lambda m: _masked(m.group()), text)
+    return text if out == text else out
 
 
 @lru_cache(100_000)
 def _masked(run: str) -> str:
     out = list(run)
     for encoding in TAKEN_FOR:
+        if not _begins(encoding)(run):
+            continue
         for hit in _UTF8.finditer(run.translate(_table(encoding))):
             if any(unicodedata.category(c) not in ("Lu", "Ll") for c in run[hit.start() : hit.end()]):
                 out[hit.start() : hit.end()] = "\0" * (hit.end() - hit.start())
@@ -111,6 +118,10 @@ class PairModel:
         pairs = [chr(x) + chr(y) for x, y in zip(a, b)]
         self.log_share = dict(zip(pairs, np.log2(share).tolist()))
         self.improbable = dict(zip(pairs, np.clip(-np.log2(np.maximum(part, 1e-9)) - PROBABLE, -6, 8).tolist()))
+        # lost characters and control characters are none that anything was written in, however often they come
+        for pair in filter(_LOST, pairs):
+            del self.log_share[pair], self.improbable[pair]
+        pairs = list(self.log_share)
         self.floor = float(np.log2(PAIR_SHARE)) - 1
         # capitals are as probable as their small letters, but CASE bits: titles set in capitals are rare, not improbable
         for pair in pairs:
@@ -191,6 +202,19 @@ def _table(encoding: str) -> _Bytes:
     return _Bytes(encoding)
 
 
+@lru_cache
+def _begins(encoding: str) -> Callable[[str], re.Match | None]:
+    """A search for a UTF-8 sequence's first two bytes taken for an encoding, which tells most runs that hold none."""
+    chars = {byte: re.escape(chr(code)) for code, byte in _table(encoding).items() if byte > 127}
+    return re.compile("[" + "".join(chars.get(b, "") for b in range(0xC2, 0xF5)) + "][" + "".join(chars.get(b, "") for b in range(0x80, 0xC0)) + "]").search
+
+
+@lru_cache
+def _repertoire(encoding: str) -> frozenset[str]:
+    """The characters of an encoding."""
+    return frozenset(chr(code) for code, byte in _table(encoding).items() if byte < 256)
+
+
 def _replaced(run: str, hits: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
     """run with the stretches of hits replaced, and the places of the new characters in it."""
     out, places, at, length = [], [], 0, 0
@@ -208,6 +232,8 @@ def _utf8_forms(before: str, run: str, after: str, model: PairModel) -> Iterator
     that each must have. A sequence of known pairs that would become a character in none isn't one, but by chance."""
     get, floor = model.log_share.get, model.floor
     for encoding in TAKEN_FOR:
+        if not _begins(encoding)(run):
+            continue
         got = run.translate(_table(encoding))
         if not _UTF8.search(got):
             continue
@@ -254,9 +280,9 @@ def _byte_forms(before: str, run: str, after: str, model: PairModel) -> Iterator
         return
     seen = {run}
     for taken in TAKEN_FOR:
-        got = run.translate(_table(taken))
-        if "\u0100" in got:
+        if not _repertoire(taken).issuperset(run):
             continue
+        got = run.translate(_table(taken))
         raw = got.encode("latin-1")
         for written in WRITTEN_IN:
             if written not in ("gb18030", "big5"):
@@ -264,8 +290,10 @@ def _byte_forms(before: str, run: str, after: str, model: PairModel) -> Iterator
                     form = raw.decode(written)
                 except UnicodeDecodeError:
                     continue
-            elif sum(c > 127 for c in raw) >= 4:
+            elif sum(c > 127 for c in raw) > 1:
                 form = _WIDE.sub(lambda m, e=written: m.group().encode("latin-1").decode(e, "ignore"), got)
+                if len(form.encode(written, "ignore")) < (1 - DROPPED) * len(raw):
+                    continue
             else:
                 continue
             if form in seen:
@@ -292,7 +320,7 @@ def _wide_forms(before: str, run: str, after: str, model: PairModel) -> Iterator
             form = run.encode(taken).decode("utf-8", "replace")
         except UnicodeEncodeError:
             continue
-        if form.count("\ufffd") <= 0.15 * len(form):
+        if form.count("\ufffd") <= DROPPED * len(form):
             yield form, 0.5
 
 
@@ -311,6 +339,8 @@ class Decoder:
             return known
         shares, floor = self.model.shares, self.model.floor
         own = shares(before + run + after)
+        if not own:  # a single character with nothing beside it
+            return None
         mean, least = sum(own) / len(own), min(own)
         best: tuple[float, str] | None = None
         for forms in (_utf8_chains, _wide_forms, _byte_forms):
@@ -336,10 +366,10 @@ class Decoder:
 
     def span(self, text: str) -> tuple[bool, str]:
         """Whether a span holds wrongly decoded characters, and its best reading."""
-        found, out, at = bool(_LOST(text)), [], 0
-        bits = self.model.bits(text)
+        found, out, at = False, [], 0
+        bits = self.model.bits(f"{text}\0" if len(text) == 1 else text)
         if not bits or max(bits) <= 0:
-            return found, text
+            return False, text
         for begin, end in maximal_segments(bits):
             if sum(bits[begin:end]) < LEAST_SCORE:
                 continue
@@ -355,6 +385,7 @@ class Decoder:
             run = text[begin:end]
             if run.isascii():
                 continue
+            found |= bool(_LOST(run))
             for _ in range(ROUNDS):
                 form = self._best(text[begin - 1 : begin] if begin else "", run, text[end : end + 1])
                 if form is None:
@@ -398,19 +429,15 @@ def decoded(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str =
 
     def restorer() -> Callable[[str], str]:
         decoder = Decoder(rough.value)
-        return lambda text: decoder.read(text)[1]
+        return lambda text: text if text.isascii() or without_garbling(text) is text else decoder.read(text)[1]
 
     model = spark.sparkContext.broadcast(pair_model(pair_counts(source, read=restorer)))
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, garbled boolean" + (", text string, restored boolean" if with_text else "")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         decoder = Decoder(model.value)
         for batch in batches:
-            rows = [decoder.read(t) if t else (False, t) for t in batch["text"]]
-            out = {key: batch[key], "garbled": [x for x, _ in rows]}
-            if with_text:
-                out |= {"text": [t for _, t in rows], "restored": [bool(x and not _LOST(t)) for x, t in rows]}
-            yield pd.DataFrame(out)
-
-    return source.mapInPandas(filled(run), schema)
+            found = ((k, *(decoder.read(t) if t else (False, t))) for k, t in zip(batch[key], batch["text"]))
+            yield [(k, x, t, bool(x and not _LOST(t))) if with_text else (k, x) for k, x, t in found]
 
+    return map_rows(source, run, schema)
