@@ -101,7 +101,8 @@ class Measures:
         self.lines = [s for x in text.split("\n") if (s := x.strip())]
         # but for figures, so that boilerplate with a page's number in it comes again
         self.plain = _FIGURES("#", "\n".join(self.lines)).split("\n")
-        self.repeated_lines = _there_already(self.plain)
+        self.times = Counter(self.plain)
+        self.repeated_lines = 1 - len(self.times) / len(self.plain) if self.lines else 0.0
         self._words: list[str] | None = None
         self._paragraphs: float | None = None
         self._ngram: float | None = None
@@ -163,7 +164,20 @@ class Measures:
 
 def form_of(text: str | None, common: frozenset[str] | Rest) -> str | None:
     """Form of a text; null for null, empty and blank texts and for those that hold nothing but anchors and page numbers."""
-    return Measures(text, common).form()[0] if text and not text.isspace() else None
+    if not text or text.isspace():
+        return None
+    m = Measures(text, common)
+    # lines that come once can't be boilerplate: with prose in half of all lines among them, the rest changes nothing
+    once = m.lines if not m.repeated_lines else [s for s, p in zip(m.lines, m.plain) if m.times[p] == 1]
+    need = len(m.lines) // 2 + 1
+    for i, s in enumerate(once):
+        if line_kind(s, common) == "prose":
+            need -= 1
+            if not need:
+                return "prose"
+        if need > len(once) - i - 1:
+            break
+    return m.form()[0]
 
 
 def statistics(text: str, common: frozenset[str] | Rest) -> dict:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -92,7 +93,7 @@ def _capital(w: str) -> bool:
     return w[0].isupper() or w[0] in "0158“«’'" and not w.isdigit() or w[0] in "li|" and w[1:2].isupper()
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     """A line with what it is: text, blank, anchor, head or folio."""
 
@@ -116,7 +117,7 @@ def layout(text: str) -> list[Line]:
         if (first == "=" or "\f" in raw or first in "-[") and ANCHOR(s):
             line.kind = "anchor"
             continue
-        if (len(s) <= 14 or len(s) - s.count(" ") <= 14) and _FOLIO(s):
+        if (len(s) <= 14 or "  " in s and len(s) - s.count(" ") <= 14) and _FOLIO(s):
             folios.append(line)
             continue
         if last in ".,;" or last == "-" and s[-2:-1] != " ":
@@ -253,9 +254,12 @@ class Channel:
         self._prefixes: tuple[Counter, Counter] | None = None
         self.model = Grams(self.grams)
         self.confusions = list(self.chance) or list(CONFUSIONS)
-        self.by_read: dict[str, list[tuple[str, str]]] = {}
-        for read, printed in self.confusions:
-            self.by_read.setdefault(read[0], []).append((read, printed))
+        self.log = {pair: math.log(self.chance.get(pair, PRIOR)) for pair in self.confusions}
+        self.by_read: dict[str, list[tuple[str, str, str, float]]] = {}
+        for (read, printed), log in self.log.items():
+            self.by_read.setdefault(read[0], []).append((read, printed, printed.lower(), log))
+        self.greatest = max(self.log.values())
+        self.last = ("", 0.0)  # the word that was last asked for by unknown
         # confusions that change the shape are tried one by one before words are looked up by it
         self.loose = [(r, p) for r, p in self.confusions if r.lower().translate(_SHAPE) != p.lower().translate(_SHAPE)]
         self.shapes: dict[str, list[str]] = {}
@@ -313,9 +317,6 @@ class Channel:
     def count(self, word: str) -> float:
         return self.occurrences(word) or (1.0 if self.is_granted(word) else 0.0)
 
-    def log(self, read: str, printed: str) -> float:
-        return math.log(self.chance.get((read, printed), PRIOR))
-
     def alike(self, low: str) -> list[str]:
         """The known words of a word's shape."""
         shape = low.translate(_SHAPE)
@@ -341,9 +342,9 @@ class Channel:
             steps = []
             if j < m and read[i].lower() == word[j]:
                 steps.append((i + 1, j + 1, log, form + read[i], how))
-            for r, p in self.by_read.get(read[i], ()):
-                if read.startswith(r, i) and word.startswith(p.lower(), j):
-                    steps.append((i + len(r), j + len(p), log + self.log(r, p), form + p, [*how, (r, p)]))
+            for r, p, low, chance in self.by_read.get(read[i], ()):
+                if word.startswith(low, j) and read.startswith(r, i):
+                    steps.append((i + len(r), j + len(p), log + chance, form + p, [*how, (r, p)]))
             for x, y, *state in steps:
                 if m - y > 2 * (n - x) or n - x > 2 * (m - y):
                     continue
@@ -373,9 +374,11 @@ class Channel:
         """Log chance of a word that the corpus doesn't know."""
         if not word.replace("’", "").replace("-", "").isalpha():
             return math.log(NEW_SIGNS)
-        log = math.log(NEW_NAME if word[0].isupper() and not word.isupper() else NEW_WORD)
-        # a long word, or one unlike the language's, is the less probable for being a certain one among all new ones
-        return min(log, math.log(NEW) + sum(self.model.logs(self.model.folded(word)))) if self.grams else log
+        if self.last[0] != word:
+            log = math.log(NEW_NAME if word[0].isupper() and not word.isupper() else NEW_WORD)
+            # a long word, or one unlike the language's, is the less probable for being a certain one among all new ones
+            self.last = word, min(log, math.log(NEW) + sum(self.model.logs(self.model.folded(word)))) if self.grams else log
+        return self.last[1]
 
     def readings(self, chunk: str) -> list[tuple[str, float]]:
         """Readings of a piece between spaces that are better than, or near, the one that stands there: the reading and its
@@ -429,7 +432,7 @@ class Channel:
             letters = sum(c.isalpha() for c in word)
             figures = sum(c.isdigit() for c in word)
             if figures and len(word) > 2 and (number := word.translate(_AS_FIGURES)).isdigit():
-                gain = math.log(NEW_NUMBER) + sum(self.log(a, b) for a, b in zip(word, number) if a != b) - self.unknown(word)
+                gain = math.log(NEW_NUMBER) + sum(self.log.get((a, b), math.log(PRIOR)) for a, b in zip(word, number) if a != b) - self.unknown(word)
                 return [(number, gain)] if gain > -4.0 else []
             if figures > 1 and letters <= figures or any(c not in "0156890!+|" and not c.isalpha() for c in word):
                 return []
@@ -453,17 +456,18 @@ class Channel:
         form, total = word, 0.0
         fold = self.model.folded
         while True:
-            logs = self.model.logs(fold(form))
-            own = sum(logs)
+            costs = list(accumulate((-x for x in self.model.logs(fold(form))), initial=0.0))
+            n = len(costs) - 1
             best: tuple[float, str] | None = None
             for i, c in enumerate(form):
-                for read, printed in self.by_read.get(c, ()):
-                    # what the change can gain is at most what its surroundings cost
-                    log = self.log(read, printed)
-                    if not form.startswith(read, i) or -sum(logs[i : i + len(read) + 3]) + log < UNHEARD:
+                # what a change can gain is at most what its surroundings cost
+                if costs[min(i + 5, n)] - costs[i] + self.greatest < UNHEARD or c not in self.by_read:
+                    continue
+                for read, printed, _, log in self.by_read[c]:
+                    if costs[min(i + len(read) + 3, n)] - costs[i] + log < UNHEARD or not form.startswith(read, i):
                         continue
                     new = form[:i] + printed + form[i + len(read) :]
-                    gain = sum(self.model.logs(fold(new))) - own + log
+                    gain = sum(self.model.logs(fold(new))) + costs[n] + log
                     if gain > UNHEARD and (best is None or gain > best[0]):
                         best = gain, new
             if best is None:
@@ -550,7 +554,7 @@ class Channel:
 _AS_FIGURES = str.maketrans({"l": "1", "I": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "b": "6", "i": "1", "!": "1", "|": "1", "q": "9", "Z": "2"})
 
 
-@dataclass
+@dataclass(slots=True)
 class Reading:
     """A line of text: its place among the lines, its pieces as they stand and as they are read. A word cut at the line's end is
     its last piece as a whole, cut after so many characters; what stood of it in the next line isn't among that one's pieces."""
@@ -563,26 +567,29 @@ class Reading:
     compound: bool = False  # the last piece is cut after a hyphen of its own
 
 
-def read_lines(lines: list[Line], channel: Channel) -> Iterator[Reading]:
-    """The lines of a layout's text as the channel reads them, each by Viterbi with its neighbours beside it."""
+def read_lines(lines: list[Line], channel: Channel, every: bool = True) -> Iterator[Reading]:
+    """The lines of a layout's text as the channel reads them, each by Viterbi with its neighbours beside it; without every, only
+    those that are cut or may be misread."""
     bodies = [(i, line.text.split()) for i, line in enumerate(lines) if line.kind == "text"]
-    carried = False
-    fine = channel.fine
+    carried, fine = False, channel.fine
     for k, (i, pieces) in enumerate(bodies):
         after = bodies[k + 1][1] if k + 1 < len(bodies) else []
         if carried:
             pieces = pieces[1:]
-        out = Reading(i, pieces, pieces)
-        carried = False
+        carried, cut, compound = False, 0, False
         if pieces and after and pieces[-1][-1] == "-" and (m := _LAST(pieces[-1])) and (n := _FIRST(after[0])):
             if channel.joined(m[1], n[1]) == "hyphen":
-                out.cut, out.following, carried = len(pieces[-1]) - 1, bodies[k + 1][0], True
-                out.pieces = out.read = pieces = [*pieces[:-1], pieces[-1][:-1] + after[0]]
+                cut, carried = len(pieces[-1]) - 1, True
+                pieces = [*pieces[:-1], pieces[-1][:-1] + after[0]]
             else:
-                out.compound = True
-        if pieces and not fine.issuperset(pieces) and any(channel.readings(c) for c in pieces if c not in fine):
-            out.read = channel.decode(pieces, bodies[k - 1][1][-3:] if k else [], after[carried : carried + 3])
-        yield out
+                compound = True
+        if not fine.issuperset(pieces) and any(channel.readings(c) for c in pieces if c not in fine):
+            read = channel.decode(pieces, bodies[k - 1][1][-3:] if k else [], after[carried : carried + 3])
+        elif every or cut:
+            read = pieces
+        else:
+            continue
+        yield Reading(i, pieces, read, cut, bodies[k + 1][0] if cut else -1, compound)
 
 
 def faults(text: str, channel: Channel) -> Iterator[tuple[int, str]]:
@@ -592,7 +599,7 @@ def faults(text: str, channel: Channel) -> Iterator[tuple[int, str]]:
         if line.kind in ("head", "folio"):
             yield i + 1, line.kind
     misread: set[int] = set()
-    for r in read_lines(lines, channel):
+    for r in read_lines(lines, channel, every=False):
         if r.cut:
             yield r.place + 1, "hyphen"
         if r.read is r.pieces or r.read == r.pieces:
