@@ -13,12 +13,15 @@ from foliomend.operators import lexicon as L
 from foliomend.params import Params
 from foliomend.plans import pipelines
 from foliomend.runtime import one_row_per, stored
-from foliomend.sources import synthetic
+from foliomend.sources import pdf, sinks, synthetic
 
 #: These collections' files are shorter than the books that the defaults were made for.
 SHORT = Params(min_chars=2000, split_tokens=300, repair_tokens=300, unglue_tokens=300)
 CORPORA = ("healthy", "wordsplit_damaged", "glued_damaged")
 
+#: Long words that the registry query takes for real ones.
+REGISTRY = ("institutionalisation", "characteristically", "historiographically")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +33,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "rel", "text")
 
 
+def digested(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with the digests of text columns in their place."""
+    return rows.withColumns({c: F.md5(F.col(c).cast("binary")) for c in columns})
+
+
 def files(spark: SparkSession, d: str, *names: str) -> DataFrame:
     """The files of the corpora, each file_id once."""
     parts = [one_row_per(table(spark, d, n), "file_id").select("file_id", "rel", "text") for n in names or CORPORA]
@@ -83,6 +91,34 @@ def health_report(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.report(_health(spark, d).rows, "sp", "gate5", 15, "file_id")
 
 
+def health_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Glue rates with long words known to be real."""
+    rows = gates.health_rows(files(spark, d), "file_id", registry=tuple(w.upper() for w in REGISTRY), params=SHORT)
+    return rows.select("file_id", "words", "glue", "glue_x")
+
+
+def _fonts(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of the first witness as if set in fonts: those of some volumes in a hidden one, with some pages in another; one
+    page in fifty can't be read."""
+    f = F.concat(F.lit("scan-"), F.col("file_id").cast("string"), F.lit(".pdf"))
+    hidden = (F.col("file_id") % 3 > 0) & ((F.col("page") % 4 > 0) | (F.col("file_id") % 3 == 1))
+    pages_ = table(spark, d, "pages_a").where("words is not null").dropDuplicates(["file_id", "page"])
+    rows = pages_.select(f.alias("f"), F.lit(9).alias("pages"), F.when(hidden, "GlyphLessFont").otherwise("Garamond").alias("font"), F.length(F.array_join("words", "")).cast("bigint").alias("chars"), F.when(F.col("page") % 50 == 0, "broken").alias("err"))
+    return rows.withColumn("kind", F.explode(F.array(F.lit("named"), F.lit("set"))))
+
+
+def hidden_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Gate 3 over the fonts of pages, against the health rows of the texts of the same names."""
+    texts = files(spark, d, "healthy").withColumn("rel", F.concat(F.lit("scan-"), F.col("file_id").cast("string"), F.lit(".txt")))
+    rows, median = gates.gate_flags(gates.health_rows(texts, "rel", params=SHORT), SHORT)
+    return gates.hidden_layers(pdf.layers_of(_fonts(spark, d)), rows, median, params=SHORT)
+
+
+def garble_report(spark: SparkSession, d: str) -> DataFrame:
+    """The forty flagged documents of the highest rates."""
+    return pipelines.report(garble_rate(spark, d), "rate", "flagged", 40, "doc_id")
+
+
 def garble_rate(spark: SparkSession, d: str) -> DataFrame:
     return gates.garble_rows(documents(spark, d), "doc_id")
 
@@ -96,9 +132,18 @@ def probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of documents as if of ten pages each, half of them with an image."""
-    rows = gates.probe_rows(documents(spark, d), "doc_id").join(documents(spark, d).select("doc_id", (F.length("text") / 10.0).alias("chars_per_page")), "doc_id")
-    rows = rows.withColumns({"producer": F.lit(None).cast("string"), "glyphless": F.lit(False), "image_pages": F.lit(5), "sampled": F.lit(10)})
+    """Texts of documents as if of up to twenty pages each, some with control characters, some with their letters set apart, with
+    makers, fonts and images that hang on the number."""
+    i, t = F.col("doc_id"), F.col("text")
+    text = F.when(i % 13 == 0, F.concat(t, F.repeat(F.lit("\x01"), (F.length(t) / 50).cast("int")))).when(i % 17 == 0, F.regexp_replace(t, "([A-Za-z])", "$1 ")).otherwise(t)
+    rows = gates.probe_rows(documents(spark, d).select("doc_id", text.alias("text")), "doc_id")
+    rows = rows.withColumns({
+        "chars_per_page": F.col("chars") / (1 + i % 20).cast("double"),
+        "producer": F.when(i % 7 == 0, "ABBYY FineReader 12").when(i % 7 == 1, "Press Suite"),
+        "glyphless": i % 11 == 0,
+        "image_pages": (i % 12).cast("int"),
+        "sampled": F.lit(11),
+    })
     return gates.pdf_risk(rows).select("doc_id", F.array_join(F.transform("findings", lambda x: x.cast("string")), ",").alias("findings"))
 
 
@@ -135,6 +180,21 @@ def clean_for_glue(spark: SparkSession, d: str) -> DataFrame:
     return L.clean_for_glue(files(spark, d)).select("file_id")
 
 
+def words_and_separators(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the damaged files with what stands after each, as digests."""
+    plain = files(spark, d, "wordsplit_damaged").where("text is not null").select("file_id", T.normalised(F.col("text")).alias("t"))
+    rows = plain.select("file_id", T.normal_words_and_separators(F.col("t")).alias("x"))
+    joined = F.array_join(F.transform("x", lambda x: F.concat(x["w"], F.lit("|"), x["sep"])), "\x02")
+    return rows.select("file_id", F.size("x").cast("bigint").alias("words"), F.md5(joined.cast("binary")).alias("digest"))
+
+
+def separators(spark: SparkSession, d: str) -> DataFrame:
+    """What stands between neighbouring tokens of the damaged files, by kind."""
+    between = F.filter(F.split("text", T.WORD, -1), lambda x: x != "")
+    rows = files(spark, d, "wordsplit_damaged").where("text is not null").select(F.explode(between).alias("sep")).select(T.separator_class(F.col("sep")).alias("c"))
+    return rows.groupBy("c.ok", "c.hyphen").agg(F.count("*").alias("n"))
+
+
 def hyphen_lexicons(spark: SparkSession, d: str) -> DataFrame:
     plain, hyphenated = L.dehyphenation_lexicons(files(spark, d))
     return plain.select(F.lit("plain").alias("kind"), "w", "tf").unionByName(hyphenated.select(F.lit("hyphenated").alias("kind"), F.col("h").alias("w"), "tf"))
@@ -152,7 +212,7 @@ def ligatures(spark: SparkSession, d: str) -> DataFrame:
 
 def joined_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = files(spark, d, "wordsplit_damaged").where("text is not null")
-    return rows.select("file_id", F.length(T.dehyphenate_lines(F.col("text"))).cast("bigint").alias("chars"), F.length(T.dehyphenate_lines(F.col("text"), False)).cast("bigint").alias("chars_by_page"))
+    return digested(rows.select("file_id", T.dehyphenate_lines(F.col("text")).alias("whole"), T.dehyphenate_lines(F.col("text"), False).alias("by_page")), "whole", "by_page")
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -171,24 +231,32 @@ def hyphen_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def dehyphenated(spark: SparkSession, d: str) -> DataFrame:
     docs, judged = _judged(spark, d)
-    rows = repair.dehyphenated(docs.where("text is not null"), stored(judged), "file_id")
-    return rows.select("file_id", "changed", F.length("text").cast("bigint").alias("chars"))
+    return digested(repair.dehyphenated(docs.where("text is not null"), stored(judged), "file_id"), "text")
 
 
-def pair_walk(spark: SparkSession, d: str) -> DataFrame:
-    """One walk over each text that joins every split pair of the lexicon."""
+def dehyphenation_report(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.changes_report(pipelines.dehyphenation_run(files(spark, d), "file_id")[0], key="file_id")
+
+
+def _walked(spark: SparkSession, d: str, walk: str) -> DataFrame:
     docs = files(spark, d, "wordsplit_damaged")
     pairs = L.split_pairs(L.term_frequency(docs), SHORT)
-    accepted: dict = {}
+    return digested(repair.joined_pairs(docs, pairs, "file_id", walk=walk), "text")
 
-    def kernel(text: str, facts: list) -> dict:
-        if accepted.get("facts") is not facts:
-            accepted["facts"], accepted["set"] = facts, set(facts)
-        new, joins = repair.walk_pairs(text, lambda a, b: (a.lower(), b.lower()) in accepted["set"])
-        return {"joins": joins, "chars": len(new)}
 
-    candidates = lambda t: ((a.lower(), b.lower()) for w in [repair._TOKEN.findall(t)] for a, b in zip(w, w[1:]))
-    return repair._per_text(docs, "file_id", "text", pairs, candidates, kernel, "joins bigint, chars bigint", repair.BROADCAST_ROWS)
+def pair_walk(spark: SparkSession, d: str) -> DataFrame:
+    """One walk over each text that joins every split pair of the lexicon."""
+    return _walked(spark, d, "once")
+
+
+def pair_walk_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Walks until nothing changes."""
+    return _walked(spark, d, "fixpoint")
+
+
+def pair_walk_consuming(spark: SparkSession, d: str) -> DataFrame:
+    """The counter-example, whose refused pairs use up both words."""
+    return _walked(spark, d, "consuming")
 
 
 def merge_table(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +269,13 @@ def split_targets(spark: SparkSession, d: str) -> DataFrame:
     return repair.split_targets(files(spark, d), "file_id", params=SHORT)
 
 
+def split_targets_named(spark: SparkSession, d: str) -> DataFrame:
+    """Files named by a part of their name, whatever their rate."""
+    return repair.split_targets(files(spark, d), "file_id", names=("OMNIBUS", " -1"), params=SHORT)
+
+
 def split_repair(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.split_repair_run(files(spark, d), "file_id", params=SHORT)
+    return digested(pipelines.split_repair_run(files(spark, d), "file_id", params=SHORT).drop("examples", "left"), "text")
 
 
 def piece_lexicon(spark: SparkSession, d: str) -> DataFrame:
@@ -215,27 +288,35 @@ def unglue_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unglued(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.unglue_run(files(spark, d), "file_id", params=SHORT)[0]
+    return digested(pipelines.unglue_run(files(spark, d), "file_id", params=SHORT)[0].drop("examples", "left"), "text")
 
 
-def reextraction(spark: SparkSession, d: str) -> DataFrame:
+def _reextracted(spark: SparkSession, d: str) -> DataFrame:
     """The ladder for the split files, the texts of the glued ones standing in for fresh extractions of the same places."""
     split = files(spark, d, "wordsplit_damaged")
     fresh = files(spark, d, "glued_damaged").select((F.col("file_id") - 3_000_000).alias("file_id"), "text")
-    return repair.reextracted(split, fresh, "file_id", L.term_frequency(files(spark, d)), params=SHORT).drop("text")
+    return repair.reextracted(split, fresh, "file_id", L.term_frequency(files(spark, d)), params=SHORT)
+
+
+def reextraction(spark: SparkSession, d: str) -> DataFrame:
+    return digested(_reextracted(spark, d), "text")
+
+
+def reocr_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue as it is written."""
+    return sinks.queue_rows(_reextracted(spark, d).withColumn("rel", F.concat(F.lit("scan-"), F.col("file_id").cast("string"))))
 
 
 # -- pages and witnesses ------------------------------------------------------------------------------------------------
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = pages.page_texts(files(spark, d), "file_id", plain=False)
-    return rows.select("file_id", "page", F.length("text").cast("bigint").alias("chars"))
+    return digested(pages.page_texts(files(spark, d), "file_id"), "text")
 
 
 def page_words(spark: SparkSession, d: str) -> DataFrame:
     rows = pages.words_with_pages(files(spark, d, "healthy"), "file_id")
-    return rows.groupBy("file_id", "page").agg(F.sum(F.size("words")).alias("words"))
+    return rows.select("file_id", "ord", "page", F.size("words").cast("bigint").alias("words"), F.md5(F.array_join("words", " ").cast("binary")).alias("digest"))
 
 
 def _headed(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +331,7 @@ def recovered_anchors(spark: SparkSession, d: str) -> DataFrame:
 def anchored_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = _headed(spark, d)
     kept = stored(pages.recovered_anchors(docs, "file_id", ["THE RUNNING HEAD"]))
-    return pages.anchored(docs, kept, pages.anchor_gates(kept, "file_id"), "file_id")
+    return digested(pages.anchored(docs, kept, pages.anchor_gates(kept, "file_id"), "file_id"), "text")
 
 
 def _compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -265,11 +346,33 @@ def disagreement_totals(spark: SparkSession, d: str) -> DataFrame:
     return witness.bucket_totals(*_compared(spark, d))
 
 
+def second_witness(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with page anchors against the same pages with the line-end hyphens and ligatures decided, from text to buckets."""
+    docs, judged = _judged(spark, d)
+    other = repair.dehyphenated(docs.where("text is not null"), stored(judged), "file_id")
+    read = pages.page_texts(other, "file_id", plain=False).withColumn("text", T.expand_ligatures(F.col("text")))
+    return witness.bucket_totals(*witness.second_witness(docs, read, "file_id")[:2])
+
+
+def disagreement_report(spark: SparkSession, d: str) -> DataFrame:
+    """The first sixty rows of each bucket."""
+    return pipelines.disagreement_report(_compared(spark, d)[0])
+
+
+def heads_and_piece(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without the lines of a running head, with how many there were, and a piece cut out of each between two words."""
+    t = F.col("text")
+    rest, heads = T.strip_heads(t, "the catalogue|on catalogues|le catalogue")
+    piece, fine = T.cut_piece(t, "the ", " of")
+    rows = files(spark, d).where("text is not null").select("file_id", rest.alias("rest"), heads.alias("heads"), piece.alias("piece"), fine.alias("cut"))
+    return digested(rows, "rest", "piece")
+
+
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     """Each file against itself with its line-end hyphens decided."""
     docs, judged = _judged(spark, d)
-    other = repair.dehyphenated(docs, stored(judged), "file_id").where("changed").select("file_id", F.col("text").alias("text_b"))
-    return witness.aligned(docs.select("file_id", F.col("text").alias("text_a")).join(other, "file_id"), "file_id")
+    other = repair.dehyphenated(docs, stored(judged), "file_id").select("file_id", F.col("text").alias("text_b"))
+    return witness.aligned(docs.select("file_id", F.col("text").alias("text_a")).join(other, "file_id"), "file_id", heads="the catalogue|on catalogues", offset=-10)
 
 
 def non_words(spark: SparkSession, d: str) -> DataFrame:
@@ -286,15 +389,14 @@ def switch_decisions(spark: SparkSession, d: str) -> DataFrame:
 def damaged_on_purpose(spark: SparkSession, d: str) -> DataFrame:
     docs = files(spark, d, "healthy").where("text is not null")
     split, glued = synthetic.split_words(docs, "file_id"), synthetic.glue_spans(docs, "file_id")
-    n = lambda df, name: df.select("file_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias(name))
-    return n(docs, "tokens").join(n(split, "split"), "file_id").join(n(glued, "glued"), "file_id")
+    return digested(split.withColumnRenamed("text", "split").join(glued.withColumnRenamed("text", "glued"), "file_id"), "split", "glued")
 
 
 _QUERIES: tuple[Query, ...] = (
-    glue_rate, phrase_density, accent_misreads, page_anchor_gate, health_rows, health_verdict, health_report, garble_rate, garble_calibration, probe, pdf_risk,
-    lexicon_tf, lexicon_top, lexicon_tf_df, lexicon_df_normal, split_rate, clean_for_splits, clean_for_glue, hyphen_lexicons,
-    ligatures, joined_lines, hyphen_sites, hyphen_totals, dehyphenated, pair_walk, merge_table, split_targets, split_repair, piece_lexicon, unglue_targets, unglued, reextraction,
-    page_texts, page_words, recovered_anchors, anchored_texts, disagreements, disagreement_totals, aligned, non_words, switch_decisions, damaged_on_purpose,
+    glue_rate, phrase_density, accent_misreads, page_anchor_gate, health_rows, health_verdict, health_report, health_registry, hidden_layers, garble_rate, garble_report, garble_calibration, probe, pdf_risk,
+    lexicon_tf, lexicon_top, lexicon_tf_df, lexicon_df_normal, split_rate, clean_for_splits, clean_for_glue, words_and_separators, separators, hyphen_lexicons,
+    ligatures, joined_lines, hyphen_sites, hyphen_totals, dehyphenated, dehyphenation_report, pair_walk, pair_walk_fixpoint, pair_walk_consuming, merge_table, split_targets, split_targets_named, split_repair, piece_lexicon, unglue_targets, unglued, reextraction, reocr_queue,
+    page_texts, page_words, recovered_anchors, anchored_texts, disagreements, disagreement_totals, disagreement_report, second_witness, heads_and_piece, aligned, non_words, switch_decisions, damaged_on_purpose,
 )
 
 

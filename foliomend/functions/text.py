@@ -102,9 +102,9 @@ def expand_ligatures(text: Column) -> Column:
     """Ligature glyphs as letters, with the one space that an extractor left between the glyph and the rest of the word. A
     word that really ends in a ligature loses its space too: known and kept."""
     out = text
-    for glyph, letters in LIGATURES:
+    for glyph, letters in (*LIGATURES, (DROPPED_GLYPH, "")):
         out = F.regexp_replace(out, f"{glyph}( (?=[{_LETTER}]))?", letters)
-    return F.replace(out, F.lit(DROPPED_GLYPH), F.lit(""))
+    return out
 
 
 def lines(text: Column) -> Column:
@@ -150,6 +150,7 @@ def garble(text: Column) -> Column:
 
 def strip_furniture(text: Column) -> Column:
     """HTML comments, heading marks, table rows and link targets as spaces."""
+    # fixed value: what counts as such
     return F.regexp_replace(text, r"(?md)<!--.*?-->|^#{1,6}\s|^\s*\|.*\|\s*$|\]\((?:https?://|www\.)[^)]*\)", " ")
 
 
@@ -170,15 +171,16 @@ def cut_piece(text: Column, head: str | None, tail: str | None) -> tuple[Column,
     return F.when(fine, F.substring(text, begin + 1, end - begin + len(tail or ""))), F.coalesce(fine, F.lit(False))
 
 
-HYPHENS = "-‐‑‒–—­"
+# Fixed value.
+HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u00ad-"
 
 
-def separator_class(separator: Column) -> Column:
+def separator_class(separator: Column, most: int = 4) -> Column:
     """ok and hyphen of what stands between two tokens: a space, a hyphen, or a hyphen with a space on one side, whatever kind
-    of hyphen and white space it is, in at most four characters."""
+    of hyphen and white space it is, in at most `most` characters."""
     even = F.translate(separator, HYPHENS + "\t\n\r", "-" * len(HYPHENS) + "   ")
     even = F.regexp_replace(even, " +", " ")
-    return F.struct(((F.length(separator) <= 4) & even.isin(" ", "-", " -", "- ")).alias("ok"), F.contains(even, F.lit("-")).alias("hyphen"))
+    return F.struct(((F.length(separator) <= most) & even.isin(" ", "-", " -", "- ")).alias("ok"), F.contains(even, F.lit("-")).alias("hyphen"))
 
 
 def normalise(text: str) -> str:
@@ -192,12 +194,30 @@ def normalised(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t if t.isascii() and "&" not in t else normalise(t))
 
 
+_NORMAL_WORD = r"[A-Za-z][A-Za-z']*"
+
+
 def normal_words(text: Column) -> Column:
     """Words of a normalised text: letters A-Z with apostrophes inside, none at the end."""
-    found = F.regexp_extract_all(normalised(text), F.lit(r"[A-Za-z][A-Za-z']*"), F.lit(0))
+    found = F.regexp_extract_all(normalised(text), F.lit(_NORMAL_WORD), F.lit(0))
     return F.transform(found, lambda w: F.regexp_replace(w, "'+$", ""))
 
 
+def normal_words_and_separators(plain: Column) -> Column:
+    """w and sep of the words of a text that is normalised already: each word with what stands between it and the next, nothing
+    after the last."""
+    words, between = F.regexp_extract_all(plain, F.lit(_NORMAL_WORD), F.lit(0)), F.split(plain, _NORMAL_WORD, -1)
+    after = F.concat(F.slice(between, F.lit(2), F.greatest(F.size(between) - 2, F.lit(0))), F.array(F.lit("")))
+    return F.when(F.size(words) > 0, F.zip_with(words, after, lambda w, s: F.struct(F.regexp_replace(w, "'+$", "").alias("w"), s.alias("sep")))).otherwise(F.expr("cast(array() as array<struct<w string, sep string>>)"))
+
+
+def stretches(text: Column, anchor: str, letters: str = WORD) -> Column:
+    """page and words (in lower case) of the stretches between anchors, the page of the first being null."""
+    numbers = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(anchor), F.lit(1)))
+    words = lambda t: lowered(F.regexp_extract_all(t, F.lit(letters), F.lit(0)))
+    return F.zip_with(numbers, F.split(text, anchor, -1), lambda n, t: F.struct(n.try_cast("int").alias("page"), words(t).alias("words")))
+
+
 def adjacent(array: Column) -> Column:
     """Pairs (a, b) of neighbours of an array, in order, without a shuffle."""
     return F.when(F.size(array) > 1, F.zip_with(F.slice(array, F.lit(1), F.size(array) - 1), F.slice(array, F.lit(2), F.size(array) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.expr("array()").cast("array<struct<a:string,b:string>>"))

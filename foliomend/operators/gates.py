@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +44,30 @@ def health_rows(docs: DataFrame, key: str, text: str = "text", lexicon: DataFram
     return rows.join(L.split_rates(body, lexicon, key, "text", params=params).select(key, F.col("splitpair").alias("sp")), key, "left")
 
 
-def upper_median(df: DataFrame, column: str) -> float:
-    """The value at floor(n / 2) of the sorted values that aren't null, 0 without any. The two middle ranks are found by exact
-    percentiles on the executors; no value list comes to the driver."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return 0.0
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    # ranges of sorted distinct values, each partition knowing how many rows stand before it
-    ordered = stored(values.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()))
-    before, want, part = 0, n // 2, None
-    for r in ordered.groupBy("part").agg(F.sum("n").alias("n"), F.min(column).alias("low")).orderBy("low").collect():
-        if before + r["n"] > want:
-            part = r["part"]
-            break
+def at_ranks(df: DataFrame, column: str, ranks: Callable[[int], dict[str, int]]) -> dict[str, float]:
+    """The values at the ranks (from 0) that ranks gives for the number of values that aren't null; 0 for each without any.
+
+    Distinct values are put in ranges; each range's number of rows comes to the driver, and the ranks are then looked for in
+    the few ranges that hold them, each in a task of its own."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    ordered = stored(counted.repartitionByRange(F.col(column)).withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("n"), F.min(column).alias("low")).orderBy("low").collect()
+    wanted = ranks(sum(r["n"] for r in sums))
+    if not sums:
+        return dict.fromkeys(wanted, 0.0)
+    at, before = {}, 0
+    for r in sums:
+        at |= {name: (r["part"], rank - before) for name, rank in wanted.items() if before <= rank < before + r["n"]}
         before += r["n"]
-    running = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return float(ordered.where(F.col("part") == part).withColumn("upto", running + before).where(F.col("upto") > want).agg(F.min(column).alias("v")).first()["v"])
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(column))
+    running = ordered.where(F.col("part").isin([p for p, _ in at.values()])).withColumn("upto", upto)
+    row = running.agg(*(F.min(F.when((F.col("part") == p) & (F.col("upto") > k), F.col(column))).alias(name) for name, (p, k) in at.items())).first()
+    return {name: float(row[name]) for name in at}
+
+
+def upper_median(df: DataFrame, column: str) -> float:
+    """The value at floor(n / 2) of the sorted values that aren't null, 0 without any."""
+    return at_ranks(df, column, lambda n: {"median": n // 2})["median"]
 
 
 def gate_flags(rows: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame, float]:
@@ -114,25 +123,20 @@ def garble_calibration(garbled: DataFrame) -> DataFrame:
     (0 if there are none)."""
     garbled = stored(garbled)
     rates = garbled.where("rate > 0").select((F.col("rate") * 1000).alias("r"))
-    n = rates.count()
-    ranked = rates.groupBy("r").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    at = {"median": n // 2, "p90": min(int(n * 0.9), n - 1), "max": n - 1}
-    ranked = ranked.withColumn("upto", upto)
-    picks = ranked.agg(*(F.coalesce(F.min(F.when(F.col("upto") > i, F.col("r"))), F.lit(0.0)).alias(k) for k, i in at.items()))
+    picks = at_ranks(rates, "r", lambda n: {"median": n // 2, "p90": min(int(n * 0.9), n - 1), "max": n - 1})
     counts = garbled.agg(F.count("*").alias("files"), F.coalesce(F.sum((F.col("rate") > 0).cast("bigint")), F.lit(0)).alias("nonzero"), F.coalesce(F.sum(F.col("cid").cast("bigint")), F.lit(0)).alias("cid_files"))
-    pct = T.share(F.col("nonzero"), F.col("files")) * 100
-    return counts.withColumn("nonzero_pct", pct).join(picks, F.lit(True), "inner")
+    return counts.select("*", (T.share(F.col("nonzero"), F.col("files")) * 100).alias("nonzero_pct"), *(F.lit(v).alias(k) for k, v in picks.items()))
 
 
 def probe_rows(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS) -> DataFrame:
-    """What the risk probe of a PDF's text measures: words, ctrl_pct (over the first 100,000 characters), single_pct and lang,
-    the vote of the function words of three languages, French winning ties, even of zeros."""
+    """What the risk probe of a PDF's text measures: chars, words, ctrl_pct (over the first control_head characters), single_pct and
+    lang, the vote of the function words of three languages, French winning ties, even of zeros."""
     latin = F.regexp_extract_all(F.col(text), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
-    head = F.substring(F.col(text), F.lit(1), F.lit(100_000))
+    head = F.substring(F.col(text), F.lit(1), F.lit(params.control_head))
     body = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text), T.lowered(latin).alias("__w"), head.alias("__h"))
     body = body.select(
         key,
+        F.length(text).cast("bigint").alias("chars"),
         F.size("__w").cast("bigint").alias("words"),
         (T.share(T.matches(F.col("__h"), T.CONTROL), F.length("__h")) * 100).alias("ctrl_pct"),
         (T.share(F.size(F.filter("__w", lambda w: F.length(w) == 1)), F.size("__w")) * 100).alias("single_pct"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomend.functions import text as T
+from foliomend.operators.lookup import Look, resolved
 from foliomend.params import DEFAULTS, Params
-from foliomend.runtime import small_side, stored
+from foliomend.runtime import BROADCAST_ROWS, small_side, stored
 
 
 def term_frequency(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
@@ -47,14 +50,26 @@ def split_pairs(lexicon: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return both.where(F.col("tf") > params.split_ratio * F.greatest("tf_a", "tf_b")).select("a", "b")
 
 
-def split_counts(docs: DataFrame, pairs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, tokens and pairs (adjacent tokens that are a split pair) of each row of docs with a text. The texts' pairs stream
-    past the split pairs, which are broadcast if they are few; else both are shuffled by the pair."""
-    pairs = stored(pairs)
-    known = small_side(pairs.withColumn("hit", F.lit(1)), pairs.count())
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key), T.lowered(T.tokens(F.col(text))).alias("__t"))
-    pairs_of = texts.select(key, F.size("__t").cast("bigint").alias("tokens"), F.explode_outer(T.adjacent(F.col("__t"))).alias("p"))
-    return pairs_of.select(key, "tokens", "p.a", "p.b").join(known, ["a", "b"], "left").groupBy(key, "tokens").agg(F.count("hit").alias("pairs"))
+def split_counts(docs: DataFrame, pairs: DataFrame, key: str, text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """key, tokens and pairs (adjacent tokens that are a split pair) of each row of docs with a text, and rough_pairs of those
+    pairs that have rough set, if pairs has that column. The texts stay in their rows, and the pairs are looked up."""
+    rough = "rough" in pairs.columns
+    facts = pairs.select(F.concat_ws(" ", "a", "b").alias("name"), *(["rough"] if rough else []))
+    token = re.compile(T.WORD).findall
+
+    def kernel(text: str, look: Look) -> dict:
+        low = [t.lower() for t in token(text)]
+        seen: dict[str, tuple | None] = {}
+        n = of_rough = 0
+        for name in map(" ".join, zip(low, low[1:])):
+            if name not in seen:
+                seen[name] = look(name)
+            if (fact := seen[name]) is not None:
+                n += 1
+                of_rough += rough and fact[0]
+        return {"tokens": len(low), "pairs": n, "rough_pairs": of_rough}
+
+    return resolved(docs, key, text, facts, kernel, "tokens bigint, pairs bigint" + (", rough_pairs bigint" if rough else ""), limit)
 
 
 def split_rates(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", floor: int | None = None, params: Params = DEFAULTS) -> DataFrame:
@@ -65,12 +80,28 @@ def split_rates(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text
     return counts.withColumn("splitpair", rate)
 
 
+def split_measures(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS, lexicon: DataFrame | None = None) -> DataFrame:
+    """key, tokens, pairs, rough_pairs and cjk of each row of docs with a text, in one pass: adjacent tokens that are split pairs
+    by the lexicon of two letters and more, and those that are by the rough one too, which counts single letters. lexicon: the
+    rough one, if it was learned already."""
+    rough = stored(term_frequency(docs, text, 1)) if lexicon is None else lexicon
+    pairs = split_pairs(rough.where("length(w) > 1"), params).join(split_pairs(rough, params).withColumn("rough", F.lit(True)), ["a", "b"], "left").fillna(False, ["rough"])
+    counts = split_counts(docs, pairs, key, text)
+    shares = docs.where(F.col(text).isNotNull()).select(key, T.cjk_share(F.col(text)).alias("cjk"))
+    return counts.join(shares, key)
+
+
+def clean_keys(measured: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
+    """key of the rows that a repair lexicon may learn from, by split_measures: little Chinese, few split pairs by the rough
+    lexicon. Short files have no measurable rate and count as clean."""
+    rate = F.when(F.col("tokens") >= params.repair_tokens, F.col("rough_pairs") / F.greatest("tokens", F.lit(1)) * 1000)
+    return measured.where((F.coalesce("cjk", F.lit(0.0)) <= params.cjk_limit) & (F.coalesce(rate, F.lit(0.0)) < params.split_clean)).select(key)
+
+
 def clean_for_splits(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS) -> DataFrame:
-    """The rows of docs that a repair lexicon may learn from: little Chinese, few split pairs by a rough lexicon of the whole
-    corpus that counts single letters too. Short files have no measurable rate and count as clean."""
-    rates = split_rates(docs, term_frequency(docs, text, 1), key, text, params.repair_tokens, params)
-    clean = rates.where(F.coalesce("splitpair", F.lit(0.0)) < params.split_clean).select(key)
-    return docs.where(F.col(text).isNotNull() & (F.coalesce(T.cjk_share(F.col(text)), F.lit(0.0)) <= params.cjk_limit)).join(clean, key, "left_semi")
+    """The rows of docs that clean_keys names."""
+    keys = stored(clean_keys(split_measures(docs, key, text, params), key, params))
+    return docs.where(F.col(text).isNotNull()).join(small_side(keys, keys.count()), key, "left_semi")
 
 
 def glue_rate(text: Column, params: Params = DEFAULTS) -> Column:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomend.runtime import filled
-
 from foliomend.functions import text as T
 from foliomend.params import DEFAULTS, Params
+from foliomend.runtime import map_rows
 
 # Fixed values.
 ANCHOR = r"(?i)={3,}\s*page\s+(\d+)\s*={3,}"
@@ -36,32 +35,45 @@ def words_with_pages(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     """key, ord (of the stretch between anchor lines), page and words (in lower case) in reading order; the page of what comes
     before the first anchor is null. An anchor is a whole line of it. Words stay in one array for each stretch, so that
     filling the page forward needs neither a window nor a shuffle."""
-    numbers = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(F.col(text), F.lit(LINE_ANCHOR), F.lit(1)))
-    between = F.split(text, LINE_ANCHOR, -1)
-    parts = F.zip_with(numbers, between, lambda n, t: F.struct(n.alias("n"), t.alias("t")))
-    out = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("ord", "x"))
-    return out.select(key, "ord", F.expr("try_cast(x.n as int)").alias("page"), T.lowered(T.tokens(F.col("x.t"))).alias("words"))
-
-
-def head_hits(text: str, heads: list[str]) -> list[tuple[int, int]]:
-    """Place (characters from 0) and page of each spot where a number of up to three figures stands before or after a head. A
-    hit before is placed at its number, one after at its head."""
-    out = []
-    for head in heads:
-        quoted = re.escape(head)
-        for pattern in (rf"\b(\d{{1,3}})\s+{quoted}", rf"{quoted}\s+(\d{{1,3}})\b"):
-            out += [(m.start(), int(m[1])) for m in re.finditer(pattern, text)]
-    return sorted(out)
-
-
-def contents_cut(pages: list[int], params: Params = DEFAULTS) -> int:
-    """Where the body begins: the first of toc_run hits that rise strictly over at most toc_span pages; 0 if there is none."""
+    out = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(T.stretches(F.col(text), LINE_ANCHOR)).alias("ord", "x"))
+    return out.select(key, "ord", "x.page", "x.words")
+
+
+def plain_line_ends(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def head_hits(docs: DataFrame, key: str, heads: list[str], text: str = "text") -> DataFrame:
+    """key, pos (characters from 0 of the text with plain line ends) and page of each spot where a number of up to three figures
+    stands before or after a head: before it, the place of the number, after it, the place of the head.
+
+    Only the lengths of what stands between the hits leave a text's row; places are their running sums."""
+    t, out = F.col("__t"), []
+    source = docs.where(F.col(text).isNotNull()).select(F.col(key), plain_line_ends(F.col(text)).alias("__t"))
+    for i, head in enumerate(heads):
+        quoted, space = re.escape(head), f"{T.SPACE}+"
+        for side, pattern in enumerate((rf"(?<![{T._LETTER}])([0-9]{{1,3}}){space}{quoted}", rf"{quoted}{space}([0-9]{{1,3}})(?![{T._LETTER}])")):
+            whole, number = (F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) for group in (0, 1))
+            spots = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), number.alias("n")), lambda b, x: F.struct(F.length(b).alias("before"), F.length(x["w"]).alias("long"), x["n"].cast("int").alias("page")))
+            out.append(source.select(key, F.lit(2 * i + side).alias("kind"), F.posexplode(spots).alias("at", "x")).select(key, "kind", "at", "x.*"))
+    order = Window.partitionBy(key, "kind").orderBy("at")
+    ends = F.sum(F.col("before") + F.col("long")).over(order)
+    empty = source.select(key, F.lit(0).alias("pos"), F.lit(0).alias("page")).limit(0)
+    return reduce(DataFrame.unionByName, out).select(key, (ends - F.col("long")).alias("pos"), "page") if out else empty
+
+
+def after_contents(hits: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
+    """hits with raw (how many the document has), dropped (how many stand in the contents at its front) and without those. The
+    body begins at the first of toc_run hits that rise strictly over at most toc_span pages, or at once."""
+    order = Window.partitionBy(key).orderBy("pos", "page")
+    page = lambda k: F.lead("page", k).over(order) if k else F.col("page")
     n = params.toc_run
-    for i in range(len(pages) - n + 1):
-        run = pages[i : i + n]
-        if all(a < b for a, b in zip(run, run[1:])) and run[-1] - run[0] <= params.toc_span:
-            return i
-    return 0
+    rises = reduce(lambda x, y: x & y, (page(k) < page(k + 1) for k in range(n - 1)), F.lit(True))
+    begins = rises & (page(n - 1) - page(0) <= params.toc_span)
+    placed = hits.select("*", (F.row_number().over(order) - 1).alias("at"), begins.alias("begins"))
+    all_ = Window.partitionBy(key)
+    placed = placed.select("*", F.count("*").over(all_).cast("int").alias("raw"), F.coalesce(F.min(F.when(F.col("begins"), F.col("at"))).over(all_), F.lit(0)).alias("dropped"))
+    return placed.where(F.col("at") >= F.col("dropped")).drop("begins")
 
 
 def longest_rise(values: list[int]) -> list[int]:
@@ -83,22 +95,18 @@ def longest_rise(values: list[int]) -> list[int]:
 
 def recovered_anchors(docs: DataFrame, key: str, heads: list[str], text: str = "text", params: Params = DEFAULTS) -> DataFrame:
     """key, pos, page of the anchors kept of each document, and raw and dropped of it: hits beside running heads, without the
-    contents at the front, and of the rest a longest rising run. pos counts characters of the text with plain line ends."""
-    even = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), even.alias("__text"))
-    key_type = source.schema["__key"].dataType.simpleString()
+    contents at the front, and of the rest a longest rising run. pos counts characters of the text with plain line ends. Keys
+    are taken to be unique; a document's hits, not its text, come to one task."""
+    body = after_contents(head_hits(docs, key, heads, text), key, params)
+    lists = body.groupBy(key, "raw", "dropped").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "page"))).alias("hits"))
+    key_type = lists.schema[key].dataType.simpleString()
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            rows = []
-            for k, t in zip(batch["__key"], batch["__text"]):
-                raw = head_hits(t, heads)
-                start = contents_cut([p for _, p in raw], params)
-                body = raw[start:]
-                rows += [(k, *body[i], len(raw), start) for i in longest_rise([p for _, p in body])]
-            yield pd.DataFrame(rows, columns=[key, "pos", "page", "raw", "dropped"])
+            rows = zip(batch[key], batch["raw"], batch["dropped"], batch["hits"])
+            yield [(k, hits[i]["pos"], hits[i]["page"], raw, dropped) for k, raw, dropped, hits in rows for i in longest_rise([h["page"] for h in hits])]
 
-    return source.mapInPandas(filled(run), f"`{key}` {key_type}, pos bigint, page int, raw int, dropped int")
+    return map_rows(lists, run, f"`{key}` {key_type}, pos bigint, page int, raw int, dropped int")
 
 
 def anchor_gates(kept: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
@@ -126,8 +134,7 @@ def anchored(docs: DataFrame, kept: DataFrame, gates: DataFrame, key: str, text:
     the stretches between anchors."""
     good = kept.join(gates.where("passed").select(key), key, "left_semi")
     marks = good.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "page"))).alias("m"))
-    even = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    rows = docs.select(F.col(key), even.alias("__t")).join(marks, key)
+    rows = docs.select(F.col(key), plain_line_ends(F.col(text)).alias("__t")).join(marks, key)
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("m", lambda x: x["pos"]))
     ends = F.concat(F.transform("m", lambda x: x["pos"]), F.array(F.length("__t").cast("bigint")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("__t"), (a + 1).cast("int"), (b - a).cast("int")))

@@ -1,14 +1,14 @@
 """Repairs of texts: line-end hyphens, split words, display words, glued words, and the acceptance of a fresh extraction.
 
 Nothing is changed in place: each operator gives a new text and says whether it differs. Lexicons stay relations; what a text's
-own repair needs of them is worked out once for each distinct pair or word, and sent to the workers only if its counted size is
-within a limit; beyond it each text gets its own share by a join, with the same result."""
+own repair needs of them is worked out once for each distinct pair or word, and looked up by operators.lookup.resolved."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from foliomend.functions import text as T
 from foliomend.operators import lexicon as L
-from foliomend.params import DEFAULTS, Params
+from foliomend.operators.lookup import Look, resolved
+from foliomend.params import DEFAULTS, JoinStep, Params
 from foliomend.runtime import BROADCAST_ROWS, filled, small_side, stored
 
 _TOKEN = re.compile(r"[A-Za-z]+")
@@ -60,15 +61,28 @@ def hyphen_totals(judged: DataFrame) -> DataFrame:
     return totals.join(grand, F.lit(True), "inner").select("verdict", "n", (T.share(F.col("n"), F.col("all")) * 100).alias("pct"))
 
 
-def dehyphenated(docs: DataFrame, judged: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, text and changed of each row of docs: sites judged JOIN become ab, HYPH a-b, the line break going in both. The text
-    is put together from what stands between the sites, never by shifting offsets."""
-    put = F.when(F.col("verdict") == "JOIN", F.concat("a", "b")).when(F.col("verdict") == "HYPH", F.concat_ws("-", "a", "b")).otherwise(F.col("site"))
-    by_doc = judged.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", put.alias("r")))), lambda x: x["r"]).alias("__r"), (F.sum((F.col("verdict") != "SKIP").cast("int")) > 0).alias("changed"))
-    joined = docs.select(F.col(key), F.col(text).alias("text")).join(by_doc, key, "left")
-    between = F.split("text", SITE, -1)
-    filled = F.array_join(F.flatten(F.zip_with(between, F.concat("__r", F.array(F.lit(""))), lambda x, r: F.array(x, r))), "")
-    return joined.select(key, F.when(F.col("__r").isNull(), F.col("text")).otherwise(filled).alias("text"), F.coalesce("changed", F.lit(False)).alias("changed"))
+def dehyphenated(docs: DataFrame, judged: DataFrame, key: str, text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """key, text, changed, join, hyph and skip of each row of docs: sites judged JOIN become ab, HYPH a-b, the line break going in
+    both, and the numbers of sites by verdict. Texts stay in their rows; the distinct pairs' verdicts are looked up. Null texts
+    stay null."""
+    verdicts = judged.where("verdict <> 'SKIP'").select(F.concat_ws("-", F.lower("a"), F.lower("b")).alias("name"), "verdict").distinct()
+    site = re.compile(SITE)
+
+    def kernel(text: str, look: Look) -> dict:
+        n = Counter()
+
+        def put(m: re.Match) -> str:
+            verdict = (look(f"{m[1]}-{m[2]}".lower()) or ("SKIP",))[0]
+            n[verdict] += 1
+            return {"JOIN": m[1] + m[2], "HYPH": f"{m[1]}-{m[2]}", "SKIP": m[0]}[verdict]
+
+        new = site.sub(put, text)
+        return {"text": new, "changed": n["JOIN"] + n["HYPH"] > 0, "join": n["JOIN"], "hyph": n["HYPH"], "skip": n["SKIP"]}
+
+    out = resolved(docs, key, text, verdicts, kernel, "text string, changed boolean, join bigint, hyph bigint, skip bigint", limit)
+    zero = F.lit(0).cast("bigint")
+    empty = docs.where(F.col(text).isNull()).select(key, F.lit(None).cast("string").alias("text"), F.lit(False).alias("changed"), zero.alias("join"), zero.alias("hyph"), zero.alias("skip"))
+    return out.unionByName(empty)
 
 
 # -- walks over tokens --------------------------------------------------------------------------------------------------
@@ -113,25 +127,40 @@ def consuming_pairs(text: str, accept: Callable[[str, str], bool], sep: str = "
         joins += 1
         return m[1] + m[2]
 
-    return re.sub(rf"\b([A-Za-z]+){re.escape(sep)}([A-Za-z]+)\b", put, text), joins
+    return re.sub(rf"([A-Za-z]+){re.escape(sep)}([A-Za-z]+)", put, text), joins
+
+
+_WALKS = {"once": walk_pairs, "fixpoint": walk_to_fixpoint, "consuming": consuming_pairs}
+
+
+def joined_pairs(docs: DataFrame, pairs: DataFrame, key: str, text: str = "text", walk: str = "fixpoint", sep: str = " ", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """key, text and joins of each row of docs with a text, neighbouring words that are in pairs (a, b, in lower case) with sep
+    between them being joined: by one walk (once), by walks until nothing changes (fixpoint), or as a substitution would
+    (consuming), which misses what a refused pair uses up."""
+    facts = pairs.select(F.concat_ws(" ", "a", "b").alias("name")).distinct()
+
+    def kernel(text: str, look: Look) -> dict:
+        new, joins = _WALKS[walk](text, lambda a, b: look(f"{a} {b}".lower()) is not None, sep)
+        return {"text": new, "joins": joins}
+
+    return resolved(docs, key, text, facts, kernel, "text string, joins bigint", limit)
 
 
 _SAME = str.maketrans({**dict.fromkeys(T.HYPHENS, "-"), "\t": " ", "\n": " ", "\r": " "})
 
 
-def separator_class(separator: str) -> tuple[bool, bool]:
+def separator_class(separator: str, most: int = 4) -> tuple[bool, bool]:
     """As functions.text.separator_class, for one string."""
     even = re.sub(" +", " ", separator.translate(_SAME))
-    return len(separator) <= 4 and even in (" ", "-", " -", "- "), "-" in even
+    return len(separator) <= most and even in (" ", "-", " -", "- "), "-" in even
 
 
 class SplitRepair:
-    """Repair of one text. merges: pairs in lower case that may be joined, words: the words (in lower case) that count as such
-    and stand in a pair, runs: joined forms into which a display word may collapse, attested: pairs whose joined form is
-    attested, mergeable or not."""
+    """Repair of one text. look("a b") gives, of two parts in lower case whose joined form is attested, whether they may be
+    joined, and whether each is a word by itself; None of others."""
 
-    def __init__(self, merges: set[tuple[str, str]], words: set[str], runs: set[str], attested: set[tuple[str, str]], params: Params = DEFAULTS) -> None:
-        self.merges, self.words, self.runs, self.attested, self.params = merges, words, runs, attested, params
+    def __init__(self, look: Look, params: Params = DEFAULTS) -> None:
+        self.look, self.params = look, params
 
     def collapse(self, text: str) -> tuple[str, int]:
         """Letters set apart one by one become the word they spell, the whole run at once or not at all."""
@@ -140,7 +169,8 @@ class SplitRepair:
         def put(m: re.Match) -> str:
             nonlocal n
             word = m[0].replace(" ", "")
-            if word.lower() not in self.runs:
+            low = word.lower()
+            if self.look(f"{low[:1]} {low[1:]}") is None:
                 return m[0]
             n += 1
             return word
@@ -157,25 +187,28 @@ class SplitRepair:
             (b0, e0), (b1, e1) = spans[i], spans[i + 1]
             i += 1
             sep = text[e0:b1]
-            if len(sep) > self.params.max_separator or not separator_class(sep)[0] or b0 and text[b0 - 1] in "'’":
+            if not separator_class(sep, self.params.max_separator)[0] or b0 and text[b0 - 1] in "'’":
                 continue
             a, b = text[b0:e0], text[b1:e1]
-            pair = (a.lower(), b.lower())
-            if pair in self.merges and not self._guarded(a, b):
+            fact = self.look(f"{a} {b}".lower())
+            if fact is None:
+                continue
+            if fact[0] and not self._guarded(a, b, *fact[1:]):
                 keep.append(text[last:e0])
                 last = b1
                 merged += 1
                 i += 1
-                examples[f"{a}[{sep.replace(chr(10), '<NL>')}]{b} -> {''.join(pair)}"] += 1
-            elif pair in self.attested:
+                examples[f"{a}[{sep.replace(chr(10), '<NL>')}]{b} -> {(a + b).lower()}"] += 1
+            else:
                 left[f"{a}|{b}"] += 1
         return "".join(keep) + text[last:], merged
 
-    def _guarded(self, a: str, b: str) -> bool:
+    @staticmethod
+    def _guarded(a: str, b: str, a_word: bool, b_word: bool) -> bool:
         """A single letter beside a word is an initial or an article; two single letters are what a display word left."""
-        if len(b) == 1 and (a.lower() in self.words or len(a) == 1 and (a.isupper() or b.isupper())):
+        if len(b) == 1 and (a_word or len(a) == 1 and (a.isupper() or b.isupper())):
             return True
-        return len(a) == 1 and a.isupper() and b.lower() in self.words
+        return len(a) == 1 and a.isupper() and b_word
 
     def repair(self, text: str) -> dict:
         new, runs = self.collapse(text)
@@ -212,105 +245,42 @@ def merge_table(clean: DataFrame, sources: int, params: Params = DEFAULTS) -> Da
 _REPAIRED = "text string, merged bigint, runs bigint, skipped bigint, hyph bigint, changed boolean, would_write boolean, examples array<string>, left array<string>"
 
 
-def _per_text(docs: DataFrame, key: str, text: str, facts: DataFrame, candidates: Callable[[str], Iterable[tuple[str, str]]], kernel: Callable[[str, list], dict], schema: str, limit: int) -> DataFrame:
-    """kernel(text, facts) for each text. facts: rows of (a, b, ...); they go to every worker if they are within the limit,
-    else each text gets those of its own candidate pairs (or words, with an empty b) by a join."""
-    source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    spark, key_type = docs.sparkSession, source.schema["__key"].dataType.simpleString()
-    names = [x.split()[0] for x in schema.split(", ")]
-    out = f"`{key}` {key_type}, {schema}"
-    facts = stored(facts)
-    columns = facts.columns
-    if facts.count() <= limit:
-        sent = spark.sparkContext.broadcast([tuple(r) for r in facts.collect()])
-
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(k, *(r[n] for n in names)) for k, t in zip(batch["__key"], batch["__text"]) for r in [kernel(t, sent.value)]]
-                yield pd.DataFrame(rows, columns=[key, *names])
-
-        return source.mapInPandas(filled(run), out)
-
-    def own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(k, a, b) for k, t in zip(batch["__key"], batch["__text"]) for a, b in set(candidates(t))], columns=["__key", "a", "b"])
-
-    asked = source.mapInPandas(filled(own), f"__key {key_type}, a string, b string").join(facts, ["a", "b"])
-    given = asked.groupBy("__key").agg(F.collect_list(F.struct(*columns)).alias("__facts"))
-
-    def run_own(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t, f in zip(batch["__key"], batch["__text"], batch["__facts"]):
-                r = kernel(t, [tuple(x[c] for c in columns) for x in f] if f is not None else [])
-                rows.append((k, *(r[n] for n in names)))
-            yield pd.DataFrame(rows, columns=[key, *names])
-
-    return source.join(given, "__key", "left").mapInPandas(filled(run_own), out)
-
-
-def _split_kernel(params: Params) -> Callable[[str, list], dict]:
-    memory: dict = {}
-
-    def kernel(text: str, facts: list) -> dict:
-        if memory.get("facts") is not facts:  # the list is held, so that no other can take its place in memory
-            merges = {(a, b) for a, b, m, _, _ in facts if m}
-            words = {a for a, _, _, w, _ in facts if w} | {b for _, b, _, _, w in facts if w}
-            memory["repair"] = SplitRepair(merges, words, {a + b for a, b, _, _, _ in facts}, {(a, b) for a, b, _, _, _ in facts}, params)
-            memory["facts"] = facts
-        return memory["repair"].repair(text)
-
-    return kernel
+def split_facts(table: DataFrame) -> DataFrame:
+    """merge_table as facts for SplitRepair."""
+    return table.select(F.concat_ws(" ", "a", "b").alias("name"), "mergeable", "a_word", "b_word")
 
 
-_DISPLAY = re.compile(r"(?<![A-Za-z])[A-Za-z](?: [A-Za-z](?![A-Za-z])){3,}")
-
-
-def _split_candidates(text: str) -> Iterator[tuple[str, str]]:
-    """Pairs that four walks over a text may ask for: up to eight neighbouring tokens on either side, with display words as they
-    stand and collapsed; and the halves of each display word."""
-    for form in {text, _DISPLAY.sub(lambda m: m[0].replace(" ", ""), text)}:
-        tokens = [t.lower() for t in _TOKEN.findall(form)]
-        for i in range(len(tokens) - 1):
-            left = ""
-            for j in range(i, min(i + 8, len(tokens) - 1)):
-                left += tokens[j]
-                right = ""
-                for k in range(j + 1, min(j + 9, len(tokens))):
-                    right += tokens[k]
-                    yield left, right
-    for m in _DISPLAY.finditer(text):
-        word = m[0].replace(" ", "").lower()
-        for i in range(1, len(word)):
-            yield word[:i], word[i:]
-
-
-def repair_splits(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS, targets: DataFrame | None = None, limit: int = 4 * BROADCAST_ROWS) -> DataFrame:
+def repair_splits(docs: DataFrame, key: str, text: str = "text", params: Params = DEFAULTS, targets: DataFrame | None = None, limit: int = 4 * BROADCAST_ROWS, measured: DataFrame | None = None) -> DataFrame:
     """key, text, merged, runs, skipped, hyph, changed, would_write, and the commonest joined (examples) and untouched (left) pairs
-    of the texts to repair, all of docs or those whose key
-    is in targets. The lexicon is learned from the clean rows of docs alone.
+    of the texts to repair, all of docs or those whose key is in targets. The lexicon is learned from the clean rows of docs
+    alone. measured: lexicon.split_measures of docs, if it was made already.
 
     hyph is always 0: the lexicon holds no hyphenated forms, so that branch can't fire. would_write is false for a text in which
     only display words changed. Null texts give no row, empty ones an unchanged one."""
-    clean_docs = L.clean_for_splits(docs, key, text, params)
-    facts_source = stored(L.frequencies(clean_docs, text))
-    table = merge_table(facts_source, clean_docs.count(), params)
-    chosen = docs if targets is None else docs.join(targets.select(key).distinct(), key, "left_semi")
-    return _per_text(chosen, key, text, table, _split_candidates, _split_kernel(params), _REPAIRED, limit)
-
-
-def split_targets(docs: DataFrame, key: str, text: str = "text", names: tuple[str, ...] = (), rel: str = "rel", params: Params = DEFAULTS) -> DataFrame:
+    measured = stored(L.split_measures(docs, key, text, params)) if measured is None else measured
+    clean = stored(L.clean_keys(measured, key, params))
+    sources = clean.count()
+    clean_docs = docs.where(F.col(text).isNotNull()).join(small_side(clean, sources), key, "left_semi")
+    table = merge_table(stored(L.frequencies(clean_docs, text)), sources, params)
+    chosen = docs
+    if targets is not None:
+        keys = stored(targets.select(key).distinct())
+        chosen = docs.join(small_side(keys, keys.count()), key, "left_semi")
+    return resolved(chosen, key, text, split_facts(table), lambda t, look: SplitRepair(look, params).repair(t), _REPAIRED, limit)
+
+
+def split_targets(docs: DataFrame, key: str, text: str = "text", names: tuple[str, ...] = (), rel: str = "rel", params: Params = DEFAULTS, measured: DataFrame | None = None) -> DataFrame:
     """key and splitpair of the rows to repair: measurable, little Chinese, and a rate of split_red or more. With names, rows
     whose rel holds one of them in any case, whatever their rate."""
-    rates = L.split_rates(docs, L.term_frequency(docs, text, 2), key, text, params.repair_tokens, params).where("splitpair is not null")
-    latin = docs.where(F.coalesce(T.cjk_share(F.col(text)), F.lit(0.0)) <= params.cjk_limit)
+    measured = L.split_measures(docs, key, text, params) if measured is None else measured
+    rates = measured.where((F.col("tokens") >= params.repair_tokens) & (F.col("cjk") <= params.cjk_limit)).select(key, (F.col("pairs") / F.greatest("tokens", F.lit(1)) * 1000).alias("splitpair"))
     wanted = [n.strip().lower() for n in names if n.strip()]
-    if wanted:
-        hit = F.lit(False)
-        for n in wanted:
-            hit = hit | F.contains(F.lower(F.col(rel)), F.lit(n))
-        return rates.join(latin.where(hit).select(key), key, "left_semi").select(key, "splitpair")
-    return rates.where(F.col("splitpair") >= params.split_red).join(latin.select(key), key, "left_semi").select(key, "splitpair")
+    if not wanted:
+        return rates.where(F.col("splitpair") >= params.split_red)
+    hit = F.lit(False)
+    for n in wanted:
+        hit = hit | F.contains(F.lower(F.col(rel)), F.lit(n))
+    return rates.join(docs.where(hit).select(key), key, "left_semi")
 
 
 # -- glued words --------------------------------------------------------------------------------------------------------
@@ -392,101 +362,94 @@ def unglue_targets(docs: DataFrame, key: str, text: str = "text", excluded: tupl
 
 
 def unglue(docs: DataFrame, key: str, text: str = "text", targets: DataFrame | None = None, params: Params = DEFAULTS, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """key, text, cut, kept and changed of the texts to repair (all of docs, or those in targets without a skip_reason): glued
+    """key, text, cut, kept, changed, and the first cut (examples) and untouched (left) words of the texts to repair (all of docs, or those in targets without a skip_reason): glued
     words of unglue_letters letters or more are cut into words of the clean rows of docs. Each distinct word is cut once."""
-    clean_docs = L.clean_for_glue(docs, text, params)
-    lexicon = stored(piece_lexicon(stored(L.frequencies(clean_docs, text)), clean_docs.count(), params))
-    chosen = docs if targets is None else docs.join(targets.where("skip_reason is null").select(key), key, "left_semi")
+    clean_docs = stored(L.clean_for_glue(docs, text, params).select(F.col(text).alias("text")))
+    lexicon = stored(piece_lexicon(stored(L.frequencies(clean_docs)), clean_docs.count(), params))
+    chosen = docs
+    if targets is not None:
+        keys = stored(targets.where("skip_reason is null").select(key).distinct())
+        chosen = docs.join(small_side(keys, keys.count()), key, "left_semi")
     chosen = chosen.where(F.col(text).isNotNull())
     long = chosen.select(F.explode(T.tokens(F.col(text), params.unglue_letters)).alias("w")).distinct()
     kept = lexicon.where("keep").select(F.col("w").alias("__w"))
     open_ = long.withColumn("__w", F.lower("w")).join(kept, "__w", "left_anti").select("w")
-    facts = segments(open_, lexicon, params).select(F.col("w").alias("a"), F.lit("").alias("b"), F.array_join("parts", " ").alias("cut"))
+    facts = segments(open_, lexicon, params, limit).select(F.col("w").alias("name"), F.array_join("parts", " ").alias("cut"))
     token = re.compile(rf"[A-Za-z]{{{params.unglue_letters},}}")
 
-    def kernel(text: str, facts: list) -> dict:
-        if memory.get("facts") is not facts:
-            memory["facts"], memory["cuts"] = facts, {a: c for a, _, c in facts}
-        cuts, n = memory["cuts"], [0, 0]
+    def kernel(text: str, look: Look) -> dict:
+        n, cuts, left = [0, 0], [], []
 
         def put(m: re.Match) -> str:
-            if m[0] not in cuts:
+            fact = look(m[0])
+            if fact is None:
                 return m[0]
-            n[cuts[m[0]] is None] += 1
-            return cuts[m[0]] or m[0]
+            n[fact[0] is None] += 1
+            (left if fact[0] is None else cuts).append(m[0] if fact[0] is None else f"{m[0]} -> {fact[0]}")
+            return fact[0] or m[0]
 
         new = token.sub(put, text)
-        return {"text": new, "cut": n[0], "kept": n[1], "changed": new != text}
+        return {"text": new, "cut": n[0], "kept": n[1], "changed": new != text, "examples": cuts[:4], "left": left[:3]}
 
-    memory: dict = {}
-    return _per_text(chosen, key, text, facts, lambda t: ((w, "") for w in token.findall(t)), kernel, "text string, cut bigint, kept bigint, changed boolean", limit)
+    return resolved(chosen, key, text, facts, kernel, "text string, cut bigint, kept bigint, changed boolean, examples array<string>, left array<string>", limit)
 
 
 # -- a fresh extraction -------------------------------------------------------------------------------------------------
 
-# A hyphen at a line's end, a soft line break, blanks, a space within a line.
-_LADDER = (re.compile(r"([A-Za-z]{2,})-\n([a-z]{2,})"), re.compile(r"([A-Za-z]{2,})\n([a-z]{2,})"), re.compile(r"[ \t]{2,}"), re.compile(r"\b([A-Za-z]{2,})[ ]([a-z]{2,})\b"))
-
 
-def ladder(text: str, tf: Callable[[str], int], passes: int = 4, walk: bool = False) -> str:
-    """Repairs a fresh extraction by a lexicon: line-end hyphens, soft line breaks, blanks, and words split in a line, until
-    nothing changes. The last step sees pairs as a substitution does, each token in one pair only; with walk, a refused pair
-    gives its second token to the next."""
-    own: dict[str, int] = {}
-    for w in re.findall(r"\b[A-Za-z]{2,}-[A-Za-z]{2,}\b", text):
-        own[w.lower()] = own.get(w.lower(), 0) + 1
+def _stepped(text: str, step: JoinStep, tf: Callable[[str], int], own: Counter, walk: bool) -> str:
+    """A text after one step. own: the hyphenated forms of the text itself."""
+    if step.least is None:
+        return re.sub(step.pattern, " ", text)
 
-    def hyphen(m: re.Match) -> str:
-        plain, cut = tf((m[1] + m[2]).lower()), own.get(f"{m[1].lower()}-{m[2]}", 0)
-        if plain >= 50 and plain > 3 * cut:
-            return m[1] + m[2]
-        return f"{m[1]}-{m[2]}" if cut >= 3 and 3 * cut > plain else m[0]
+    def form(a: str, b: str) -> str | None:
+        """What two parts become; None for what they were."""
+        joined = tf((a + b).lower())
+        hyphenated = own[f"{a}-{b}".lower()] if step.over_hyphenated else 0
+        rivals = ((step.over_first, a), (step.over_second, b))
+        if joined >= step.least and joined > step.over_hyphenated * hyphenated and all(not k or joined > k * tf(part.lower()) for k, part in rivals):
+            return a + b
+        return f"{a}-{b}" if step.keep and hyphenated >= step.keep and step.over_hyphenated * hyphenated > joined else None
 
-    def soft(m: re.Match) -> str:
-        n = tf((m[1] + m[2]).lower())
-        return m[1] + m[2] if n >= 30 and n > 8 * tf(m[2]) else m[0]
+    if walk and step.over_first:
+        return walk_pairs(text, lambda a, b: len(a) > 1 < len(b) and b.islower() and form(a, b) is not None)[0]
+    return re.sub(step.pattern, lambda m: form(m[1], m[2]) or m[0], text)
 
-    def one_word(a: str, b: str) -> bool:
-        n = tf((a + b).lower())
-        return n >= 50 and n > 20 * tf(b.lower()) and n > 3 * tf(a.lower())
 
-    for _ in range(passes):
+def ladder(text: str, tf: Callable[[str], int], walk: bool = False, params: Params = DEFAULTS) -> str:
+    """Repairs a fresh extraction by a lexicon, step by step as params.ladder has them, until nothing changes. The last step sees
+    pairs as a substitution does, each token in one pair only; with walk, a refused pair gives its second token to the next."""
+    own = Counter(w.lower() for w in re.findall(r"\b[A-Za-z]{2,}-[A-Za-z]{2,}\b", text))
+    for _ in range(params.ladder_passes):
         before = text
-        text = _LADDER[2].sub(" ", _LADDER[1].sub(soft, _LADDER[0].sub(hyphen, text)))
-        if walk:
-            text, _ = walk_pairs(text, lambda a, b: len(a) > 1 < len(b) and b.islower() and one_word(a, b))
-        else:
-            text = _LADDER[3].sub(lambda m: m[1] + m[2] if one_word(m[1], m[2]) else m[0], text)
+        for step in params.ladder:
+            text = _stepped(text, step, tf, own, walk)
         if text == before:
             break
     return text
 
 
-def _ladder_candidates(text: str) -> Iterator[tuple[str, str]]:
-    tokens = [t.lower() for t in _TOKEN.findall(text)]
-    for i, t in enumerate(tokens):
-        for n in range(1, 6):
-            yield "".join(tokens[i : i + n]), ""
+def least_that_counts(params: Params = DEFAULTS) -> int:
+    """The occurrences from which on a word can change what ladder does; rarer ones may as well be missing."""
+    steps = [s for s in params.ladder if s.least is not None]
+    return ceil(min([s.least / k for s in steps for k in (s.over_first, s.over_second) if k] + [s.keep * s.over_hyphenated for s in steps if s.keep] + [s.least for s in steps]))
 
 
 def reextracted(docs: DataFrame, fresh: DataFrame, key: str, lexicon: DataFrame, text: str = "text", walk: bool = False, params: Params = DEFAULTS, limit: int = 2 * BROADCAST_ROWS) -> DataFrame:
     """The escalation ladder: for each key of docs its old and new measures, the repaired fresh text and why it is accepted or
     goes on to a new recognition. fresh: key and text of a new extraction; rows without one are `no PDF`, those with Chinese in
-    their first 3000 characters `CJK file`.
+    their first cjk_head characters `CJK file`.
 
     status: done, reocr or nopdf. Accepted are texts below split_red and below what they were, with enough words left, and of
     the word the."""
     the = lambda c: T.matches(c, rf"(?i)(?<![{T._LETTER}])the(?![{T._LETTER}])")
-    words = lexicon.where(F.col("tf") >= 1).select(F.col("w").alias("a"), F.lit("").alias("b"), "tf")
-    memory: dict = {}
+    words = lexicon.where(F.col("tf") >= least_that_counts(params)).select(F.col("w").alias("name"), "tf")
 
-    def kernel(text: str, facts: list) -> dict:
-        if memory.get("facts") is not facts:
-            memory["facts"], memory["tf"] = facts, {a: n for a, _, n in facts}
-        return {"text": ladder(text, lambda w: memory["tf"].get(w, 0), walk=walk)}
+    def kernel(text: str, look: Look) -> dict:
+        return {"text": ladder(text, lambda w: (look(w) or (0,))[0], walk, params)}
 
     crlf = lambda c: F.replace(c, F.lit("\r\n"), F.lit("\n"))
-    fixed = stored(_per_text(fresh.select(F.col(key), crlf(F.col(text)).alias(text)), key, text, words, _ladder_candidates, kernel, "text string", limit))
+    fixed = stored(resolved(fresh.select(F.col(key), crlf(F.col(text)).alias(text)), key, text, words, kernel, "text string", limit))
     pairs = stored(L.split_pairs(lexicon, params))
 
     def rates(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -495,7 +458,7 @@ def reextracted(docs: DataFrame, fresh: DataFrame, key: str, lexicon: DataFrame,
         return counts.select(key, F.col("tokens").alias(f"words{n}"), rate.alias(f"sp{n}"))
 
     old = docs.where(F.col(text).isNotNull()).select(F.col(key), crlf(F.col(text)).alias("__old"))
-    out = rates(old, "__old", 0).join(old.select(key, the(F.col("__old")).alias("the0"), F.substring("__old", 1, 3000).rlike(T.CJK).alias("cjk")), key)
+    out = rates(old, "__old", 0).join(old.select(key, the(F.col("__old")).alias("the0"), F.substring("__old", 1, params.cjk_head).rlike(T.CJK).alias("cjk")), key)
     new = fixed.select(key, "text", the(F.col("text")).alias("the1")).join(rates(fixed, "text", 1), key)
     out = out.join(new, key, "left")
     good = (F.col("sp1") < params.split_red) & (F.col("sp1") < F.col("sp0")) & (F.col("words1") >= F.col("words0") * params.accept_words) & (F.col("the1") >= F.col("the0") * params.accept_the)

@@ -5,6 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+@dataclass(frozen=True)
+class JoinStep:
+    """A step of the repair of a fresh extraction: what pattern finds becomes one word if the joined form occurs `least` times
+    and more than so many times as often as its first part, its second part and the text's own hyphenated form; it keeps its
+    hyphen if that form occurs `keep` times and the joined one isn't so much more frequent. Without least, a space."""
+
+    pattern: str
+    least: int | None = None
+    over_first: int = 0
+    over_second: int = 0
+    over_hyphenated: int = 0
+    keep: int = 0
+
+
 @dataclass(frozen=True)
 class Params:
     # health rows and gates
@@ -51,6 +65,15 @@ class Params:
     # re-extraction
     accept_words: float = 0.85
     accept_the: float = 0.9
+    cjk_head: int = 3000
+    ladder_passes: int = 4
+    # fixed values: a hyphen at a line's end, a soft line break, blanks, a space within a line
+    ladder: tuple[JoinStep, ...] = (
+        JoinStep(r"([A-Za-z]{2,})-\n([a-z]{2,})", 50, over_hyphenated=3, keep=3),
+        JoinStep(r"([A-Za-z]{2,})\n([a-z]{2,})", 30, over_second=8),
+        JoinStep(r"[ \t]{2,}"),
+        JoinStep(r"\b([A-Za-z]{2,})[ ]([a-z]{2,})\b", 50, over_first=3, over_second=20),
+    )
     # page anchors
     anchors_least: int = 8
     toc_run: int = 6
@@ -73,9 +96,15 @@ class Params:
     switch_points: float = 1.0
     switch_relative: float = 0.15
     switch_words: int = 200
+    # small corpora, from which nothing should be learned without a look
+    sources_repair: int = 20
+    sources_witness: int = 200
+    # hidden layers of a PDF
+    dual_percent: float = 15.0
     # risk of a PDF
     image_chars: int = 200
     control_percent: float = 0.5
+    control_head: int = 100_000
     single_percent: float = 30.0
     image_share: float = 0.7
     image_page_chars: int = 800

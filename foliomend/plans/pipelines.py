@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomend.operators import gates, repair
@@ -42,13 +42,33 @@ def report(rows: DataFrame, column: str, flag: str, top: int, key: str = "rel")
     return rows.where(flag).orderBy(F.desc(column), key).limit(top).select(key, column)
 
 
+def changes_report(fixed: DataFrame, top: int = 8, key: str = "rel") -> DataFrame:
+    """The texts with the most line-end hyphens decided, of dehyphenation_run."""
+    return fixed.where("changed").orderBy(F.desc(F.col("join") + F.col("hyph")), key).limit(top).select(key, "join", "hyph", "skip")
+
+
+def disagreement_report(rows: DataFrame, top: int = 60, key: str = "file_id") -> DataFrame:
+    """The first `top` rows of each bucket by key, page and words; their totals are bucket_totals', which stay whole."""
+    order = Window.partitionBy("bucket").orderBy(key, "page", F.array_join("x", " "), F.array_join("y", " "))
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).drop("n")
+
+
+def learned_from(sources: int, least: int) -> dict[str, int | bool]:
+    """How many sound files a lexicon was learned from, and whether that is too few to trust it without a look."""
+    return {"sources": sources, "least": least, "few": sources < least}
+
+
 def split_repair_run(docs: DataFrame, key: str = "rel", text: str = "text", names: tuple[str, ...] = (), params: Params = DEFAULTS) -> DataFrame:
-    """The repaired texts of the targets with splitpair before (sp0) and after (sp1)."""
-    lexicon = stored(L.term_frequency(docs, text, 2))
-    targets = stored(repair.split_targets(docs, key, text, names, params=params))
-    fixed = stored(repair.repair_splits(docs, key, text, params, targets))
-    after = L.split_rates(fixed, lexicon, key, "text", params.repair_tokens, params).select(key, F.col("splitpair").alias("sp1"))
-    return fixed.join(targets.withColumnRenamed("splitpair", "sp0"), key).join(after, key, "left")
+    """The repaired texts of the targets with splitpair before (sp0) and after (sp1), and sources, the clean files that the repairs
+    were learned from, with few if they are fewer than sources_repair. The lexicon is learned once, and the texts measured once."""
+    rough = stored(L.term_frequency(docs, text, 1))
+    measured = stored(L.split_measures(docs, key, text, params, rough))
+    targets = stored(repair.split_targets(docs, key, text, names, params=params, measured=measured))
+    fixed = stored(repair.repair_splits(docs, key, text, params, targets, measured=measured))
+    after = L.split_rates(fixed, rough.where("length(w) > 1"), key, "text", params.repair_tokens, params).select(key, F.col("splitpair").alias("sp1"))
+    said = learned_from(L.clean_keys(measured, key, params).count(), params.sources_repair)
+    rows = fixed.join(targets.withColumnRenamed("splitpair", "sp0"), key).join(after, key, "left")
+    return rows.withColumn("sources", F.lit(said["sources"]).cast("bigint")).withColumn("few", F.lit(said["few"]))
 
 
 def unglue_run(docs: DataFrame, key: str = "rel", text: str = "text", excluded: tuple[str, ...] = (), params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:

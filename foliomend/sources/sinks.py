@@ -46,6 +46,11 @@ def write_preview(repaired: DataFrame, path: str) -> None:
     write_version(repaired.where("changed"), path)
 
 
+def queue_rows(ladder: DataFrame) -> DataFrame:
+    """rel, status (reocr, nopdf, done), rates to two places and why of what the ladder came to."""
+    return ladder.select("rel", "status", F.round("sp0", 2).alias("sp0"), F.round("sp1", 2).alias("sp1"), "why")
+
+
 def write_queue(ladder: DataFrame, path: str) -> None:
-    """The queue of a new recognition as JSON lines: rel, status (reocr, nopdf, done), rates and why."""
-    ladder.select("rel", "status", F.round("sp0", 2).alias("sp0"), F.round("sp1", 2).alias("sp1"), "why").write.mode("errorifexists").json(path)
+    """The queue of a new recognition as JSON lines."""
+    queue_rows(ladder).write.mode("errorifexists").json(path)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PIECES = r"[A-Za-z]+|[^A-Za-z]+"
 
 
+def _number(*parts: Column) -> Column:
+    """A number of 32 bits that hangs on the parts alone: the beginning of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
+
+
 def _chance(*parts: Column) -> Column:
     """A number from 0 to 1 that hangs on the parts alone."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_000)) / 1_000_000.0
+    return F.pmod(_number(*parts), F.lit(1_000_000)) / 1_000_000.0
 
 
 def build_clean(passage: str, cycles: int = 10, every: int = 2) -> str:
@@ -26,7 +31,7 @@ def split_words(docs: DataFrame, key: str, text: str = "text", share: float = 0.
     def damage(piece: Column, i: Column) -> Column:
         hit = F.regexp(piece, F.lit(f"^[A-Za-z]{{{least},}}$")) & (_chance(F.col(key), i, F.lit(seed)) < share)
         first = _chance(F.col(key), i, F.lit(seed + 1)) < 0.3
-        third = (3 + F.pmod(F.xxhash64(F.col(key), i, F.lit(seed + 2)), F.least(F.lit(5), F.length(piece) - 2) - 2)).cast("int")
+        third = (3 + F.pmod(_number(F.col(key), i, F.lit(seed + 2)), (F.least(F.lit(5), F.length(piece) - 2) - 2).cast("bigint"))).cast("int")
         cut = F.when(first, F.lit(1)).otherwise(third)
         return F.when(hit, F.concat(F.substring(piece, F.lit(1), cut), F.lit(" "), F.substring(piece, cut + 1, F.length(piece)))).otherwise(piece)
 
@@ -44,3 +49,11 @@ def glue_spans(docs: DataFrame, key: str, text: str = "text", share: float = 0.0
 
     put = F.concat(F.transform(spans, damage), F.array(F.lit("")))
     return docs.select(F.col(key), F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "").alias("text"))
+
+
+def corpus(spark: SparkSession, passage: str, cycles: int = 10) -> DataFrame:
+    """rel and text of a sound file made of a passage, and of its two damaged forms."""
+    clean = spark.createDataFrame([("healthy.txt", build_clean(passage, cycles))], "rel string, text string")
+    split = split_words(clean, "rel").withColumn("rel", F.lit("wordsplit-damaged.txt"))
+    glued = glue_spans(clean, "rel").withColumn("rel", F.lit("glued-damaged.txt"))
+    return clean.unionByName(split).unionByName(glued)

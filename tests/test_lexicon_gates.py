@@ -123,3 +123,45 @@ def test_each_key_once(spark, tmp_path):
             assert got.columns == df.columns
             assert sorted(str(r["file_id"]) for r in got.collect()) == ["1", "2", "None", "None"]
     assert one_row_per(spark.createDataFrame([], "file_id long, text string"), "file_id").agg(F.count("*")).first()[0] == 0
+
+
+def test_values_at_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    for values in ([], [2.0], [rng.choice([0.5, 1.5, 2.5, 7.0]) for _ in range(50)], [rng.random() for _ in range(301)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+        n = len(values)
+        got = gates.at_ranks(df, "v", lambda n: {"median": n // 2, "p90": min(int(n * 0.9), n - 1), "max": n - 1})
+        assert got == {"median": sorted(values)[n // 2], "p90": sorted(values)[min(int(n * 0.9), n - 1)], "max": max(values)} if n else set(got.values()) == {0.0}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from foliomend import runtime
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_stored_tables_are_removed(spark):
+    import glob
+
+    from foliomend import runtime
+
+    runtime.stored(spark.range(3))
+    folder = runtime._tables(spark).replace("file://", "")
+    assert glob.glob(f"{folder}/table-*")
+    # a session of its own would be needed to remove all; the folder is this application's alone
+    assert spark.sparkContext.applicationId in folder
+
+
+def test_registered_words_leave_the_glue_rate_and_nothing_else(spark):
+    word = "historiographically"
+    docs = spark.createDataFrame([(1, f"{word} " * 30 + "a b " * 200 + "peoplelivingtogether " * 3)], "id long, text string")
+    p = Params(min_chars=10)
+    plain, registered = (gates.health_rows(docs, "id", registry=r, params=p).first() for r in ((), (word.upper(),)))
+    assert plain["glue"] > registered["glue"] > 0 and registered["glue_x"] == 30 and plain["words"] == registered["words"]

@@ -96,10 +96,63 @@ def test_pages_between_anchors(spark):
     assert got == [(None, ["front", "words"]), (7, ["on", "it", "page", "x"])]
 
 
-def test_longest_rise_and_contents():
+def test_longest_rise():
     assert [[5, 1, 2, 9, 3][i] for i in P.longest_rise([5, 1, 2, 9, 3])] == [1, 2, 3]
-    assert P.longest_rise([]) == [] and P.contents_cut([1, 20, 40, 60, 80, 99, 1, 2, 3, 4, 5, 6]) == 6
-    assert P.contents_cut([1, 2]) == 0
+    assert P.longest_rise([]) == []
+
+
+def test_contents_at_the_front_are_left_out(spark):
+    rows = [(1, 10 * i, p) for i, p in enumerate([1, 20, 40, 60, 80, 99, 1, 2, 3, 4, 5, 6])] + [(2, 0, 1), (2, 5, 2)]
+    got = P.after_contents(spark.createDataFrame(rows, "id int, pos long, page int"), "id").orderBy("id", "pos").collect()
+    assert [(r["id"], r["page"], r["raw"], r["dropped"]) for r in got] == [(1, p, 12, 6) for p in range(1, 7)] + [(2, 1, 2, 0), (2, 2, 2, 0)]
+
+
+def test_head_hits_are_those_of_a_search(spark):
+    import re
+
+    heads = ["THE HEAD", "On (Other) Things"]
+    texts = ["12 THE HEAD and 1234 THE HEAD\r\n7  THE HEAD 8 é9 THE HEAD\rOn (Other) Things 44x On (Other) Things\n45", "THE HEAD", "", None, "3 THE HEAD 4 THE HEAD 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = set()
+    for i, t in enumerate(texts):
+        t = (t or "").replace("\r\n", "\n").replace("\r", "\n")
+        for h in map(re.escape, heads):
+            want |= {(i, m.start(), int(m[1])) for p in (rf"\b(\d{{1,3}})\s+{h}", rf"{h}\s+(\d{{1,3}})\b") for m in re.finditer(p, t)}
+    assert {tuple(r) for r in P.head_hits(df, "id", heads).collect()} == want and len(want) > 6
+    assert P.head_hits(df, "id", []).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_two_witnesses_from_texts(spark, limit):
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "w string, df long")
+    mark = "=== page {} ===\n{}\n"
+    a = "".join(mark.format(p, t) for p, t in PAGES_A.items())
+    docs = spark.createDataFrame([(1, a), (2, "no anchors"), (3, None)], "file_id long, text string")
+    pages = spark.createDataFrame([(1, p, t) for p, t in PAGES_B.items()] + [(1, 9, None)], "file_id long, page int, text string")
+    rows, counters, warnings = W.second_witness(docs, pages, "file_id", lexicon=lexicon, limit=limit)
+    found = {(r["bucket"], " ".join(r["x"]).lower()) for r in rows.collect()}
+    assert {("a_glue", "whereletters"), ("a_glue", "bookbinding"), ("a_split", "c hronology")} <= found
+    assert {r["counter"]: r["n"] for r in counters.collect()}["join_ok"] >= 2
+    assert tuple(warnings.first()) == (3, True, 2)
+
+
+def test_a_table_without_common_words_can_be_no_dictionary(spark):
+    docs = spark.createDataFrame([(1, "=== page 1 ===\nzebra")], "file_id long, text string")
+    with pytest.raises(ValueError):
+        W.second_witness(docs, docs.withColumn("page", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)), "file_id")
+
+
+def test_words_run_together_are_found_at_their_beginnings():
+    j = W.Joined(["The", "ferry", "man", "the", "ferryman"])
+    assert list(j.spelled("ferryman", 4)) == [["ferry", "man"]] and list(j.spelled("theferryman", 2)) == [["the", "ferryman"]]
+    assert list(j.spelled("theferryman", 3)) == [["The", "ferry", "man"], ["the", "ferryman"]] and list(W.Joined([]).spelled("x", 3)) == []
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_non_words_by_both_ways(spark, limit):
+    known = spark.createDataFrame([(w,) for w in ("politicians", "modem", "speak", "political", "order", None)], "w string")
+    docs = spark.createDataFrame([(None, "Politicians speak polit ical order, ord-\ner"), (None, "pohticians modem"), (3, "")], "id int, text string")
+    assert sorted((r["words"], r["bad"]) for r in W.non_words(docs, known, "id", limit=limit).collect()) == [(0, 0), (2, 1), (4, 0)]
 
 
 def test_anchors_are_written_only_through_the_gates(spark):
@@ -125,4 +178,9 @@ def test_headed_texts_are_whole(spark, tmp_path):
     assert "".join(line.split(" HEAD ")[1] for line in got[1].splitlines()) == rows[0][1]
     gates = {r["file_id"]: r["passed"] for r in catalogue.recovered_anchors(spark, str(tmp_path)).collect()}
     assert gates == {1: True, 2: False, 5: False}
-    assert [(r["file_id"], "the end" in r["text"]) for r in catalogue.anchored_texts(spark, str(tmp_path)).collect()] == [(1, True)]
+    docs = catalogue._headed(spark, str(tmp_path))
+    kept = P.recovered_anchors(docs, "file_id", ["THE RUNNING HEAD"])
+    whole = P.anchored(docs, kept, P.anchor_gates(kept, "file_id"), "file_id").collect()
+    assert [(r["file_id"], "the end" in r["text"]) for r in whole] == [(1, True)]
+    digests = [(r["file_id"], r["text"]) for r in catalogue.anchored_texts(spark, str(tmp_path)).collect()]
+    assert digests == [(1, __import__("hashlib").md5(whole[0]["text"].encode()).hexdigest())]

@@ -38,7 +38,9 @@ def test_walk_is_every_second_pair_of_a_run(seed):
 
 
 def repairer(words, merges, attested=()):
-    return R.SplitRepair(set(merges), set(words), {"chapter"}, set(merges) | set(attested))
+    words = {w for w in words if len(w) > 1 or w in "ai"}
+    facts = {f"{a} {b}": (True, a in words, b in words) for a, b in [*merges, ("c", "hapter")]} | {f"{a} {b}": (False, a in words, b in words) for a, b in attested}
+    return R.SplitRepair(facts.get)
 
 
 def test_guards_of_split_repair():
@@ -174,8 +176,77 @@ def test_acceptance_of_fresh_extractions(spark, limit):
     assert got[1] == ("done", None) and got[2][0] == "reocr" and got[3] == ("nopdf", "no PDF") and got[4] == ("reocr", "CJK file")
 
 
-def test_no_row_by_row_loops_over_tokens_needed_for_candidates():
-    pairs = set(R._split_candidates("a b c"))
-    assert {("a", "b"), ("ab", "c"), ("a", "bc"), ("b", "c")} <= pairs
-    assert ("ch", "apter") in set(R._split_candidates("C H A P T E R"))
-    assert re.findall("x", "") == []
+
+
+LONG = "insti tut ion al ism was polit ical and de mo cra ti za tion came; C O N S T I T U T I O N A L of it"
+
+
+def lexicon_rows():
+    words = {"institutionalism": 900, "institutional": 90, "institution": 60, "political": 80, "democratization": 400, "constitutional": 50}
+    words |= {w[:i]: 21 + len(w) - i for w in ("institutionalism", "democratization") for i in range(6, len(w))}
+    return [(w, n, 1) for w, n in words.items()]
+
+
+@pytest.mark.parametrize("params", [R.DEFAULTS, Params(display_run=3, repair_passes=9, max_separator=6), Params(repair_passes=1)])
+def test_facts_by_broadcast_and_by_rounds_repair_alike(spark, params):
+    table = R.merge_table(spark.createDataFrame(lexicon_rows(), "w string, tf long, df long"), 100, params)
+    docs = spark.createDataFrame([(None, LONG), (None, LONG + " again polit -  ical"), (1, ""), (2, "A B C is polit\nical"), (3, None)], "id long, text string")
+    run = lambda limit: sorted(tuple(r) for r in R.resolved(docs.fillna(-1, ["id"]), "id", "text", R.split_facts(table), lambda t, look: R.SplitRepair(look, params).repair(t), R._REPAIRED, limit).collect())
+    both = run(10**6), run(0)
+    assert both[0] == both[1] and len(both[0]) == 4
+    nulls = R.resolved(docs, "id", "text", R.split_facts(table), lambda t, look: R.SplitRepair(look, params).repair(t), R._REPAIRED, 0)
+    assert sum(r["merged"] > 0 for r in nulls.where("id is null").collect()) == 2
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("walk", [False, True])
+def test_chains_of_any_length_in_a_fresh_extraction(spark, limit, walk):
+    words = {"ab": 1, "cd": 1, "ef": 1, "gh": 1, "ij": 1, "kl": 1, "abcd": 60, "efgh": 60, "ijkl": 60, "abcdefgh": 5000, "abcdefghijkl": 90_000}
+    docs = spark.createDataFrame([(1, "x"), (None, "x")], "id long, text string")
+    fresh = spark.createDataFrame([(1, "ab cd ef gh ij kl"), (None, "ab cd ef gh ij kl")], "id long, text string")
+    lexicon = spark.createDataFrame(list(words.items()), "w string, tf long")
+    got = R.reextracted(docs, fresh, "id", lexicon, walk=walk, limit=limit).where("id = 1").first()
+    assert got["text"] == R.ladder("ab cd ef gh ij kl", lambda w: words.get(w, 0), walk=walk) == "abcdefghijkl"
+
+
+def test_words_too_rare_to_count_change_nothing():
+    rng = random.Random(4)
+    least = R.least_that_counts()
+    assert least == 3
+    for _ in range(300):
+        parts = [rng.choice(["abc", "de", "fgh", "ij"]) for _ in range(8)]
+        text = "".join(p + rng.choice([" ", "-\n", "\n", "  "]) for p in parts)
+        forms = {"".join(parts[i:j]) for i in range(8) for j in range(i + 1, 9)}
+        tf = {w: rng.choice([0, 1, 2, 3, 9, 29, 30, 50, 400]) for w in forms}
+        assert R.ladder(text, lambda w: tf.get(w, 0)) == R.ladder(text, lambda w: n if (n := tf.get(w, 0)) >= least else 0)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_walks_over_a_table(spark, limit):
+    docs = spark.createDataFrame([(1, DEMO), (None, DEMO), (2, "é harb our"), (3, None)], "id long, text string")
+    pairs = spark.createDataFrame([("harb", "our"), ("transla", "tion"), ("translation", "al")], "a string, b string")
+    texts = lambda walk: sorted((r["text"], r["joins"]) for r in R.joined_pairs(docs, pairs, "id", walk=walk, limit=limit).collect())
+    assert texts("once") == [("the harbour master of translation al notes", 2)] * 2 + [("é harbour", 1)]
+    assert texts("fixpoint") == [("the harbour master of translational notes", 3)] * 2 + [("é harbour", 1)]
+    assert texts("consuming") == [(DEMO, 0)] * 2 + [("é harbour", 1)]
+
+
+def test_consuming_pairs_know_no_word_boundaries():
+    assert R.consuming_pairs("éharb our", accept) == ("éharbour", 1)
+
+
+def test_a_filter_refuses_no_name_it_holds(spark):
+    from foliomend.operators import lookup
+
+    names = [f"{a} {b}" for a in ("of", "été", "x" * 50, "") for b in map(str, range(300))]
+    bits = lookup.filter_of(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert all(lookup.may_hold(bits, n) for n in names) and len(bits) == lookup.FILTER_BITS // 8
+    assert sum(lookup.may_hold(bits, f"other {i}") for i in range(2000)) < 20
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_split_counts_by_both_ways(spark, limit):
+    docs = spark.createDataFrame([(1, "demo cratic Demo cratic order"), (None, "demo cratic"), (None, ""), (2, None)], "id long, text string")
+    pairs = spark.createDataFrame([("demo", "cratic", True), ("cratic", "order", False)], "a string, b string, rough boolean")
+    got = sorted((r["tokens"], r["pairs"], r["rough_pairs"]) for r in L.split_counts(docs, pairs, "id", limit=limit).collect())
+    assert got == [(0, 0, 0), (2, 1, 1), (5, 3, 2)]

@@ -86,3 +86,64 @@ def test_late_and_repeated_documents(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["doc_id"], r["late"]) for r in spark.table("late").collect()} == {(1, False), (2, True), (3, False)}
+
+
+class Document:
+    """As much of a PDF library's document as the sources ask for."""
+
+    def __init__(self, pages):
+        self.pages, self.page_count, self.metadata = pages, len(pages), {"producer": "ABBYY", "creator": None}
+
+    def __getitem__(self, i):
+        from types import SimpleNamespace
+
+        fonts, spans = self.pages[i]
+        block = {"type": 0, "lines": [{"spans": [{"font": f, "text": t} for f, t in spans]}]}
+        return SimpleNamespace(get_fonts=lambda full: [(0, 0, 0, f) for f in fonts], get_text=lambda kind: {"blocks": [block, {"type": 1}]} if kind == "dict" else "".join(t for _, t in spans), get_images=lambda: [1] if i % 2 else [])
+
+    def get_page_fonts(self, i):
+        return [(0, 0, 0, f) for f in self.pages[i][0]]
+
+
+def test_layers_by_their_fonts(spark):
+    from foliomend.sources import pdf
+
+    dual = Document([(["GlyphLessFont", "Times"], [("GlyphLessFont", "a" * 80), ("Times", "b" * 20)])] * 40)
+    hidden = Document([(["GlyphLessFont"], [("GlyphLessFont", "a" * 50)])] * 3)
+    plain = Document([(["Times"], [("Times", "b")])] * 2)
+    rows = [(f, *r) for f, doc in (("dual", dual), ("hidden", hidden), ("plain", plain), ("empty", Document([]))) for r in pdf._font_rows(doc)]
+    assert len({r for r in rows if r[0] == "dual" and r[2] == "named"}) == 2 and sum(r[0] == "dual" and r[2] == "named" for r in rows) == 22
+    fonts = spark.createDataFrame([*rows, ("broken", None, None, None, None, "no PDF")], "f string, pages int, kind string, font string, chars long, err string")
+    got = {r["f"]: (r["pages"], r["other_pct"], r["dual"], r["err"]) for r in pdf.layers_of(fonts).collect()}
+    assert got == {"dual": (40, 20.0, True, None), "hidden": (3, 0.0, False, None), "broken": (None, None, None, "no PDF")}
+
+
+def test_probed_pages(spark):
+    from foliomend.sources import pdf
+
+    doc = Document([(["GlyphLessFont"], [("x", f"{i} ")]) for i in range(45)])
+    rows = [("f", *r) for r in pdf._probe_rows(doc)]
+    out = pdf.probed(spark.createDataFrame(rows[::-1], "f string, place int, text string, images boolean, hidden boolean, maker string")).first()
+    assert out["sampled"] == 20 and out["text"].startswith("0 2 4 ") and out["glyphless"] and out["image_pages"] == 0 and out["producer"] == "ABBYY"
+    assert out["chars_per_page"] == len(out["text"]) / 20 and pdf.evenly(0, 20, 20) == [] and pdf.evenly(45, 20, 20) == list(range(0, 40, 2))
+
+
+def test_the_queue_is_written_as_it_is(spark, tmp_path):
+    from foliomend.sources import sinks
+
+    ladder = spark.createDataFrame([("a", "done", 7.123, 1.0, None), ("b", "nopdf", 9.0, None, "no PDF")], "rel string, status string, sp0 double, sp1 double, why string")
+    sinks.write_queue(ladder, f"{tmp_path}/queue")
+    got = {r["rel"]: r for r in spark.read.json(f"{tmp_path}/queue").collect()}
+    assert got["a"]["sp0"] == 7.12 and got["a"]["status"] == "done" and got["b"]["why"] == "no PDF"
+
+
+def test_a_corpus_damaged_on_purpose_is_found_out(spark):
+    from foliomend.operators import lexicon as L
+    from foliomend.params import Params
+    from foliomend.sources import synthetic
+
+    passage = "The patient archivist described every catalogue of the institution and compared several documents with another witness before anybody published them in the country.\n" * 20
+    docs = synthetic.corpus(spark, passage, 10)
+    rows = {r["rel"]: r for r in L.split_rates(docs, L.term_frequency(docs), "rel", params=Params(split_tf=20)).collect()}
+    glue = {r["rel"]: r["g"] for r in docs.select("rel", L.glue_rate(docs["text"]).alias("g")).collect()}
+    assert rows["healthy.txt"]["splitpair"] == 0 and rows["wordsplit-damaged.txt"]["splitpair"] > 5 and glue["glued-damaged.txt"] > 3 and glue["healthy.txt"] == 0

@@ -103,3 +103,15 @@ def test_pairs_of_neighbours(spark):
 
 def test_german_vote_is_a_majority(spark):
     assert column(spark, ["der die the", "der the", ""], T.is_german(T.lowered(T.tokens(F.col("text"))))) == [True, False, False]
+
+
+def test_the_dropped_glyph_takes_one_space_with_it(spark):
+    g = T.DROPPED_GLYPH
+    df = spark.createDataFrame([(f"a{g} b", 1), (f"a{g}  b", 2), (f"a{g} .", 3), (f"{g}", 4)], "t string, i int")
+    assert [r["x"] for r in df.orderBy("i").select(T.expand_ligatures(F.col("t")).alias("x")).collect()] == ["ab", "a  b", "a .", ""] and ord(g) == 0xF0A0
+
+
+def test_words_with_what_stands_after_them(spark):
+    df = spark.createDataFrame([("The reader’s arith-\nmetic, e'' go",), ("",), ("..",), ("one",)], "t string")
+    got = [[(x["w"], x["sep"]) for x in r["x"]] for r in df.select(T.normalised("t").alias("t")).select(T.normal_words_and_separators(F.col("t")).alias("x")).collect()]
+    assert got == [[("The", " "), ("reader's", " "), ("arith", "-\n"), ("metic", ", "), ("e", " "), ("go", "")], [], [], [("one", "")]]
