@@ -42,6 +42,7 @@ _SPECIAL = re.compile(r"[\t|;:_{}<>\\^~#%*+=/]").search
 _OPENING = frozenset("“„«‘’'\"(¿¡")
 _FIGURES = re.compile(r"\d+").sub
 _BLANK = re.compile(r"\n\s*\n").split
+_READABLE = re.compile(r"[^\W_]").search
 _SIGNS = re.compile(r"[^\w\s.,;|—–-]").findall
 
 
@@ -58,6 +59,8 @@ def line_kind(line: str, common: frozenset[str] | Rest) -> str:
     if ANCHOR(s) or _BARE(s):
         return ""
     n = len(s)
+    if not _READABLE(s):
+        return "junk"  # signs alone, such as rows of dashes, are no items of a list
     if "(cid:" in s and sum(map(len, _CID.findall(s))) > 0.4 * n or len(_SIGNS(s)) > 0.25 * n:
         return "junk"
     if _BULLET(s) or ("..." in s or ". . ." in s or "……" in s or "____" in s) and _LEADER(s) or _INDEX(s) or _GLOSS(s) or _BIBLIO(s):

@@ -36,7 +36,7 @@ NEW_WORD, NEW_NAME, NEW_SIGNS = 2e-9, 2e-7, 1e-13
 #: Chance that a word's place is taken by any word never met.
 NEW = 0.02
 #: Chance of one certain number.
-NEW_NUMBER = 1e-6
+NEW_NUMBER = 1e-5
 #: Advantage in log chance that a reading the corpus doesn't know must have over what stands there.
 UNHEARD = 1.5
 #: Weight of the pair in a word's probability; the rest is the word's own.

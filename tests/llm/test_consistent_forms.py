@@ -107,6 +107,12 @@ def test_list_rules_come_before_the_plain_case():
         assert forms.line_kind(line, COMMON) == "list", line
 
 
+def test_rows_of_signs_are_junk_and_no_items():
+    for line in ("- - - - - - - - - - - - -", "· · · · · · · · · · · · ·", ". . . . . . . . . . . . .", "_" * 40):
+        assert forms.line_kind(line, COMMON) == "junk", line
+    assert forms.line_kind("- monastery", COMMON) == "list" and forms.form_of("- - - - - - - - - -\n· · · · · · · · · ·\n" * 9, COMMON) == "junk"
+
+
 def test_ids_beyond_doubles_stay_whole_beside_nulls(spark):
     big = 2**53 + 1
     words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, w string")
