@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from foliomend.sources import pdf, sinks, synthetic
 SHORT = Params(min_chars=2000, split_tokens=300, repair_tokens=300, unglue_tokens=300)
 CORPORA = ("healthy", "wordsplit_damaged", "glued_damaged")
 
-#: Long words that the registry query takes for real ones.
-REGISTRY = ("institutionalisation", "characteristically", "historiographically")
+#: Long words that the registry query takes for real ones, and the letters from which on it takes words for glued.
+REGISTRY, REGISTRY_LETTERS = ("interpolation", "sprachgeschichte", "ecclesiastical"), 13
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,7 +94,7 @@ def health_report(spark: SparkSession, d: str) -> DataFrame:
 
 def health_registry(spark: SparkSession, d: str) -> DataFrame:
     """Glue rates with long words known to be real."""
-    rows = gates.health_rows(files(spark, d), "file_id", registry=tuple(w.upper() for w in REGISTRY), params=SHORT)
+    rows = gates.health_rows(files(spark, d), "file_id", registry=tuple(w.upper() for w in REGISTRY), params=replace(SHORT, glue_letters=REGISTRY_LETTERS))
     return rows.select("file_id", "words", "glue", "glue_x")
 
 

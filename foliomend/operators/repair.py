@@ -361,10 +361,11 @@ def unglue_targets(docs: DataFrame, key: str, text: str = "text", excluded: tupl
     return rows.select(F.col(key), "glue", reason.alias("skip_reason"))
 
 
-def unglue(docs: DataFrame, key: str, text: str = "text", targets: DataFrame | None = None, params: Params = DEFAULTS, limit: int = BROADCAST_ROWS) -> DataFrame:
+def unglue(docs: DataFrame, key: str, text: str = "text", targets: DataFrame | None = None, params: Params = DEFAULTS, limit: int = BROADCAST_ROWS, clean: DataFrame | None = None) -> DataFrame:
     """key, text, cut, kept, changed, and the first cut (examples) and untouched (left) words of the texts to repair (all of docs, or those in targets without a skip_reason): glued
-    words of unglue_letters letters or more are cut into words of the clean rows of docs. Each distinct word is cut once."""
-    clean_docs = stored(L.clean_for_glue(docs, text, params).select(F.col(text).alias("text")))
+    words of unglue_letters letters or more are cut into words of the clean rows of docs. Each distinct word is cut once. clean:
+    the texts (text) of those rows, if they were found already."""
+    clean_docs = stored(L.clean_for_glue(docs, text, params).select(F.col(text).alias("text"))) if clean is None else clean
     lexicon = stored(piece_lexicon(stored(L.frequencies(clean_docs)), clean_docs.count(), params))
     chosen = docs
     if targets is not None:

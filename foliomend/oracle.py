@@ -226,7 +226,7 @@ path as (select w, back, length(w)::bigint as ix, []::varchar[] as parts from en
 cut as materialized (select o.w, case when len(parts) > 1 then array_to_string(parts, ' ') end as cut from open_ o left join (select w, parts from path where ix = 0) using (w)),
 wk as (select t.file_id, front, i, coalesce(cut, tok) as tok, sep, false as joins, cut is not null as is_cut, cut.w is not null and cut is null as is_kept from tk t left join cut on cut.w = tok),
 {_put_together("wk", "tx", "tg")}, counts as (select file_id, sum(is_cut::int)::bigint as cut, sum(is_kept::int)::bigint as kept from wk group by file_id)
-select file_id, {_md5("text")}, cut, kept, changed, glue1, glue0 from (select tx.file_id, tx.text, c.cut, c.kept, tx.text <> g.text as changed, glue0, {_GLUE.replace("len(t)", "len(t1)").replace("list_filter(t,", "list_filter(t1,")} as glue1 from (select *, {_tokens()} as t1 from tx) tx join tg g using (file_id) join counts c using (file_id))"""
+select file_id, {_md5("text")}, cut, kept, changed, glue1, glue0, sources, sources < 20 as few from (select tx.file_id, tx.text, c.cut, c.kept, tx.text <> g.text as changed, glue0, {_GLUE.replace("len(t)", "len(t1)").replace("list_filter(t,", "list_filter(t1,")} as glue1 from (select *, {_tokens()} as t1 from tx) tx join tg g using (file_id) join counts c using (file_id)), (select count(*) as sources from clean)"""
 
 _PLAIN = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
 
@@ -381,8 +381,8 @@ SQL = {
         select f, pages, other_pct, other_pct > 15 as dual, err, phrase, case when err is not null then 'warn' when not coalesce(other_pct > 15, false) then 'single' when coalesce(phrase >= m * 0.5, false) then 'ok' else 'red' end as state
         from layers left join flags on f = 'scan-' || flags.file_id || '.pdf', med where hidden or err is not null""",
     "health_registry": f"""with {_files()}, b as (select file_id, {_tokens()} as t from files where length(text) >= 2000)
-        select file_id, len(t) as words, len(list_filter(t, lambda x: x in ('institutionalisation', 'characteristically', 'historiographically'))) as glue_x,
-        case when len(t) >= 300 then len(list_filter(t, lambda x: length(x) >= 18 and x not in ('institutionalisation', 'characteristically', 'historiographically'))) / len(t)::double * 1000 end as glue from b""",
+        select file_id, len(t) as words, len(list_filter(t, lambda x: x in ('interpolation', 'sprachgeschichte', 'ecclesiastical'))) as glue_x,
+        case when len(t) >= 300 then len(list_filter(t, lambda x: length(x) >= 13 and x not in ('interpolation', 'sprachgeschichte', 'ecclesiastical'))) / len(t)::double * 1000 end as glue from b""",
     "garble_report": f"with {_GARBLE} select doc_id, rate from g where flagged order by rate desc, doc_id limit 40",
     "separators": rf"""with {_files("wordsplit_damaged")}, x as (select unnest(list_filter(string_split_regex(text, '[A-Za-z]+'), lambda x: x <> '')) as sep from files where text is not null)
         select {_SEP_OK} as ok, contains({_SAME_SEP}, '-') as hyphen, count(*) as n from x group by all""",

@@ -72,9 +72,13 @@ def split_repair_run(docs: DataFrame, key: str = "rel", text: str = "text", name
 
 
 def unglue_run(docs: DataFrame, key: str = "rel", text: str = "text", excluded: tuple[str, ...] = (), params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """The repaired texts of the targets with glue before and after, and the targets left alone with their reasons."""
+    """The repaired texts of the targets with glue before and after, sources and few as in split_repair_run, and the targets left
+    alone with their reasons."""
     targets = stored(repair.unglue_targets(docs, key, text, excluded, params=params))
-    fixed = repair.unglue(docs, key, text, targets, params).withColumn("glue1", L.glue_rate(F.col("text"), params))
+    clean = stored(L.clean_for_glue(docs, text, params).select(F.col(text).alias("text")))
+    said = learned_from(clean.count(), params.sources_repair)
+    fixed = repair.unglue(docs, key, text, targets, params, clean=clean).withColumn("glue1", L.glue_rate(F.col("text"), params))
+    fixed = fixed.withColumn("sources", F.lit(said["sources"]).cast("bigint")).withColumn("few", F.lit(said["few"]))
     return fixed.join(targets.select(key, F.col("glue").alias("glue0")), key), targets.where("skip_reason is not null")
 
 

@@ -14,15 +14,29 @@ def decoded(content: Column, fold_newlines: bool = True) -> Column:
 
 def text_tree(spark: SparkSession, root: str, fold_newlines: bool = True, skip_underscored: bool = True) -> DataFrame:
     """rel and text of the .txt files (in any case) under root, folders included. Files and folders whose names begin with _
-    are left out, unless skip_underscored is false; Spark itself never lists names that begin with . or, but for names with =
-    in them, with _."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
-    base = F.lit(_absolute(spark, root).rstrip("/") + "/")
-    rel = F.replace(F.col("path"), base, F.lit(""))
+    are left out. With skip_underscored false they aren't, nor are names that begin with ., which no listing of Spark's shows:
+    the file system's own listing is taken then, whose names pass the driver."""
+    base = _absolute(spark, root).rstrip("/") + "/"
+    if skip_underscored:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
+    else:
+        names = [p for p in _listed(spark, root) if p.lower().endswith(".txt")]
+        files = spark.read.format("binaryFile").load(names) if names else spark.createDataFrame([], "path string, content binary")
+    rel = F.replace(F.col("path"), F.lit(base), F.lit(""))
     out = files.select(rel.alias("rel"), decoded(F.col("content"), fold_newlines).alias("text"))
     return out.where(~F.exists(F.split("rel", "/"), lambda x: F.startswith(x, F.lit("_")))) if skip_underscored else out
 
 
+def _listed(spark: SparkSession, root: str) -> list[str]:
+    """All files under a folder, by the file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        out.append(files.next().getPath().toString())
+    return sorted(out)
+
+
 def listed_files(spark: SparkSession, paths: list[str], fold_newlines: bool = False) -> DataFrame:
     """path and text of files given by name, such as those that begin with _, which no listing of Spark's shows."""
     files = spark.read.format("binaryFile").load(paths)

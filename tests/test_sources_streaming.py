@@ -20,6 +20,11 @@ def test_text_tree(spark, tree):
     assert got == {"a.txt": "one\ntwo", "sub/b.TXT": "café �"}
     raw = {r["rel"]: r["text"] for r in files.text_tree(spark, str(tree / "in"), fold_newlines=False).collect()}
     assert raw["a.txt"] == "one\r\ntwo"
+    (tree / "in" / ".h.txt").write_bytes(b"hidden")
+    every = {r["rel"]: r["text"] for r in files.text_tree(spark, str(tree / "in"), skip_underscored=False).collect()}
+    assert every == got | {"_x/c.txt": "no", "_d.txt": "no", ".h.txt": "hidden"}
+    (tree / "none").mkdir()
+    assert files.text_tree(spark, str(tree / "none"), skip_underscored=False).count() == 0
 
 
 def test_head_lists_and_dictionaries(spark, tmp_path):
