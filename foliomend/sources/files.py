@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomend.runtime import map_rows
+
 
 def decoded(content: Column, fold_newlines: bool = True) -> Column:
     """Bytes as text: invalid UTF-8 becomes U+FFFD, and \\r\\n becomes \\n unless fold_newlines is false."""
@@ -21,7 +26,7 @@ def text_tree(spark: SparkSession, root: str, fold_newlines: bool = True, skip_u
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
     else:
         names = [p for p in _listed(spark, root) if p.lower().endswith(".txt")]
-        files = spark.read.format("binaryFile").load(names) if names else spark.createDataFrame([], "path string, content binary")
+        files = _read(spark, names)
     rel = F.replace(F.col("path"), F.lit(base), F.lit(""))
     out = files.select(rel.alias("rel"), decoded(F.col("content"), fold_newlines).alias("text"))
     return out.where(~F.exists(F.split("rel", "/"), lambda x: F.startswith(x, F.lit("_")))) if skip_underscored else out
@@ -37,10 +42,25 @@ def _listed(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
+def _read(spark: SparkSession, names: list[str]) -> DataFrame:
+    """path and content of files by their names, whatever these begin with: Spark's own readers leave out some even if asked."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            rows = []
+            for name in batch["path"]:
+                system, place = pa_fs.FileSystem.from_uri(name)
+                with system.open_input_stream(place) as stream:
+                    rows.append((name, stream.read()))
+            yield rows
+
+    paths = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism)))
+    return map_rows(paths, run, "path string, content binary")
+
+
 def listed_files(spark: SparkSession, paths: list[str], fold_newlines: bool = False) -> DataFrame:
     """path and text of files given by name, such as those that begin with _, which no listing of Spark's shows."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", decoded(F.col("content"), fold_newlines).alias("text"))
+    return _read(spark, [_absolute(spark, p) for p in paths]).select("path", decoded(F.col("content"), fold_newlines).alias("text"))
 
 
 def _absolute(spark: SparkSession, root: str) -> str:

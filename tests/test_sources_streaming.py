@@ -22,6 +22,7 @@ def test_text_tree(spark, tree):
     assert raw["a.txt"] == "one\r\ntwo"
     (tree / "in" / ".h.txt").write_bytes(b"hidden")
     every = {r["rel"]: r["text"] for r in files.text_tree(spark, str(tree / "in"), skip_underscored=False).collect()}
+    assert files.listed_files(spark, [str(tree / "in" / "_d.txt")]).first()["text"] == "no"
     assert every == got | {"_x/c.txt": "no", "_d.txt": "no", ".h.txt": "hidden"}
     (tree / "none").mkdir()
     assert files.text_tree(spark, str(tree / "none"), skip_underscored=False).count() == 0
