@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -145,9 +146,9 @@ def _new_file(spark: SparkSession) -> tuple[str, str]:
     """Name and path of a file that the driver writes and hands out by SparkContext.addFile: in the shared folder, or where that
     is no file system that Python can write to, in a folder of the driver's, whence Spark copies it to the executors."""
     name = f"rest-{uuid.uuid4().hex}.npy"
-    shared = shared_dir(spark)
-    if shared.startswith("file:"):
-        folder = shared[len("file:") :].replace("//", "/", 1) if shared.startswith("file:///") else shared.split(":", 1)[1]
+    shared = urlparse(shared_dir(spark))
+    if shared.scheme == "file":
+        folder = shared.path
         os.makedirs(folder, exist_ok=True)
     else:
         folder = tempfile.mkdtemp(prefix="foliomend-")

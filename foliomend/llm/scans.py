@@ -60,7 +60,6 @@ _FOLIO = re.compile(rf"(?:[-–—(\[|·•]\s*)?(?:pp?\.\s*|pag\.\s*|S\.\s*)?(?
 _HEAD_LEFT = re.compile(rf"(?:[-–—(\[]\s*)?(?P<n>{_NUMBER})(?:\s*[-–—)\]])?(?:\s*[|·•—–]\s*|\s+)(?P<h>[^\W\d_].*)", re.I | re.S).fullmatch
 _HEAD_RIGHT = re.compile(rf"(?P<h>[^\W\d_].*?)(?:\s*[|·•—–]\s*|\s+)(?:[-–—(\[]\s*)?(?P<n>{_NUMBER})(?:\s*[-–—)\]])?", re.I | re.S).fullmatch
 _SMALL = frozenset("of and the in on to for a an de la le les des du et l d y el los las del un una der die das und von des dem den il lo gli i della di e o os as da do dos em van het een en".split())
-_LETTERS = re.compile(r"[^\W\d_]+").findall
 _LAST = re.compile(r"([^\W_](?:[^\W_]|[!+|])*)-$").search
 _FIRST = re.compile(r"[“„«(]?((?:[^\W_]|[!+|](?=[^\W_]))+)").match
 _ROUGH = (("rn", "m"), ("in", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("fi", "h"), ("li", "h"), ("ll", "u"))
@@ -199,10 +198,11 @@ class Grams:
         n = self.counts.get(gram[:-1], 0)
         return (self.counts.get(gram, 0) + 2.0 * self.chance(gram[1:])) / (n + 2.0)
 
-    def logs(self, word: str) -> list[float]:
-        """Log chance of each character of a folded word between marks, the end mark's being the last."""
+    def logs(self, word: str, begin: int = 0, end: int | None = None) -> list[float]:
+        """Log chance of each character of a folded word between marks, the end mark's being the last; or of those from begin
+        to before end."""
         s, memory, out = f"\2{word}\3", self.memory, []
-        for i in range(2, len(s) + 1):
+        for i in range(begin + 2, len(s) + 1 if end is None else min(end + 2, len(s) + 1)):
             gram = s[max(0, i - 4) : i]
             log = memory.get(gram)
             if log is None:
@@ -457,7 +457,7 @@ class Channel:
         fold = self.model.folded
         while True:
             costs = list(accumulate((-x for x in self.model.logs(fold(form))), initial=0.0))
-            n = len(costs) - 1
+            n, upper = len(costs) - 1, form.isupper()
             best: tuple[float, str] | None = None
             for i, c in enumerate(form):
                 # what a change can gain is at most what its surroundings cost
@@ -467,7 +467,10 @@ class Channel:
                     if costs[min(i + len(read) + 3, n)] - costs[i] + log < UNHEARD or not form.startswith(read, i):
                         continue
                     new = form[:i] + printed + form[i + len(read) :]
-                    gain = sum(self.model.logs(fold(new))) + costs[n] + log
+                    if new.isupper() == upper:  # only the characters that the change touches, and three after them
+                        gain = sum(self.model.logs(fold(new), i, i + len(printed) + 3)) + costs[min(i + len(read) + 3, n)] - costs[i] + log
+                    else:
+                        gain = sum(self.model.logs(fold(new))) + costs[n] + log
                     if gain > UNHEARD and (best is None or gain > best[0]):
                         best = gain, new
             if best is None:
