@@ -111,9 +111,6 @@ def _line_joined(text: str) -> str:
     return f"array_to_string(list_transform(range(1, len({x}) + 1), lambda i: case when i = len({x}) then {x}[i] when {joins} then left({x}[i], length({x}[i]) - 1) else {x}[i] || chr(10) end), '')"
 
 
-_TOKENS_OF = "regexp_extract_all({text}, '[A-Za-z]+[^A-Za-z]*')"
-
-
 def _tokens_of(source: str, name: str, more: str = "") -> str:
     """Tokens of texts in order, with what stands after each, the next one, and what stands before."""
     return rf"""{name}_p as materialized (select file_id, {more} regexp_extract(text, '^[^A-Za-z]*') as front, unnest(p) as piece, generate_subscripts(p, 1) as i from (select file_id, {more} text, regexp_extract_all(text, '[A-Za-z]+[^A-Za-z]*') as p from {source})),
